@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, quality, syncmers, warc
+from . import bwt, decontaminate, langid, packing, pii, quality, rlz, syncmers, warc
 from .shared import crc_mod
 
 
@@ -34,6 +34,11 @@ FROM s
 """
 
 
+def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "n_factors")
+
+
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null").where(crc_mod(F.col("doc_id"), 3) != 1)
@@ -41,6 +46,11 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edits(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +76,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_segments, op4_attention_quality, op6_closed_syncmers, op7_zstd_language, op8_anchor_pii, op9_fm_decontamination, op10_best_fit_packing)
+    for f in (op1_warc_segments, op3_relative_lz, op4_attention_quality, op5_bwt_merge, op6_closed_syncmers, op7_zstd_language, op8_anchor_pii, op9_fm_decontamination, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc_segments": OP1_SQL}
