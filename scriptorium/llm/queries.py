@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, decontaminate, langid, packing, pii, quality, rlz, syncmers, warc
+from . import bwt, decontaminate, langid, ngram_join, packing, pii, quality, rlz, syncmers, warc
 from .shared import crc_mod
 
 
@@ -34,6 +34,10 @@ FROM s
 """
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), n=4, t=85)
+
+
 def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rlz.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "n_factors")
@@ -76,6 +80,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_segments, op3_relative_lz, op4_attention_quality, op5_bwt_merge, op6_closed_syncmers, op7_zstd_language, op8_anchor_pii, op9_fm_decontamination, op10_best_fit_packing)
+    for f in (op1_warc_segments, op2_ngram_jaccard, op3_relative_lz, op4_attention_quality, op5_bwt_merge, op6_closed_syncmers, op7_zstd_language, op8_anchor_pii, op9_fm_decontamination, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc_segments": OP1_SQL}
