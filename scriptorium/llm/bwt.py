@@ -24,8 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import BYTE_SYMBOLS, NULL_ID, U64, _powers, block_table, bucket_count, bucket_of, by_bucket, byte_symbols, candidates, covered, expand, joined, jvm_buckets, keyed, rows_of, squeeze, texts_of
-from .shared import mix64
+from .repeats import NULL_ID, U64, block_table, bucket_count, bucket_of, by_bucket, byte_symbols, candidates, covered, expand, joined, jvm_buckets, keyed, rows_of, squeeze, stretch_hashes, texts_of
 
 WINDOW, K = 50, 16
 #: Symbols in one merge batch, unless one minimizer alone has more.
@@ -42,11 +41,8 @@ def slices(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 def content_hashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit hashes of concatenated strings."""
-    up, down = _powers(len(flat) + 1)
-    total = np.zeros(len(flat) + 1, U64)
-    np.cumsum(BYTE_SYMBOLS[flat] * up[: len(flat)], out=total[1:])
     end = np.cumsum(sizes)
-    return mix64((total[end] - total[end - sizes]) * down[end - sizes] + sizes.astype(U64))
+    return stretch_hashes(flat, end - sizes, end)
 
 
 def _ranks(values: np.ndarray) -> tuple[np.ndarray, int]:

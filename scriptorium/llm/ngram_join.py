@@ -30,7 +30,7 @@ from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, expand
 from .shared import components, mix64, stash
 
 #: Text in one scan chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Frequencies from here on count as equal; also the most entries of one n-gram that a chunk sends.
 FREQUENT = 255
 #: Cuts of the global order: fragments hold frequencies below each bound, each again in two by hash.

@@ -31,7 +31,6 @@ from .shared import mix64
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 NULL_ID = -(1 << 63)
 #: Bytes of text in one scan chunk, about.
 CHUNK_BYTES = 1 << 21
@@ -87,19 +86,40 @@ def sliding_least(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: max(0, len(a) - rest)], a[rest:]) if rest else a
 
 
-_POWERS = np.ones(1, U64), np.ones(1, U64)
+_POWERS = np.ones(1, U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> np.ndarray:
+    """BASE to the powers 0..n-1, kept from call to call."""
     global _POWERS
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        ups, downs = np.full(size, BASE, U64), np.full(size, BASE_INVERSE, U64)
-        ups[0] = downs[0] = 1
-        _POWERS = np.cumprod(ups, dtype=U64), np.cumprod(downs, dtype=U64)
+    if len(_POWERS) < n:
+        ups = np.full(max(n, 256), BASE, U64)
+        ups[0] = 1
+        _POWERS = np.cumprod(ups, dtype=U64)
     return _POWERS
 
 
+def stretch_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the disjoint, non-empty, ascending stretches raw[starts[i]:ends[i]]."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    place = np.arange(len(raw), dtype=np.int32)
+    which = np.zeros(len(raw), np.int32)
+    which[starts[1:]] = np.diff(starts)
+    place -= np.cumsum(which, out=which)
+    place -= np.int32(starts[0])
+    sizes = ends - starts
+    inside = place < np.repeat(sizes, np.diff(starts, append=len(raw))) if starts[0] == 0 else None
+    if inside is None:
+        inside = np.zeros(len(raw), bool)
+        inside[starts[0] :] = place[starts[0] :] < np.repeat(sizes, np.diff(starts, append=len(raw)))
+    place[~inside] = 0
+    value = BYTE_SYMBOLS[raw]
+    value *= _powers(int(sizes.max()))[place]
+    value[~inside] = 0
+    return mix64(np.add.reduceat(value, starts) + sizes.astype(U64))
+
+
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of non-blank bytes) of UTF-8 text."""
     solid = np.zeros(len(raw) + 2, np.int8)
@@ -108,11 +128,7 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(BYTE_SYMBOLS[raw] * up[: len(raw)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+word_hashes = stretch_hashes
 
 
 def segments(symbols: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
