@@ -193,8 +193,8 @@ def keyed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets for blocks: a few per shuffle partition, so that each task gets several and none much more."""
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets for blocks: two per shuffle partition, as there is a block for each pair of a chunk or bucket with a bucket."""
+    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def jvm_buckets(spark_ids: np.ndarray, buckets: int) -> np.ndarray:
