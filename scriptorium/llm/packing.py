@@ -1,7 +1,7 @@
 """Best-fit-decreasing packing of tokenised documents into fixed-length sequences.
 
 1. Tokenise (map-only): a document's ids, then the end id; longer ones are cut into full pieces plus a rest.
-   Ids are kept per blank- or newline-separated chunk in a bounded cache, so a word is encoded once per task.
+   Ids are kept per blank- or newline-separated chunk in a bounded cache, so a frequent word is encoded once.
 2. The pieces' lengths (no ids, no texts) are stored, and dealt by a hash of their key into shards of a bounded
    number of pieces. A shard's size is a parameter, so no task grows with the corpus; each shard leaves one partly
    filled sequence or so, under a thousandth of the total.
@@ -31,7 +31,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces in one packing shard, about; bounds a packing task's rows.
 SHARD_PIECES = 20_000
 #: Distinct chunks whose ids a task keeps; beyond it the cache starts anew, which changes no result.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 #: A chunk longer than this is encoded but not kept.
 CACHED_CHARS = 64
 
@@ -42,52 +42,66 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Ids of a text as little-endian uint32 bytes, through a bounded cache of chunks.
+#: ASCII punctuation but the apostrophe, which starts contractions: a run of these after letters is a token group of its own.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    The tokenizer drops white space and never joins across it, so ids of blank- or newline-separated chunks
-    follow one another. Missing chunks are encoded together with the start token between them, which the
-    tokenizer treats as a barrier; texts that hold a special token's string take the plain way.
+
+def byte_letters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+class ChunkEncoder(dict):
+    """Chunk -> ids as little-endian uint32 bytes; a bounded cache that encodes what it lacks.
+
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its blank- or
+    newline-separated chunks, one after the other. Letters below U+0180, where lower-casing is one to one and
+    nothing composes, go straight to the tokenizer's merges, a run of punctuation after them apart; all other
+    chunks, and texts that hold a special token's string, take the tokenizer's own way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.barrier = self.special[0] if self.special else None
-        self.barrier_id = self.tokenizer.token_to_id(self.barrier) if self.barrier else None
-        self.cache: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.words: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHE_CHUNKS:
-            self.cache.clear()
-        for i in range(0, len(chunks), 4000):
-            part = chunks[i : i + 4000]
-            ids = np.asarray(self.tokenizer.encode(self.barrier.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.barrier_id)
-            raw, starts, ends = ids.tobytes(), [0, *(cuts + 1)], [*cuts, len(ids)]
-            for chunk, s, e in zip(part, starts, ends, strict=True):
-                self.cache[chunk] = raw[4 * s : 4 * e]
+    def _word(self, word: str) -> bytes:
+        if (found := self.words.get(word)) is None:
+            mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
+            found = array.array("I", [t.id for t in self.merges.tokenize(mapped)]).tobytes()
+            if len(self.words) >= CACHE_CHUNKS:
+                self.words.clear()
+            self.words[word] = found
+        return found
+
+    def __missing__(self, chunk: str) -> bytes:
+        base = chunk.rstrip(PUNCTUATION)
+        if base.isalpha() and max(base) < "\u0180" and "\u0130" not in base:
+            found = self._word(base.lower())
+            if len(base) < len(chunk):
+                found += self[chunk[len(base) :]]
+        else:
+            found = self.plain(chunk)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = found
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            split = [None if self.barrier is None or "<|" in t and any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in part]
-            missing = dict.fromkeys(c for chunks in split if chunks for c in chunks if c not in self.cache)
-            long = {c: self.plain(c) for c in missing if len(c) > CACHED_CHARS}
-            self._learn([c for c in missing if c not in long])
-            for t, chunks in zip(part, split, strict=True):
-                if chunks is None:
-                    yield self.plain(t)
-                    continue
-                try:
-                    yield b"".join(map(self.cache.__getitem__, chunks)) if not long else b"".join(long[c] if c in long else self.cache[c] for c in chunks)
-                except KeyError:  # the cache was started anew within this part
-                    yield b"".join(long[c] if c in long else self.cache[c] if c in self.cache else self.plain(c) for c in chunks)
+        get = self.__getitem__
+        for t in texts:
+            yield self.plain(t) if "<|" in t and any(s in t for s in self.special) else b"".join(map(get, t.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
