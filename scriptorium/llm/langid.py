@@ -26,9 +26,16 @@ UNDETERMINED = "und"
 #: Bounds of the training sample: documents per language, bytes taken of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 128, 1_024, 65_536
 BLOCK_BYTES = 2_048
-LEVEL = 3
+#: Compression levels of short texts (under SHORT_BYTES) and of others: the library tunes its levels to input sizes.
+SHORT_BYTES, SHORT_LEVEL, LEVEL = 150, 3, 6
 MIN_MARGIN = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
+_LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased letters of a text, whatever lies between them as one blank: case, digits and marks say little of a language."""
+    return b" ".join(text.lower().encode("utf-8").translate(_LETTERS_ONLY).split())
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -36,40 +43,40 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int =
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     chosen = smallest_hashes(rows, "lang", "doc_id", sample_docs)
     parts: dict[str, list[tuple[str, bytes]]] = {}
-    for r in chosen.select("lang", F.col("doc_id").cast("string").alias("k"), F.substring("text", 1, sample_bytes).alias("t")).collect():
-        parts.setdefault(r.lang, []).append((r.k or "", r.t.encode("utf-8")[:sample_bytes]))
+    for r in chosen.select("lang", F.col("doc_id").cast("string").alias("k"), F.substring("text", 1, 2 * sample_bytes).alias("t")).collect():
+        parts.setdefault(r.lang, []).append((r.k or "", plain(r.t)[:sample_bytes]))
     return {lang: b"\n".join(t for _, t in sorted(rows))[-dictionary_bytes:] for lang, rows in sorted(parts.items())}
 
 
 def blocks(raw: bytes, size: int = BLOCK_BYTES) -> list[bytes]:
     """Blocks of about equal length, none longer than `size`."""
     n = max(1, -(-len(raw) // size))
-    step = -(-len(raw) // n)
+    step = max(1, -(-len(raw) // n))
     return [raw[i : i + step] for i in range(0, len(raw), step)]
 
 
 class Model:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
+    def __init__(self, dictionaries: dict[str, bytes]):
         self.languages = sorted(dictionaries)
-        self.compressors = []
-        for lang in self.languages:
-            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level)
-            self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.short, self.long = ([self._compressor(dictionaries[lang], level) for lang in self.languages] for level in (SHORT_LEVEL, LEVEL))
+
+    @staticmethod
+    def _compressor(raw: bytes, level: int) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level)
+        return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def scores(self, text: str) -> tuple[str, float, float]:
-        """(language, score, margin): the score is the winner's share of exp(-bits per byte above the best)."""
-        parts = blocks(text.encode("utf-8"))
-        sizes = [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
+        """(language, score, margin): scores fall off exponentially with the relative size above the best."""
+        raw = plain(text)
+        parts = blocks(raw)
+        sizes = [sum(len(c.compress(p)) for p in parts) for c in (self.short if len(raw) < SHORT_BYTES else self.long)]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], self.languages[i]))
         second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
         weights = [math.exp(-(s - sizes[best]) / max(1, sizes[best]) * 20) for s in sizes]
         return self.languages[best], 1 / sum(weights), (second - sizes[best]) / max(1, second)
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """Per row: doc_id, lang_pred, score, margin, rejected, label (null where rejected). Map-only.
 
