@@ -95,13 +95,15 @@ def compare_edits(docs: DataFrame, k: int = K, size: int = SKETCH) -> DataFrame:
 
     A document's head travels to its predecessor only as far as the predecessor's half needs it.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = every.where("doc_id is not null")  # stated on both uses, so that one exchange of the texts serves both
     need = rows.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("need"))
     links = successors(rows).join(need, "doc_id").select(F.col("doc_id").alias("taker"), F.col("next_id").alias("doc_id"), "need")
     given = with_sketch(rows.join(links, "doc_id"), "text", "next_sketch", k, size)
     given = given.select(F.col("taker").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), "next_sketch")
     given = given.groupBy("doc_id").agg(F.min(F.struct("head", "next_sketch")).alias("g")).select("doc_id", "g.head", "g.next_sketch")
-    both = rows.join(given, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
+    both = rows.join(given, "doc_id", "left").unionByName(every.where("doc_id is null"), allowMissingColumns=True)
+    both = both.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
