@@ -271,7 +271,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def _cut(text: str, starts, ends) -> str:
     raw = text.encode("utf-8")
-    words = [m.span() for m in TOKEN.finditer(raw)]
+    words = [m.span() for m in TOKEN.finditer(raw.lower())]  # as words_of counts them; lower-casing ASCII keeps every place
     parts, at = [], 0
     for s, e in merged(starts, ends):
         parts.append(raw[at : words[s][0]])
