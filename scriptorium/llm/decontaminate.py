@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sha256_hex
+from .shared import release_memory, sha256_hex
 
 TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # on UTF-8 bytes: those of other code points all count
 WINDOW = 10
 #: Symbols in one shard's index; a document beyond it has a shard of its own.
 SHARD_SYMBOLS = 400_000
+#: Characters of text that a shard's documents may have.
+SHARD_BYTES = 8 << 20
 #: Windows in one broadcast block.
 BLOCK_WINDOWS = 200_000
 #: Every SAMPLE-th text position, and every start of a run, keeps its place in the index.
@@ -190,8 +192,8 @@ def blocks_of(benchmark: DataFrame, window: int, block_windows: int) -> Iterator
 _HITS = pa.schema([("n_words", pa.int64()), ("h_start", pa.list_(pa.int32())), ("h_end", pa.list_(pa.int32())), ("h_item", pa.list_(pa.string()))])
 
 
-def _add_hits(df: DataFrame, phrases: Phrases | None, first: bool) -> DataFrame:
-    """Adds one block's occurrences to the hit columns. The text stays for the next block."""
+def _add_hits(df: DataFrame, phrases: Phrases | None, first: bool, cutting: bool = False) -> DataFrame:
+    """Adds one block's occurrences to the hit columns, the text stays for the next block; or, for the last block, cuts the hits out of the text."""
     shared = df.sparkSession.sparkContext.broadcast(phrases)
     names = [c for c in df.columns if c not in _HITS.names]
 
@@ -207,36 +209,52 @@ def _add_hits(df: DataFrame, phrases: Phrases | None, first: bool) -> DataFrame:
                 words = n_words[at : at + b.num_rows]
                 if not first:
                     starts, ends, items = ([x + y for x, y in zip(b.column(c).to_pylist(), new, strict=True)] for c, new in (("h_start", starts), ("h_end", ends), ("h_item", items)))
+                if cutting:
+                    texts = [t if t is None or not s else _cut(t, s, e) for t, s, e in zip(b.column("text").to_pylist(), starts, ends, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+                    at += b.num_rows
+                    continue
                 new = [pa.array(words, pa.int64()), pa.array(starts, _HITS.field(1).type), pa.array(ends, _HITS.field(2).type), pa.array(items, _HITS.field(3).type)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *new], names=[*names, *_HITS.names])
                 at += b.num_rows
 
-        held, runs, n_words, symbols = [], [], [], 0
+        held, runs, n_words, symbols, size = [], [], [], 0, 0
         for whole in batches:
-            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+            for b in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
                 held.append(b)
                 for text in b.column("text"):
-                    words = words_of(text.as_py())
+                    plain = text.as_py()
+                    words = words_of(plain)
+                    size += len(plain or "")
                     n_words.append(len(words))
                     runs.append(found.runs(words) if found else [])
                     symbols += sum(len(x) + 1 for _, x in runs[-1])
-                if symbols >= SHARD_SYMBOLS or len(held) >= 40:
+                if symbols >= SHARD_SYMBOLS or size >= SHARD_BYTES:
                     yield from flush(held, runs, n_words)
-                    held, runs, n_words, symbols = [], [], [], 0
+                    held, runs, n_words, symbols, size = [], [], [], 0, 0
         if held:
             yield from flush(held, runs, n_words)
+        release_memory()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+    if cutting:
+        return df.mapInArrow(each, fields)
     return df.mapInArrow(each, f"{fields}, n_words long, h_start array<int>, h_end array<int>, h_item array<string>")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents with n_words and every occurrence of a window: h_start, h_end (words, end exclusive), h_item (item ids, one a line)."""
-    out = docs.drop(*_HITS.names)
-    first = True
-    for phrases in blocks_of(benchmark, window, block_windows):
-        out, first = _add_hits(out, phrases, first), False
-    return _add_hits(out, None, True) if first else out
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, cutting: bool = False) -> DataFrame:
+    """The documents with n_words and every occurrence of a window: h_start, h_end (words, end exclusive), h_item (item ids, one a line).
+
+    cutting: the documents without the spans hit instead.
+    """
+    out, first = docs.drop(*_HITS.names), True
+    blocks = blocks_of(benchmark, window, block_windows)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        out, first = _add_hits(out, block, first, cutting and following is None), False
+        block = following
+    return _add_hits(out, None, True, cutting) if first else out
 
 
 def merged(starts, ends) -> list[list[int]]:
@@ -281,11 +299,5 @@ def _cut(text: str, starts, ends) -> str:
 
 def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the spans that occur in the benchmark (first to last hit word of each); n_chars follows."""
-
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not len(s) else _cut(t, s, e) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
-
-    found = hits(docs, benchmark, window)
-    out = found.withColumn("text", cleaned("text", "h_start", "h_end")).select(*docs.columns)
+    out = hits(docs, benchmark, window, cutting=True).select(*docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else out

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, expand, rows_of, span_hash, squeeze, word_hashes, word_spans
-from .shared import components, mix64, stash
+from .shared import components, mix64, release_memory, stash
 
 #: Text in one scan chunk.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Frequencies from here on count as equal; also the most entries of one n-gram that a chunk sends.
 FREQUENT = 255
 #: Cuts of the global order: fragments hold frequencies below each bound, each again in two by hash.
@@ -117,6 +117,7 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
                     ids, texts, held = [], [], 0
         if ids:
             yield from flush(ids, texts)
+        release_memory()
 
     def count(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= buckets:

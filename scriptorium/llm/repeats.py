@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64
+from .shared import mix64, release_memory
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -270,6 +270,7 @@ def candidates(docs: DataFrame, buckets: int, length: int, k: int, symbols: Symb
                     ids, texts, size = [], [], 0
         if ids:
             yield from flush(ids, texts)
+        release_memory()
 
     def reply(table: pa.Table) -> pa.Table:
         parts = [expand(x) for x in rows_of(table)]
