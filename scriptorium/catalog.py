@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import STOP_WORDS, keyword_terms, keyword_tokens, lexical_terms, preview, short_hash, slug
+from . import catalog_agents, catalog_documents, catalog_retrieval  # noqa: F401  (they register their queries)
+from .functions.text import keyword_terms, keyword_tokens, lexical_terms, preview, short_hash, slug
 from .operators import library, retrieval, runs
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-#: (id, ord, term) of keyword tokens; the test data holds no CJK characters.
-_TOKENS = """SELECT {id} AS id, lower(u.t) AS term, u.ord FROM (SELECT {id}, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9]+'), 1) AS ord FROM {table}) u
- WHERE length(u.t) >= 2 AND lower(u.t) NOT IN (""" + _STOP + ")"
-_DOC_TOKENS, _ITEM_TOKENS = _TOKENS.format(id="doc_id", table="documents"), _TOKENS.format(id="item_id", table="benchmark")
-_TERMS = f"SELECT id AS query_id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY min(ord)) AS n FROM ({_ITEM_TOKENS}) GROUP BY id, term) WHERE n <= 12"
-_BM25 = f"""
- tok AS ({_DOC_TOKENS}), post AS (SELECT id AS node_id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT id AS node_id, count(*) AS dl FROM tok GROUP BY ALL),
- terms AS ({_TERMS}), hits AS (SELECT query_id, term, node_id, dl, tf FROM terms JOIN post USING (term) JOIN len USING (node_id)),
- pool AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT query_id, node_id, dl FROM hits) GROUP BY ALL),
- df AS (SELECT query_id, term, count(*) AS df FROM hits GROUP BY ALL),
- raw AS (SELECT query_id, node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw, count(*) AS matched FROM hits JOIN pool USING (query_id) JOIN df USING (query_id, term) GROUP BY ALL),
- bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score, matched FROM raw) QUALIFY rank <= 10)"""
-_LOG = """log AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence,
- CASE event_type WHEN 'signup' THEN 'run.started' WHEN 'view' THEN 'stage.started' WHEN 'click' THEN 'tool.completed' WHEN 'purchase' THEN 'run.completed' WHEN 'error' THEN 'run.failed' END AS event_type,
- event_id, ts, floor(value)::BIGINT AS duration_ms FROM events)"""
-_LINES = "lines AS (SELECT source, doc_id, trim(line, ' ') AS line, ord FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents) WHERE trim(line, ' ') <> '')"
+from .registry import BM25, DOC_TOKENS, LINES, LOG, ORACLE_SQL, QUERIES, TERMS, query, table
 
 
-@query(f"WITH {_BM25} SELECT query_id, node_id, score, matched, rank FROM bm")
+@query(f"WITH {BM25} SELECT query_id, node_id, score, matched, rank FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.keyword_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
 
@@ -55,20 +19,20 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 flagship = bm25_topk
 
 
-@query(f"WITH {_BM25} SELECT query_id, n AS pool, round(avgdl, 6) AS avgdl FROM pool")
+@query(f"WITH {BM25} SELECT query_id, n AS pool, round(avgdl, 6) AS avgdl FROM pool")
 def keyword_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     hits = terms.join(retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), "term").select("query_id", "node_id", "dl").distinct()
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
-@query(f"SELECT id AS doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM ({_DOC_TOKENS}) GROUP BY ALL")
+@query(f"SELECT id AS doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM ({DOC_TOKENS}) GROUP BY ALL")
 def keyword_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "documents").select("doc_id", keyword_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     return tokens.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("terms"))
 
 
-@query(f"SELECT query_id, string_agg(term, ' ' ORDER BY term) AS terms FROM ({_TERMS}) GROUP BY ALL")
+@query(f"SELECT query_id, string_agg(term, ' ' ORDER BY term) AS terms FROM ({TERMS}) GROUP BY ALL")
 def keyword_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.array_sort(keyword_terms(F.col("text"))), " ").alias("terms"))
 
@@ -86,10 +50,10 @@ def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec"), "label")
-    return nodes, nodes.orderBy("node_id").limit(10).select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return nodes, nodes.where(F.col("node_id") % 20 == 0).select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
 
 
-_KNN = """v AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS (SELECT node_id AS query_id, vec AS qvec FROM v ORDER BY node_id LIMIT 10),
+_KNN = """v AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS (SELECT node_id AS query_id, vec AS qvec FROM v WHERE node_id % 20 = 0),
  s AS (SELECT query_id, node_id, label, round(list_dot_product(qvec, vec) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(vec, vec))), 6) AS score FROM q, v)"""
 
 
@@ -108,7 +72,7 @@ def knn_per_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_KNN} SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM (SELECT query_id, label, max(score) AS score FROM s GROUP BY ALL) QUALIFY rank <= 5")
 def route_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, queries = _vectors(spark, sf_dir)
-    scored = nodes.join(queries, F.lit(True)).groupBy("query_id", "label").agg(F.max(F.round(retrieval.cosine(F.col("qvec"), F.col("vec")), 6)).alias("score"))
+    scored = retrieval.similarities(queries, nodes).groupBy("query_id", "label").agg(F.max("score").alias("score"))
     return retrieval.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("label")], 5)
 
 
@@ -121,24 +85,24 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rrf(both)
 
 
-@query(f"WITH {_BM25}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM bm) SELECT query_id, node_id, score, matched, rank FROM b WHERE score >= greatest(0.2, best - 0.18)")
+@query(f"WITH {BM25}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM bm) SELECT query_id, node_id, score, matched, rank FROM b WHERE score >= greatest(0.2, best - 0.18)")
 def threshold_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.within_window(bm25_topk(spark, sf_dir))
 
 
-@query(f"WITH {_BM25} SELECT query_id, count(*) AS hits, count(*) FILTER (contains(lower(d.text), lower(substr(i.text, 1, 40)))) AS with_anchor FROM bm JOIN documents d ON d.doc_id = node_id JOIN benchmark i ON i.item_id = query_id GROUP BY ALL")
+@query(f"WITH {BM25} SELECT query_id, count(*) AS hits, count(*) FILTER (contains(lower(d.text), lower(substr(i.text, 1, 40)))) AS with_anchor FROM bm JOIN documents d ON d.doc_id = node_id JOIN benchmark i ON i.item_id = query_id GROUP BY ALL")
 def eval_anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.anchors_found(table(spark, sf_dir, "benchmark"), bm25_topk(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH {_BM25}, a AS (SELECT query_id, count(*) AS hits, count(*) FILTER (contains(lower(d.text), lower(substr(i.text, 1, 40)))) AS w FROM bm JOIN documents d ON d.doc_id = node_id JOIN benchmark i ON i.item_id = query_id GROUP BY ALL)
+@query(f"""WITH {BM25}, a AS (SELECT query_id, count(*) AS hits, count(*) FILTER (contains(lower(d.text), lower(substr(i.text, 1, 40)))) AS w FROM bm JOIN documents d ON d.doc_id = node_id JOIN benchmark i ON i.item_id = query_id GROUP BY ALL)
  SELECT count(*) AS cases, round(avg((w > 0)::INT), 6) AS evidence_recall, round(avg(w / hits), 6) AS evidence_precision FROM a""")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = eval_anchor_hits(spark, sf_dir)
     return cases.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.col("with_anchor") > 0).cast("int")), 6).alias("evidence_recall"), F.round(F.avg(F.col("with_anchor") / F.col("hits")), 6).alias("evidence_precision"))
 
 
-@query(f"WITH {_LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM lines JOIN p USING (source) WHERE length(line) BETWEEN 3 AND 120 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.1 * pages))")
+@query(f"WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM lines JOIN p USING (source) WHERE length(line) BETWEEN 3 AND 120 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.1 * pages))")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.repeated_lines(table(spark, sf_dir, "documents"), 0.1)
 
@@ -149,13 +113,13 @@ def page_text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.page_text(table(spark, sf_dir, "documents"), 60_000)
 
 
-@query(f"""WITH {_LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM lines)
+@query(f"""WITH {LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM lines)
  SELECT printf('%d:section:%04d', doc_id, n) AS node_id, printf('%d:root', doc_id) AS parent_id, 1 AS level, substr(sha256(line), 1, 16) AS content_hash FROM n""")
 def tree_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.sections(table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH {_LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM lines), s AS (SELECT printf('%d:section:%04d', doc_id, n) AS node_id, printf('%d:root', doc_id) AS parent_id FROM n)
+@query(f"""WITH {LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM lines), s AS (SELECT printf('%d:section:%04d', doc_id, n) AS node_id, printf('%d:root', doc_id) AS parent_id FROM n)
  SELECT parent_id AS node_id, count(*) AS children, min(node_id) AS first_child, max(node_id) AS last_child FROM s GROUP BY parent_id""")
 def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.tree(table(spark, sf_dir, "documents"))
@@ -194,27 +158,27 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.event_log(table(spark, sf_dir, "events"))
 
 
-@query(f"WITH {_LOG} SELECT run_id, sequence::INT AS sequence, event_type, event_id, ts, duration_ms FROM log QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sequence DESC) <= 3")
+@query(f"WITH {LOG} SELECT run_id, sequence::INT AS sequence, event_type, event_id, ts, duration_ms FROM log QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sequence DESC) <= 3")
 def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.latest(_log(spark, sf_dir))
 
 
-@query(f"WITH {_LOG}, l AS (SELECT *, greatest(max(sequence) OVER (PARTITION BY run_id) - 40, 0) AS dropped FROM log) SELECT run_id, sequence::INT AS sequence, event_type, 10 < dropped AS gap FROM l WHERE sequence > 10 AND sequence > dropped")
+@query(f"WITH {LOG}, l AS (SELECT *, greatest(max(sequence) OVER (PARTITION BY run_id) - 40, 0) AS dropped FROM log) SELECT run_id, sequence::INT AS sequence, event_type, 10 < dropped AS gap FROM l WHERE sequence > 10 AND sequence > dropped")
 def replay_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.replay(_log(spark, sf_dir), 10, 40)
 
 
-@query(f"WITH {_LOG} SELECT run_id, max(sequence)::INT AS last_sequence, arg_max(event_type, sequence) AS last_event, arg_max(event_type, sequence) FILTER (event_type IN ('run.completed', 'run.failed')) AS last_terminal, count(*) FILTER (event_type = 'tool.completed') AS tool_calls FROM log GROUP BY ALL")
+@query(f"WITH {LOG} SELECT run_id, max(sequence)::INT AS last_sequence, arg_max(event_type, sequence) AS last_event, arg_max(event_type, sequence) FILTER (event_type IN ('run.completed', 'run.failed')) AS last_terminal, count(*) FILTER (event_type = 'tool.completed') AS tool_calls FROM log GROUP BY ALL")
 def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.state(_log(spark, sf_dir))
 
 
-@query(f"WITH {_LOG} SELECT run_id % 20 AS conversation_id, count(*) FILTER (event_type IN ('run.completed', 'run.failed')) AS run_count, coalesce(sum(duration_ms) FILTER (event_type IN ('run.completed', 'run.failed')), 0)::BIGINT AS duration_ms, count(*) FILTER (event_type = 'tool.completed') AS tool_calls FROM log GROUP BY ALL")
+@query(f"WITH {LOG} SELECT run_id % 20 AS conversation_id, count(*) FILTER (event_type IN ('run.completed', 'run.failed')) AS run_count, coalesce(sum(duration_ms) FILTER (event_type IN ('run.completed', 'run.failed')), 0)::BIGINT AS duration_ms, count(*) FILTER (event_type = 'tool.completed') AS tool_calls FROM log GROUP BY ALL")
 def conversation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.metrics(_log(spark, sf_dir), 20)
 
 
-@query(f"WITH {_LOG} SELECT event_type, round(avg(duration_ms), 6) AS mean_ms, round(quantile_cont(duration_ms, 0.5), 6)::DOUBLE AS p50_ms, round(quantile_cont(duration_ms, 0.95), 6)::DOUBLE AS p95_ms FROM log GROUP BY ALL")
+@query(f"WITH {LOG} SELECT event_type, round(avg(duration_ms), 6) AS mean_ms, round(quantile_cont(duration_ms, 0.5), 6)::DOUBLE AS p50_ms, round(quantile_cont(duration_ms, 0.95), 6)::DOUBLE AS p95_ms FROM log GROUP BY ALL")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.percentiles(_log(spark, sf_dir))
 
@@ -230,7 +194,7 @@ def question_of_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.questions_of_answers(table(spark, sf_dir, "conversations"))
 
 
-@query(f"WITH {_LOG} SELECT run_id, sequence, CASE event_type WHEN 'run.started' THEN 'signup' WHEN 'stage.started' THEN 'view' WHEN 'tool.completed' THEN 'click' WHEN 'run.completed' THEN 'purchase' ELSE 'error' END AS event_type, event_id FROM log")
+@query(f"WITH {LOG} SELECT run_id, sequence, CASE event_type WHEN 'run.started' THEN 'signup' WHEN 'stage.started' THEN 'view' WHEN 'tool.completed' THEN 'click' WHEN 'run.completed' THEN 'purchase' ELSE 'error' END AS event_type, event_id FROM log")
 def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.events import run_available
 

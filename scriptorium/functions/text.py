@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,8 +53,133 @@ def short_hash(*parts: Column, length: int = 12, sep: str = "|") -> Column:
     return F.substring(F.sha2(F.concat_ws(sep, *parts), 256), 1, length)
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Scalar product in double."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors in double; 0 for a zero vector."""
-    fold = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(fold(a, a)) * F.sqrt(fold(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(fold(a, b) / norm)
+    """Cosine of two vectors; 0 for a zero vector."""
+    both = norm(a) * norm(b)
+    return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
+
+
+# Abbreviations whose full stop does not end a sentence, in the order they are looked for.
+ABBREVIATIONS = (
+    "et al.", "e.g.", "i.e.", "etc.", "cf.", "vs.", "approx.", "fig.", "figs.", "tab.", "tabs.", "eq.", "eqs.", "eqn.", "eqns.",
+    "sec.", "secs.", "ref.", "refs.", "no.", "nos.", "vol.", "vols.", "pp.", "dr.", "mr.", "ms.", "prof.", "st.", "inc.", "ltd.", "co.", "corp.",
+)
+#: Stands for a full stop that ends nothing; it cannot occur in text.
+_KEPT_STOP = "\u0001"
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text; listed abbreviations (also inside words, then lower-cased) end none."""
+    for a in ABBREVIATIONS:
+        text = F.regexp_replace(text, "(?i)" + a.replace(".", "\\."), a.replace(".", _KEPT_STOP))
+    parts = F.transform(F.split(text, "(?<=[.!?。！？])\\s+"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", ""))
+    return F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.translate(s, _KEPT_STOP, "."))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once per row, though lambdas in it refer to it many times."""
+    return F.transform(F.array(value), use)[0]
+
+
+def hard_split(text: Column, most: int) -> Column:
+    """Pieces of at most `most` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(most))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(most)))
+
+
+def packed(units: Column, most: int, overlap: int = 1) -> Column:
+    """Chunks (arrays of units): units are joined by a blank up to `most` characters; each chunk then starts with the
+    last `overlap` units of the one before, which may take it past the limit."""
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("cur"), F.lit(0).alias("len"))
+
+    def step(acc: Column, unit: Column) -> Column:
+        full = (F.size(acc["cur"]) > 0) & (acc["len"] + 1 + F.length(unit) > most)
+        grown = F.when(F.size(acc["cur"]) > 0, acc["len"] + 1).otherwise(0) + F.length(unit)
+        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), F.array(unit).alias("cur"), F.length(unit).alias("len"))).otherwise(
+            F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(unit)).alias("cur"), grown.alias("len"))
+        )
+
+    chunks = F.aggregate(units, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["cur"])), lambda c: F.size(c) > 0))
+    if not overlap:
+        return chunks
+    none = F.array().cast("array<array<string>>")
+
+    def overlapping(c: Column) -> Column:
+        shifted = F.concat(F.array(empty), F.when(F.size(c) > 1, F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1)))).otherwise(none))
+        return F.when(F.size(c) == 0, c).otherwise(F.zip_with(shifted, c, lambda p, own: F.concat(F.slice(p, F.greatest(F.size(p) - (overlap - 1), F.lit(1)), F.lit(overlap)), own)))
+
+    return once(chunks, overlapping)
+
+
+def hashed_dim(term: Column, dims: int = 64) -> Column:
+    """Dimension of a term in the hashing embedder: the last byte of its MD5."""
+    return F.conv(F.substring(F.md5(term), 31, 2), 16, 10).cast("int") % dims
+
+
+def hash_vector(text: Column, dims: int = 64) -> Column:
+    """Counts of keyword tokens per hashed dimension."""
+    at = F.transform(keyword_tokens(text), lambda t: hashed_dim(t, dims))
+    return once(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(a) - F.size(F.array_remove(a, d))).cast("double")))
+
+
+# Section roles by substrings of the title, first match wins.
+ROLES = (
+    ("abstract", ("abstract",)),
+    ("introduction", ("introduction", "overview")),
+    ("related_work", ("related work", "background", "prior work")),
+    ("method", ("method", "approach", "architecture", "implementation")),
+    ("experiment", ("experiment", "evaluation", "benchmark", "setup")),
+    ("result", ("result", "analysis", "finding")),
+    ("limitation", ("limitation", "threats to validity")),
+    ("discussion", ("discussion",)),
+    ("conclusion", ("conclusion", "future work")),
+    ("references", ("references", "bibliography")),
+    ("appendix", ("appendix", "supplement")),
+)
+
+
+def semantic_role(title: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(title).rlike("|".join(words)), F.lit(role)) for role, words in ROLES])
+
+
+def line_kind(line: Column) -> Column:
+    """heading, caption, page number, equation or text, by the line alone."""
+    numbered = F.regexp_extract(line, r"^(?:\d+(?:\.\d+){0,4}|[A-H](?:\.\d+){0,3})[.)]?\s+(\S.{1,159})$", 1)
+    plain = F.regexp_extract(line, r"^(\d+)[.)]?\s", 1)
+    heading = (numbered != "") & ~((plain != "") & (F.length(plain) > 1)) & numbered.rlike("^[A-Z]") & ~numbered.rlike(r"[.!]$") & ~numbered.rlike(r"[=+<>∑∫√≤≥±]") & (F.size(F.split(numbered, r"\s+")) <= 16)
+    symbols = F.regexp_count(line, F.lit(r"[=+<>∑∫√≤≥±]"))
+    equation = (F.length(line) <= 300) & ((symbols >= 2) | ((symbols >= 1) & line.rlike(r"\(\d+\)$")))
+    caption = line.rlike(r"(?i)^(?:extended data\s+)?(?:table|figure|fig)\.?\s+[A-Z]?\d+(?:\.\d+)?")
+    return F.when(line.rlike(r"^(?:page\s+)?\d{1,4}$"), "page number").when(caption, "caption").when(heading, "heading").when(equation, "equation").otherwise("text")
+
+
+def query_expression(text: Column) -> Column:
+    """A catalogue query: quoted phrases and words, each as all:..., joined by AND; boolean words drop out."""
+    parts = F.regexp_extract_all(text, F.lit('("[^"]+"|[^\\s"()]+)'), F.lit(1))
+    kept = F.filter(parts, lambda p: ~F.upper(p).isin("AND", "OR", "NOT"))
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.lit("all:"), p)), " AND ")
+
+
+def paper_identifier(text: Column) -> Column:
+    """The first arXiv identifier of a text."""
+    return F.nullif(F.regexp_extract(text, r"(\d{4}\.\d{4,5})(?:v\d+)?", 1), F.lit(""))
+
+
+def doi(text: Column) -> Column:
+    """The first DOI of a text, without closing punctuation."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(10\.\d{4,9}/[^\s\"<>]+)", 1), r"[.,;)\]]+$", ""), F.lit(""))
+
+
+def citation_markers(text: Column) -> Column:
+    """Distinct evidence ids cited as [E-...], in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(E-[0-9a-f]{12})\]"), F.lit(1)))

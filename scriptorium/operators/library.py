@@ -79,3 +79,46 @@ def anchors_found(benchmark: DataFrame, hits: DataFrame, docs: DataFrame, length
 def html_headings(pages: DataFrame) -> DataFrame:
     """First heading, paragraphs and title length of each page."""
     return pages.select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("paragraphs"))
+
+
+def section_nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, node_id, line) of every non-empty line, numbered inside the row."""
+    kept = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    rows = docs.select("doc_id", F.posexplode(kept).alias("pos", "line")).withColumn("n", F.col("pos") + 1)
+    return rows.select("doc_id", "n", F.format_string("%d:section:%04d", "doc_id", "n").alias("node_id"), "line")
+
+
+def replaced(old: DataFrame, fresh: DataFrame, paper: str) -> DataFrame:
+    """All nodes after fresh papers came: a paper's old nodes go as a whole, so none is left stale."""
+    return old.join(fresh.select(paper).distinct(), paper, "left_anti").unionByName(fresh)
+
+
+def unknown(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Requested ids that the library does not hold."""
+    return asked.join(known.select(key), key, "left_anti")
+
+
+def index_status(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    state = F.when(F.col("quality") == 0, "REBUILD").when(F.col("quality").isNull(), "unknown-fingerprint").otherwise("ok")
+    return docs.select("doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", state.alias("state"))
+
+
+def inverted(docs: DataFrame) -> DataFrame:
+    """(doc_id, index): each word's positions, as catalogues publish abstracts."""
+    words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
+    at = docs.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
+    return at.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+
+
+def rebuilt(indexed: DataFrame) -> DataFrame:
+    """The abstract of an inverted index: words by position, ties by word."""
+    pairs = F.flatten(F.transform(F.map_entries("index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return indexed.select("doc_id", F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ").alias("abstract"))
+
+
+def compared(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """Cases of two evaluation runs side by side; a loss outweighs a gain, cases of one run only are left out."""
+    recall = lambda side: F.when(F.col(f"{side}.with_anchor") > 0, 1).otherwise(0)
+    b, c = recall("b"), recall("c")
+    verdict = F.when(c < b, "regression").when(c > b, "improvement").otherwise("same")
+    return baseline.alias("b").join(current.alias("c"), "query_id").select("query_id", F.col("b.hits").alias("baseline_hits"), F.col("c.hits").alias("current_hits"), (c - b).alias("recall_delta"), verdict.alias("verdict"))

@@ -61,3 +61,42 @@ def questions_of_answers(messages: DataFrame) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
     asked = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w)
     return messages.withColumn("question_turn", asked).where("role = 'assistant'").select("conv_id", "turn", "question_turn")
+
+
+def run_status(log: DataFrame) -> DataFrame:
+    """Status of each run: by its last event if that is terminal, else running; duration over all events."""
+    last = F.max_by("event_type", "sequence")
+    status = F.when(last == "run.completed", "completed").when(last == "run.failed", "failed").otherwise("running")
+    return log.groupBy("run_id").agg(status.alias("status"), F.sum("duration_ms").alias("duration_ms"))
+
+
+def busy(runs: DataFrame, conversations: int) -> DataFrame:
+    """Conversations with more than one running run, which the service would refuse."""
+    by = runs.where("status = 'running'").groupBy((F.col("run_id") % conversations).alias("conversation_id")).agg(F.count(F.lit(1)).alias("running"))
+    return by.where("running > 1")
+
+
+def persisted(events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Events with their payload cut to the given keys where a tool completed; others keep theirs."""
+    fields = F.from_json("props", "map<string,string>")
+    kept = F.map_filter(fields, lambda k, v: k.isin(*keys))
+    return events.select("event_id", F.when(F.col("event_type") == "click", F.to_json(kept)).otherwise(F.to_json(fields)).alias("payload"))
+
+
+def superseded(messages: DataFrame) -> DataFrame:
+    """Answers and whether a later answer to the same question replaced them; active: the last one."""
+    asked = questions_of_answers(messages)
+    w = W.partitionBy("conv_id", "question_turn")
+    return asked.withColumn("replaced_by", F.when(F.max("turn").over(w) > F.col("turn"), F.max("turn").over(w)))
+
+
+def turns(messages: DataFrame) -> DataFrame:
+    """Messages grouped into turns: each user message opens one; what precedes the first is turn 0."""
+    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    numbered = messages.withColumn("group", F.sum((F.col("role") == "user").cast("long")).over(w))
+    return numbered.groupBy("conv_id", "group").agg(F.count(F.lit(1)).alias("messages"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+def without_runs(log: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The log after runs were deleted with their events."""
+    return log.join(deleted.select("run_id").distinct(), "run_id", "left_anti")
