@@ -72,8 +72,8 @@ def knn_per_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_KNN} SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM (SELECT query_id, label, max(score) AS score FROM s GROUP BY ALL) QUALIFY rank <= 5")
 def route_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, queries = _vectors(spark, sf_dir)
-    scored = retrieval.similarities(queries, nodes).groupBy("query_id", "label").agg(F.max("score").alias("score"))
-    return retrieval.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("label")], 5)
+    best = retrieval.vector_top_k(queries, nodes, 1, ["label"]).select("query_id", "label", "score")
+    return retrieval.top_k(best, ["query_id"], [F.col("score").desc(), F.col("label")], 5)
 
 
 @query(f"""WITH {_KNN}, g AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 12),

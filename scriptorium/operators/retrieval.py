@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, keyword_terms, keyword_tokens, norm
+from ..functions.text import keyword_terms, keyword_tokens
+from .vectors import block_hits
 
 K1, B = 1.2, 0.75
 RRF_CONSTANT = 60
@@ -55,16 +56,9 @@ def keyword_top_k(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k:
 
 
 def vector_top_k(queries: DataFrame, nodes: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """Exact cosine top-k of each (query_id, qvec) over nodes (node_id, vec, ...); queries are a request-sized side."""
-    return top_k(similarities(queries, nodes), ["query_id", *(by or [])], [F.col("score").desc(), F.col("node_id")], k)
-
-
-def similarities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Cosine of every query with every node; lengths are taken once per vector, so a pair costs one product."""
-    pairs = nodes.withColumn("node_norm", norm(F.col("vec"))).join(queries.withColumn("query_norm", norm(F.col("qvec"))), F.lit(True))
-    both = F.col("query_norm") * F.col("node_norm")
-    score = F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col("qvec"), F.col("vec")) / both)
-    return pairs.withColumn("score", F.round(score, 6)).drop("query_norm", "node_norm", "vec", "qvec")
+    """Exact cosine top-k of each (query_id, qvec) over nodes (node_id, vec, ...), per group of `by`: query_id, node_id, by, score, rank."""
+    by = by or []
+    return top_k(block_hits(queries, nodes, k, by), ["query_id", *by], [F.col("score").desc(), F.col("node_id")], k)
 
 
 def rrf(channels: DataFrame, constant: int = RRF_CONSTANT) -> DataFrame:

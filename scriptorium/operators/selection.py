@@ -16,9 +16,11 @@ from .retrieval import normalised, ranking_score, top_k
 
 def merged(vector: DataFrame, keyword: DataFrame, constant: int = 60) -> DataFrame:
     """Both channels' hits as one candidate per (query_id, node_id): best scores, the first channel's name, fused score."""
-    tagged = vector.select("query_id", "node_id", F.lit("vector").alias("source"), "score", "rank").unionByName(keyword.select("query_id", "node_id", F.lit("keyword").alias("source"), "score", "rank"))
-    of = lambda name: F.max(F.when(F.col("source") == name, F.col("score")))
-    both = tagged.groupBy("query_id", "node_id").agg(F.coalesce(of("vector"), F.lit(0.0)).alias("vector_score"), of("keyword").alias("keyword_score"), F.max("source").alias("source"), F.sum(1.0 / (constant + F.col("rank"))).alias("raw"))
+    v = vector.select("query_id", "node_id", F.col("score").alias("vector_score"), F.col("rank").alias("v"))
+    w = keyword.select("query_id", "node_id", F.col("score").alias("keyword_score"), F.col("rank").alias("w"))
+    part = lambda rank: F.coalesce(1.0 / (constant + F.col(rank)), F.lit(0.0))
+    source = F.when(F.col("v").isNull(), "keyword").otherwise("vector")
+    both = v.join(w, ["query_id", "node_id"], "full").select("query_id", "node_id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), "keyword_score", source.alias("source"), (part("v") + part("w")).alias("raw"))
     return normalised(both).withColumnRenamed("score", "fused_score")
 
 
