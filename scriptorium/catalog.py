@@ -22,8 +22,8 @@ flagship = bm25_topk
 @query(f"WITH {BM25} SELECT query_id, n AS pool, round(avgdl, 6) AS avgdl FROM pool")
 def keyword_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    hits = terms.join(retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), "term").select("query_id", "node_id", "dl").distinct()
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    hits = terms.join(retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text", terms), "term")
+    return retrieval.pool_sizes(hits).select("query_id", F.col("n").alias("pool"), F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"SELECT id AS doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM ({DOC_TOKENS}) GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import ABBREVIATIONS, ROLES, doi, hash_vector, line_kind, paper_identifier, query_expression, semantic_role, sentences
+from .functions.text import ABBREVIATIONS, ROLES, doi, each, hash_vector, line_kind, paper_identifier, query_expression, semantic_role, sentences
 from .operators import chunking, library
 from .registry import DOC_TOKENS, LINES, query, table
 
@@ -33,7 +33,7 @@ _CHUNKS = f"""{_SENTENCES}, u0 AS (SELECT doc_id, section, ord AS sord, unnest(r
 @query(f"WITH {_SENTENCES} SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY ord)::INT AS n, text AS sentence FROM sen")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.section_rows(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "section", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "section", (F.col("pos") + 1).alias("n"), "sentence")
+    return each(rows, ["doc_id", "section"], sentences(F.col("text")), "pos", "sentence").select("doc_id", "section", (F.col("pos") + 1).alias("n"), "sentence")
 
 
 @query(f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks")
@@ -50,7 +50,7 @@ def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id AS doc_id, ('0x' || substr(md5(term), 31, 2))::INT % 64 AS dim, count(*)::DOUBLE AS weight FROM ({DOC_TOKENS}) GROUP BY ALL")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(hash_vector(F.col("text"))).alias("dim", "weight")).where("weight > 0")
+    return each(table(spark, sf_dir, "documents"), ["doc_id"], hash_vector(F.col("text")), "dim", "weight").where("weight > 0")
 
 
 _SYMBOLS = "[=+<>∑∫√≤≥±]"

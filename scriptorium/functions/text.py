@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # English words that carry no meaning for keyword recall.
@@ -16,6 +16,14 @@ STOP_WORDS = (
 ).split()
 
 
+def each(df: DataFrame, keep: list, array: Column, pos: str, value: str) -> DataFrame:
+    """The kept columns and one row per element of an array, numbered from 0.
+
+    The inner form of the generator would make the optimiser filter on the array's size first and so evaluate the array once more.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def _latin(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), F.lit(1))
 

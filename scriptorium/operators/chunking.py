@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import hard_split, hash_vector, packed, sentences, short_hash
+from ..functions.text import each, hard_split, hash_vector, packed, sentences, short_hash
 from .library import lines
 
 MAX_CHARS = 1800
@@ -16,13 +16,13 @@ OVERLAP = 1
 def section_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, section, text): non-empty lines numbered from 1. Numbering stays inside the row, so nothing is shuffled."""
     kept = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
-    return docs.select("doc_id", F.posexplode(kept).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("section"), "text")
+    return each(docs, ["doc_id"], kept, "pos", "text").select("doc_id", (F.col("pos") + 1).alias("section"), "text")
 
 
 def chunks(docs: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, section, chunk, units, text): sentences packed greedily within a section, chunks numbered from 1."""
     units = F.flatten(F.transform(sentences(F.col("text")), lambda s: hard_split(s, most)))
-    rows = section_rows(docs).withColumn("units", units).select("doc_id", "section", F.posexplode(packed(F.col("units"), most, overlap)).alias("pos", "parts"))
+    rows = each(section_rows(docs).withColumn("units", units), ["doc_id", "section"], packed(F.col("units"), most, overlap), "pos", "parts")
     return rows.select("doc_id", "section", (F.col("pos") + 1).alias("chunk"), F.size("parts").alias("units"), F.array_join("parts", " ").alias("text"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import short_hash
+from ..functions.text import each, short_hash
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def html_headings(pages: DataFrame) -> DataFrame:
 def section_nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, n, node_id, line) of every non-empty line, numbered inside the row."""
     kept = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
-    rows = docs.select("doc_id", F.posexplode(kept).alias("pos", "line")).withColumn("n", F.col("pos") + 1)
+    rows = each(docs, ["doc_id"], kept, "pos", "line").withColumn("n", F.col("pos") + 1)
     return rows.select("doc_id", "n", F.format_string("%d:section:%04d", "doc_id", "n").alias("node_id"), "line")
 
 
@@ -106,7 +106,7 @@ def index_status(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def inverted(docs: DataFrame) -> DataFrame:
     """(doc_id, index): each word's positions, as catalogues publish abstracts."""
     words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
-    at = docs.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
+    at = each(docs, ["doc_id"], words, "pos", "word").groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
     return at.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_terms, keyword_tokens
+from ..functions.text import each, keyword_terms, keyword_tokens
 from .vectors import block_hits
 
 K1, B = 1.2, 0.75
@@ -20,25 +20,31 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 
 
 def query_terms(queries: DataFrame, key: str, text: str, most: int = 12) -> DataFrame:
-    return queries.select(F.col(key).alias("query_id"), F.posexplode(keyword_terms(F.col(text), most)).alias("ord", "term"))
+    return each(queries, [F.col(key).alias("query_id")], keyword_terms(F.col(text), most), "ord", "term")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(node_id, dl, term, tf): one row per distinct token of a node."""
-    tokens = docs.select(F.col(key).alias("node_id"), keyword_tokens(F.col(text)).alias("tokens"))
-    exploded = tokens.select("node_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("node_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(node_id, dl, term, tf): one row per distinct token of a node that is a query's term; dl counts all its tokens."""
+    tokens = docs.select(F.col(key).alias("node_id"), keyword_tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    exploded = each(tokens, ["node_id", "dl"], F.col("tokens"), "ord", "term").drop("ord")
+    asked = exploded.join(terms.select("term").distinct(), "term", "left_semi")
+    # every reader of a posting depends on tf, so column pruning leaves them one exchange to share
+    return asked.groupBy("node_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).where("tf > 0")
+
+
+def pool_sizes(hits: DataFrame) -> DataFrame:
+    """(query_id, n, avgdl) of each query's pool, the nodes that hold one of its terms."""
+    return hits.select("query_id", "node_id", "dl").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(terms: DataFrame, posts: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, node_id, score, matched): BM25 over each query's pool, the nodes that hold one of its terms.
+    """(query_id, node_id, score, matched): BM25 over each query's pool.
 
     Only postings of query terms are joined; pool size, mean length and frequencies come from that join.
     """
-    hits = terms.join(posts, "term").select("query_id", "ord", "term", "node_id", "dl", "tf")
-    pool = hits.select("query_id", "node_id", "dl").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    hits = terms.join(posts, "term").select("query_id", "term", "node_id", "dl", "tf")
     df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(pool, "query_id").join(df, ["query_id", "term"])
+    scored = hits.join(pool_sizes(hits), "query_id").join(df, ["query_id", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "node_id").agg(F.sum(part).alias("raw"), F.count(F.lit(1)).alias("matched"))
@@ -51,7 +57,8 @@ def normalised(scores: DataFrame) -> DataFrame:
 
 
 def keyword_top_k(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k: int = 10) -> DataFrame:
-    scores = normalised(bm25(query_terms(queries, qkey, "text"), postings(docs, dkey, "text")))
+    terms = query_terms(queries, qkey, "text")
+    scores = normalised(bm25(terms, postings(docs, dkey, "text", terms)))
     return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("node_id")], k).select("query_id", "node_id", "score", "matched", "rank")
 
 
