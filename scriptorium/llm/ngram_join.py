@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, expand, rows_of, span_hash, squeeze, word_hashes, word_spans
+from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, bucket_of, expand, rows_of, span_hash, squeeze, word_hashes, word_spans
 from .shared import components, mix64, release_memory, stash
 
 #: Text in one scan chunk.
@@ -76,11 +77,13 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
     """Steps 1 to 3: a row per document with doc_id, n_shingles, node, unshared, prefix, fragments.
 
     prefix and fragments are empty for documents that can have no partner, and for all but one of equal sets in a chunk.
+    A chunk is named by its task's partition and its number there. Its blocks also carry a digest of its rows in their order:
+    a task that ran again over rows in another order is an error, not a mixture.
     """
     buckets = bucket_count(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def flush(chunk: int, ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             grams, owner = _distinct(*shingles(texts, n))
             size, sig = signatures(grams, owner, len(ids))
             doc = np.array(ids, np.int64)
@@ -89,7 +92,7 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
             first[order] = np.concatenate([[True], sig[order][1:] != sig[order][:-1]])
             keep = first[owner]
             grams, owner = grams[keep], owner[keep].astype(np.uint32)
-            chunk = int(mix64(np.array([np.bitwise_xor.reduce(mix64(sig + doc.view(U64)))], U64)).view(np.int64)[0])
+            name = np.array([chunk, mix64(mix64(sig + mix64(doc.view(U64))) + np.arange(len(doc), dtype=U64)).sum().view(np.int64)])
             start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
             many = np.diff(np.append(start, len(grams)))
             here = np.repeat(many, many)
@@ -98,13 +101,14 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
             ask[start] = True
             bucket = (grams >> U64(32)) * U64(buckets) >> U64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
-            out = [(buckets + chunk % buckets, squeeze(np.array([chunk]), doc, size.astype(np.uint32), sig, first.astype(np.uint8)))]
+            out = [(buckets + int(bucket_of(name[:1], buckets)[0]), squeeze(name, doc, size.astype(np.uint32), sig, first.astype(np.uint8)))]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 r = slice(cuts[b], cuts[b + 1])
                 a, h = ask[r], hot[r]
-                out.append((b, squeeze(np.array([chunk]), np.diff(grams[r][a], prepend=U64(0)), owner[r][a], h[a].astype(np.uint8), grams[r][h], owner[r][h])))
+                out.append((b, squeeze(name, np.diff(grams[r][a], prepend=U64(0)), owner[r][a], h[a].astype(np.uint8), grams[r][h], owner[r][h])))
             yield from block_table(out).to_batches()
 
+        chunk = TaskContext.get().partitionId() << 32
         ids, texts, held = [], [], 0
         for b in batches:
             for i, x in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -113,10 +117,11 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
                 texts.append(raw)
                 held += len(raw)
                 if held >= CHUNK_BYTES:
-                    yield from flush(ids, texts)
+                    yield from flush(chunk, ids, texts)
+                    chunk += 1
                     ids, texts, held = [], [], 0
         if ids:
-            yield from flush(ids, texts)
+            yield from flush(chunk, ids, texts)
         release_memory()
 
     def count(table: pa.Table) -> pa.Table:
@@ -145,6 +150,8 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
     def order(table: pa.Table) -> pa.Table:
         parts = [expand(x) for x in rows_of(table)]
         heads, blocks = [p for p in parts if len(p) == 5], [p for p in parts if len(p) == 4]
+        if len(heads) != 1 or any((p[0] != heads[0][0]).any() for p in blocks):
+            raise RuntimeError(f"a scan chunk with {len(heads)} heads, or blocks of other rows than its head's")
         doc, size, sig, first = heads[0][1:]
         size = size.astype(np.int64)
         grams, owner, df = (np.concatenate([p[i] for p in blocks]) if blocks else np.zeros(0, z) for i, z in ((1, U64), (2, np.uint32), (3, np.uint8)))

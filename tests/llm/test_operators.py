@@ -106,6 +106,17 @@ def test_ngram_join(docs, texts, empty, n, t):
     assert ngram_join.join(empty, n, t).count() == 0
 
 
+def test_ngram_join_answers_repeated_rows(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{near} x{i}" if i < 3 else " ".join(f"u{i}v{k}" for k in range(30))) for i in range(40)]
+    across = spark.createDataFrame(rows, "doc_id long, text string")
+    across = across.union(across)  # chunks with the same rows
+    adjacent = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string").repartitionByRange(8, "doc_id")  # chunks that hold their rows twice
+    want = sorted((i, len(t.split()) - 4, 0 if i < 3 else i) for i, t in rows for _ in range(2))
+    for df in (across, adjacent):
+        assert df.rdd.getNumPartitions() == 8 and sorted(tuple(r) for r in ngram_join.join(df).collect()) == want
+
+
 def test_pii_spans():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
