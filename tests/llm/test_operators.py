@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from scriptorium.llm import bwt, decontaminate, langid, ngram_join, packing, pii, quality, rlz, syncmers, warc
+from scriptorium.llm.shared import components
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket string"
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -117,6 +118,17 @@ def test_ngram_join_answers_repeated_rows(spark):
         assert df.rdd.getNumPartitions() == 8 and sorted(tuple(r) for r in ngram_join.join(df).collect()) == want
 
 
+def test_components_of_long_paths(spark):
+    n, r = 2000, random.Random(6)
+    zigzag = [k // 2 if k % 2 == 0 else n - 1 - k // 2 for k in range(n)]
+    edges = []
+    for p, ids in enumerate((list(range(n)), list(range(n))[::-1], zigzag, r.sample(range(n), n))):
+        edges += [(p * n + a, p * n + b) for a, b in zip(ids, ids[1:])]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x.id: x.component for x in got} == {i: i // n * n for i in range(4 * n)} and len(got) == 4 * n
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_pii_spans():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
