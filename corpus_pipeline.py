@@ -21,9 +21,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of five-word Jaccard links of 0.8 or more; a repeated doc_id stays once."""
-    kept = ngram_join.join(docs, n=5, t=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each component of five-word Jaccard links of 0.8 or more, that with the smallest doc_id, and every row without words."""
+    return ngram_join.one_each(docs, n=5, t=80)
 
 
 def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, bucket_of, expand, rows_of, span_hash, squeeze, word_hashes, word_spans
@@ -73,8 +73,13 @@ def signatures(grams: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.nda
     return size, np.where(size > 0, mix64(total + size.astype(U64)), U64(0))
 
 
+def text_key() -> Column:
+    """64-bit hash of a row's text as it stands: with doc_id, what tells rows apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """Steps 1 to 3: a row per document with doc_id, n_shingles, node, unshared, prefix, fragments.
+    """Steps 1 to 3: a row per document with doc_id, text_key, n_shingles, node, unshared, prefix, fragments.
 
     prefix and fragments are empty for documents that can have no partner, and for all but one of equal sets in a chunk.
     A chunk is named by its task's partition and its number there. Its blocks also carry a digest of its rows in their order:
@@ -83,7 +88,7 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
     buckets = bucket_count(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(chunk: int, ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def flush(chunk: int, ids: list[int], keys: list[np.ndarray], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             grams, owner = _distinct(*shingles(texts, n))
             size, sig = signatures(grams, owner, len(ids))
             doc = np.array(ids, np.int64)
@@ -101,7 +106,7 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
             ask[start] = True
             bucket = (grams >> U64(32)) * U64(buckets) >> U64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
-            out = [(buckets + int(bucket_of(name[:1], buckets)[0]), squeeze(name, doc, size.astype(np.uint32), sig, first.astype(np.uint8)))]
+            out = [(buckets + int(bucket_of(name[:1], buckets)[0]), squeeze(name, doc, np.concatenate(keys), size.astype(np.uint32), sig, first.astype(np.uint8)))]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 r = slice(cuts[b], cuts[b + 1])
                 a, h = ask[r], hot[r]
@@ -109,19 +114,21 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
             yield from block_table(out).to_batches()
 
         chunk = TaskContext.get().partitionId() << 32
-        ids, texts, held = [], [], 0
+        ids, keys, texts, held = [], [], [], 0
         for b in batches:
-            for i, x in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            key = b.column("text_key").to_numpy()
+            for k, (i, x) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True)):
                 raw = (x.as_py() or "").encode("utf-8").lower()
                 ids.append(NULL_ID if i is None else i)
+                keys.append(key[k : k + 1])
                 texts.append(raw)
                 held += len(raw)
                 if held >= CHUNK_BYTES:
-                    yield from flush(chunk, ids, texts)
+                    yield from flush(chunk, ids, keys, texts)
                     chunk += 1
-                    ids, texts, held = [], [], 0
+                    ids, keys, texts, held = [], [], [], 0
         if ids:
-            yield from flush(chunk, ids, texts)
+            yield from flush(chunk, ids, keys, texts)
         release_memory()
 
     def count(table: pa.Table) -> pa.Table:
@@ -149,10 +156,10 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
 
     def order(table: pa.Table) -> pa.Table:
         parts = [expand(x) for x in rows_of(table)]
-        heads, blocks = [p for p in parts if len(p) == 5], [p for p in parts if len(p) == 4]
+        heads, blocks = [p for p in parts if len(p) == 6], [p for p in parts if len(p) == 4]
         if len(heads) != 1 or any((p[0] != heads[0][0]).any() for p in blocks):
             raise RuntimeError(f"a scan chunk with {len(heads)} heads, or blocks of other rows than its head's")
-        doc, size, sig, first = heads[0][1:]
+        doc, key, size, sig, first = heads[0][1:]
         size = size.astype(np.int64)
         grams, owner, df = (np.concatenate([p[i] for p in blocks]) if blocks else np.zeros(0, z) for i, z in ((1, U64), (2, np.uint32), (3, np.uint8)))
         o = np.lexsort((grams, df, owner))
@@ -173,17 +180,18 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
         frags = pa.StructArray.from_arrays([pa.array(f[edge].astype(np.int32)), grams_of], names=["fragment", "grams"])
         columns = [
             pa.array([None if i == NULL_ID else i for i in doc.tolist()], pa.int64()),
+            pa.array(key),
             pa.array(size),
             pa.array(sig.view(np.int64)),
             pa.array(unshared),
             pa.ListArray.from_arrays(offsets(n_prefix), pa.array(grams[prefix].view(np.int64))),
             pa.ListArray.from_arrays(offsets(np.bincount(w[edge], minlength=len(doc))), frags),
         ]
-        return pa.table(columns, names=["doc_id", "n_shingles", "node", "unshared", "prefix", "fragments"])
+        return pa.table(columns, names=["doc_id", "text_key", "n_shingles", "node", "unshared", "prefix", "fragments"])
 
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, BLOCKS_DDL)
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(scan, BLOCKS_DDL)
     counted = scanned.groupBy("bucket").applyInArrow(count, BLOCKS_DDL)
-    return counted.groupBy("bucket").applyInArrow(order, "doc_id long, n_shingles long, node long, unshared long, prefix array<long>, fragments array<struct<fragment: int, grams: array<long>>>")
+    return counted.groupBy("bucket").applyInArrow(order, "doc_id long, text_key long, n_shingles long, node long, unshared long, prefix array<long>, fragments array<struct<fragment: int, grams: array<long>>>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -231,11 +239,31 @@ def links(items: DataFrame, t: int) -> DataFrame:
     return found.unionByName(_verified(rest, sets, t))
 
 
-def join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity t / 100 or more)."""
+def _keyed_rows(docs: DataFrame, n: int, t: int) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles, and as key its component's least node; null for an empty set."""
     items = stash(ordered_items(docs, n, t), "sets")
     label = components(stash(links(items, t), "links"))
-    rows = items.select("doc_id", "n_shingles", "node").join(label, items["node"] == label["id"], "left")
-    rows = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("key"))
+    rows = items.select("doc_id", "text_key", "n_shingles", "node").join(label, items["node"] == label["id"], "left")
+    return rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("key"))
+
+
+def join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity t / 100 or more)."""
+    rows = _keyed_rows(docs, n, t)
     least = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "key", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_each(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
+    """One row of docs per component, and every row without words.
+
+    Rows are told apart by (doc_id, text). Of a component's rows that with the smallest doc_id stays, a null one last;
+    of several with that id, one fixed by the hash of its text.
+    """
+    wordless = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
+    some = docs.where(~wordless)
+    kept = _keyed_rows(some, n, t).groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"))
+    id_ = lambda c: F.coalesce(c.cast("long"), F.lit(NULL_ID)).alias("_id")
+    kept = kept.select(id_(F.col("least.doc_id")), F.col("least.text_key").alias("_key"))
+    some = some.select("*", id_(F.col("doc_id")), text_key().alias("_key")).join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return some.select(*docs.columns).unionByName(docs.where(wordless))

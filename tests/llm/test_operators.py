@@ -129,6 +129,19 @@ def test_components_of_long_paths(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_duplicates_decide_per_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(3, a), (5, a + " x"), (5, b), (5, b), (5, b + "  y"), (None, c), (None, d), (None, d), (None, a), (7, e), (7, c), (8, ""), (8, ""), (None, None), (None, " "), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "x") for i, t in rows], DDL)
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in out.collect())
+    assert out.columns == df.columns
+    either = [x for x in got if x in ((5, b), (5, b + "  y"))]
+    assert len(either) == 1 and got == sorted([(3, a), *either, (-1, d), (7, e), (7, c), (8, ""), (8, ""), (-1, ""), (-1, ""), (-1, " ")])
+
+
 def test_pii_spans():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
