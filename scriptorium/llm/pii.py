@@ -10,7 +10,7 @@ Base kinds, leftmost and non-overlapping within a kind, failing candidates dropp
   card   digits with single blanks or hyphens between, 16 to 19 digits, Luhn
   phone  + and 8 to 15 digits with blanks, points, brackets or hyphens between
 Kinds that anchors add: `account` (the value after a cue such as `token =`, `iban:`) and `login` (a URL that
-carries user:password@).
+carries user:password@). Cues and schemes count in any case; values and passwords have no greatest length.
 
 Null or empty text: no spans. Repeated rows: each row is answered. Extra columns are ignored by `find`
 and kept by `redact`.
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sha256_hex
+from .shared import ASCII_LOWER, sha256_hex
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = ("email", "ip", "card", "phone", "account", "login")
@@ -37,15 +37,17 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: After a cue: separators, an optional quote, then a value with at least one digit.
-VALUE = re.compile(r"[\"']?\s{0,3}[:=#]?\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_./+=-]{7,127})")
-LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/]{1,64}@[A-Za-z0-9.-]+")
+#: After a cue: separators, an optional quote, then a value of any length with at least one digit.
+GAP = re.compile(r"[\"']?\s{0,3}[:=#]?\s{0,3}[\"']?(?=[A-Za-z0-9])")
+VALUE = re.compile(r"[A-Za-z0-9_./+=-]{8,}")
+LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/]+@[A-Za-z0-9.-]+")
 
 CUES = ("api_key", "api-key", "apikey", "secret", "password", "passwd", "token", "iban", "account", "passport", "ssn")
 SCHEMES = ("http://", "https://", "ftp://")
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """Of all anchors, for texts with A-Z lowered: cues and schemes count in any case."""
     a = ahocorasick.Automaton()
     a.add_word("@", ("email", 1))
     for x in "0123456789":
@@ -55,8 +57,7 @@ def _automaton() -> ahocorasick.Automaton:
             for gap in ("", " ", "-"):
                 a.add_word(f"{x}{gap}{y}", ("card", 2 + len(gap)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("account", len(form)))
+        a.add_word(cue, ("account", len(cue)))
     for scheme in SCHEMES:
         a.add_word(scheme, ("login", len(scheme)))
     a.make_automaton()
@@ -114,7 +115,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         _AUTOMATON = _automaton()
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)  # per kind: where the next candidate may start
-    for last, (kind, width) in _AUTOMATON.iter(text):
+    barren = 0  # up to here values have no digit
+    for last, (kind, width) in _AUTOMATON.iter(text.translate(ASCII_LOWER)):
         start = last + 1 - width
         if kind == "email":
             if start < done[kind]:
@@ -150,9 +152,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 if 8 <= sum(c in DIGITS for c in m[0]) <= 15:
                     found[kind].append(m.span())
         elif kind == "account":
-            if (start == 0 or not text[start - 1].isalnum()) and (m := VALUE.match(text, last + 1)) and any(c in DIGITS for c in m[1]):
-                found[kind].append(m.span(1))
-                done[kind] = m.end(1)
+            if (start == 0 or not text[start - 1].isalnum()) and (gap := GAP.match(text, last + 1)) and gap.end() >= barren and (m := VALUE.match(text, gap.end())):
+                if any(c in DIGITS for c in m[0]):
+                    found[kind].append(m.span())
+                    done[kind] = m.end()
+                else:
+                    barren = m.end()
         elif m := LOGIN.match(text, last + 1):
             found[kind].append(m.span())
             done[kind] = m.end()

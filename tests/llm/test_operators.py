@@ -161,6 +161,16 @@ def test_pii_spans():
     assert pii.mask("mail joe@x.org, token = 'ab12cd34ef'!") == "mail [email], token = '[account]'!"
 
 
+def test_pii_long_secrets_and_mixed_case():
+    late = "x" * 300 + "7" + "y-_" * 200
+    for cue in ("token", "Api_Key", "API-Key", "ApiKey", "pAsSwOrD"):
+        assert pii.mask(f"é {cue}: {late}, end") == f"é {cue}: [account], end"
+    assert pii.mask(f"see HTTPS://joe:{'p!' * 200}@x.org/a") == "see HTTPS://[login]/a"
+    assert pii.find_spans("secret=password: ab12cd34") == [("account", 17, 25)]
+    assert pii.find_spans("token=" * 300_000) == []  # in linear time
+    assert pii.find_spans("token=" * 3 + "a1") == [("account", 6, 20)]
+
+
 def test_pii_tables(docs, texts, empty):
     assert pii.find(docs).count() == len(texts) and pii.find(empty).count() == 0
     assert pii.redact(docs).columns == docs.columns
