@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import evidence, runs
 from .registry import LOG, query, table
 from .sources import tables
+from .storage import fresh_path
 from .streaming import events as streams
 
 _JUDGED = """j AS (SELECT doc_id AS paper, 'quality' AS dimension, 1 AS round, CASE quality WHEN 1 THEN 'covered' ELSE 'missing' END AS status, doc_id + doc_id % 2 AS cites FROM labels
@@ -147,7 +148,7 @@ def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'documents' AS name, count(*) AS rows, true AS consistent FROM documents UNION ALL SELECT 'labels', count(*), true FROM labels")
 def backup_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = tables.fresh_folder(spark, "backup")
+    folder = fresh_path(spark, "backup")
     tables.backup(spark, {name: table(spark, sf_dir, name) for name in ("documents", "labels")}, folder)
     return tables.verified(spark, folder)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import citation_markers, short_hash
+from ..storage import shared_dir
 
 
 def evidence_id(*parts: Column) -> Column:
@@ -39,10 +40,7 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, most: int =
     Semi-naive: a step joins only the pairs that are new; lineage is cut in the shared checkpoint folder. Steps end when
     nothing is new; deeper graphs than `most` steps raise.
     """
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        from ..sources.tables import shared_folder
-
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    shared_dir(spark)
     found = fresh = seeds.select(F.col("artifact").alias("root"), "artifact").distinct()
     for _ in range(most):
         step = fresh.join(edges, "artifact").select("root", F.col("source").alias("artifact")).distinct()

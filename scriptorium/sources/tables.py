@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,11 +12,6 @@ WORKS = "id string, title string, publication_date string, publication_year int,
 FEED = "id string, title string, summary string, published string"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of its own only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptorium-")
-
-
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
     """Readable manifests, newest first; broken files and rows without an id drop."""
     rows = spark.read.schema(MANIFEST).options(mode="DROPMALFORMED", multiLine=True, pathGlobFilter="*.json").json(folder)
@@ -113,10 +105,6 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
     return listed.alias("l").join(out.alias("n"), "name").select("name", "l.rows", ((F.col("l.rows") == F.col("n.rows")) & (F.col("l.digest") == F.col("n.digest"))).alias("consistent"))
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def markdown(rows: DataFrame, title: str) -> str:
     """A report of a small result: one line per row; more than 1000 rows are refused."""
     found = rows.limit(1001).collect()

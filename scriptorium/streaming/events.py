@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.tables import fresh_folder
+from ..storage import fresh_path
 
 SCHEMA = "run_id long, sequence long, event_type string, event_id long"
 
@@ -39,7 +39,7 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def run_available(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Numbers all events that are in the folder now and returns the table they were written to."""
-    target = fresh_folder(spark, name)
+    target = fresh_path(spark, name)
     query = numbered(file_stream(spark, path)).writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(SCHEMA).parquet(f"{target}/out")
@@ -88,7 +88,7 @@ def last_update(spark: SparkSession, path: str, name: str, transform: Callable[[
 
     A batch's rows go to a folder of its own, overwritten when the batch is repeated, so a restart doubles nothing.
     """
-    target = fresh_folder(spark, name)
+    target = fresh_path(spark, name)
     stream = file_stream(spark, path)
 
     def store(rows: DataFrame, batch: int) -> None:
