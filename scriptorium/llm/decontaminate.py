@@ -8,10 +8,11 @@ cannot hold an occurrence, so the index keeps the longer runs only, each after a
   -> spans merged per document.
 
 The benchmark is broadcast in blocks of at most `block_windows` windows (a documented bound); each block is one
-more map over the same rows, so a larger benchmark needs more passes, not more memory.
+more map over the same rows, stored in between, so a larger benchmark needs more passes, not more memory.
 
 Null or empty text: no words, no hits. Null items: no windows. Repeated rows and items: each row is answered,
-an item_id counts once. Extra columns are ignored by `hits` and kept by `cut`.
+an item_id counts once, a null one as the empty string. Item ids may hold any characters. Extra columns are kept by `cut`,
+whatever their names; doc_id may be of any type.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release_memory, sha256_hex
+from .shared import release_memory, sha256_hex, stash
 
 TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # on UTF-8 bytes: those of other code points all count
 WINDOW = 10
@@ -189,13 +189,13 @@ def blocks_of(benchmark: DataFrame, window: int, block_windows: int) -> Iterator
         yield Phrases(block)
 
 
-_HITS = pa.schema([("n_words", pa.int64()), ("h_start", pa.list_(pa.int32())), ("h_end", pa.list_(pa.int32())), ("h_item", pa.list_(pa.string()))])
+_HITS = pa.schema([("n_words", pa.int64()), ("h_start", pa.list_(pa.int32())), ("h_end", pa.list_(pa.int32())), ("h_item", pa.list_(pa.list_(pa.string())))])
 
 
 def _add_hits(df: DataFrame, phrases: Phrases | None, first: bool, cutting: bool = False) -> DataFrame:
-    """Adds one block's occurrences to the hit columns, the text stays for the next block; or, for the last block, cuts the hits out of the text."""
+    """df: (row, text) and, but for the first block, the hit columns. Adds one block's occurrences; or, for the last block,
+    cuts the hits out of the text."""
     shared = df.sparkSession.sparkContext.broadcast(phrases)
-    names = [c for c in df.columns if c not in _HITS.names]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
@@ -204,18 +204,15 @@ def _add_hits(df: DataFrame, phrases: Phrases | None, first: bool, cutting: bool
             hits, at = found.occurrences(runs) if found else [[] for _ in runs], 0
             for b in held:
                 own = hits[at : at + b.num_rows]
-                starts, ends = [[s for s, _, _ in h] for h in own], [[e for _, e, _ in h] for h in own]
-                items = [["\n".join(found.items[p]) for _, _, p in h] for h in own]
-                words = n_words[at : at + b.num_rows]
+                new = [[[s for s, _, _ in h] for h in own], [[e for _, e, _ in h] for h in own], [[found.items[p] for _, _, p in h] for h in own]]
                 if not first:
-                    starts, ends, items = ([x + y for x, y in zip(b.column(c).to_pylist(), new, strict=True)] for c, new in (("h_start", starts), ("h_end", ends), ("h_item", items)))
+                    new = [[x + y for x, y in zip(b.column(c).to_pylist(), n, strict=True)] for c, n in zip(_HITS.names[1:], new, strict=True)]
                 if cutting:
-                    texts = [t if t is None or not s else _cut(t, s, e) for t, s, e in zip(b.column("text").to_pylist(), starts, ends, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
-                    at += b.num_rows
-                    continue
-                new = [pa.array(words, pa.int64()), pa.array(starts, _HITS.field(1).type), pa.array(ends, _HITS.field(2).type), pa.array(items, _HITS.field(3).type)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *new], names=[*names, *_HITS.names])
+                    texts = [t if t is None or not s else _cut(t, s, e) for t, s, e in zip(b.column("text").to_pylist(), new[0], new[1], strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+                else:
+                    columns = [pa.array(x, f.type) for x, f in zip([n_words[at : at + b.num_rows], *new], _HITS, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), *columns], names=["row", "text", *_HITS.names])
                 at += b.num_rows
 
         held, runs, n_words, symbols, size = [], [], [], 0, 0
@@ -236,23 +233,24 @@ def _add_hits(df: DataFrame, phrases: Phrases | None, first: bool, cutting: bool
             yield from flush(held, runs, n_words)
         release_memory()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
-    if cutting:
-        return df.mapInArrow(each, fields)
-    return df.mapInArrow(each, f"{fields}, n_words long, h_start array<int>, h_end array<int>, h_item array<string>")
+    kept = f"row {df.schema['row'].dataType.simpleString()}, text string"
+    return df.mapInArrow(each, kept if cutting else f"{kept}, n_words long, h_start array<int>, h_end array<int>, h_item array<array<string>>")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, cutting: bool = False) -> DataFrame:
-    """The documents with n_words and every occurrence of a window: h_start, h_end (words, end exclusive), h_item (item ids, one a line).
+def hits(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, cutting: bool = False) -> DataFrame:
+    """rows: (row, text), `row` of any type. They come back with n_words and every occurrence of a window: h_start, h_end
+    (words, end exclusive), h_item (item ids of each).
 
-    cutting: the documents without the spans hit instead.
+    cutting: (row, text) without the spans hit instead. Between two blocks the rows are stored, and the block is let go.
     """
-    out, first = docs.drop(*_HITS.names), True
+    out, first = rows, True
     blocks = blocks_of(benchmark, window, block_windows)
     block = next(blocks, None)
     while block is not None:
         following = next(blocks, None)
         out, first = _add_hits(out, block, first, cutting and following is None), False
+        if following is not None:
+            out = stash(out, "hits")
         block = following
     return _add_hits(out, None, True, cutting) if first else out
 
@@ -268,23 +266,25 @@ def merged(starts, ends) -> list[list[int]]:
     return out
 
 
+_REPORT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string())])
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, spans (merged word spans)."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged word spans)."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for n, starts, ends, items in zip(b["n_words"], b["h_start"], b["h_end"], b["h_item"], strict=True):
+            for n, starts, ends, items in zip(*(b.column(c).to_pylist() for c in _HITS.names), strict=True):
                 spans = merged(starts, ends)
-                ids = sorted({i for x in items for i in x.split("\n")})
+                ids = sorted({i for x in items for i in x})
                 rows.append((n, sum(e - s for s, e in spans), len(ids), sha256_hex(",".join(ids)), bool(spans), ",".join(f"{s}-{e}" for s, e in spans)))
-            out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            yield out
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_REPORT), _REPORT, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *_REPORT.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = hits(docs.select("doc_id", "text"), benchmark, window).drop("text")
-    return found.mapInPandas(each, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    found = hits(docs.select(F.col("doc_id").alias("row"), "text"), benchmark, window).drop("text").withColumnRenamed("row", "doc_id")
+    return found.mapInArrow(each, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
 
 
 def _cut(text: str, starts, ends) -> str:
@@ -299,5 +299,8 @@ def _cut(text: str, starts, ends) -> str:
 
 def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the spans that occur in the benchmark (first to last hit word of each); n_chars follows."""
-    out = hits(docs, benchmark, window, cutting=True).select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], *([] if others else [F.lit(0).alias("none")])).alias("row"), "text")
+    out = hits(rows, benchmark, window, cutting=True)
+    out = out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else out

@@ -9,7 +9,7 @@
    remaining capacities (0..capacity) finds that bin in log2(capacity) steps.
 
 Null text: only the end id. Empty tables: no rows. Repeated rows: packed as often as they occur.
-Pieces of equal length go by key; extra columns are ignored.
+Pieces of equal length go by doc_id and number, null ids last; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import by_text, stash
 
 CAPACITY = 4096
 END_ID = 1
@@ -113,27 +114,25 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece; map-only."""
     path = path or tokenizer_path()
     end = array.array("I", [end_id]).tobytes()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        for b in batches:
-            keys, rows = [], []
-            for k, ids in zip(b["doc_id"].array, enc.encode([t or "" for t in b["text"]]), strict=True):
-                ids += end
-                for i, s in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[s : s + 4 * capacity]
-                    keys.append(k)
-                    rows.append((i, s // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-            out.insert(0, "doc_id", pd.array(keys, dtype=b["doc_id"].dtype))
-            yield out
+    def rows(texts: list[str | None]) -> tuple[list[int], list]:
+        source, out = [], []
+        for k, ids in enumerate(encoder(path).encode([t or "" for t in texts])):
+            ids += end
+            for i, s in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[s : s + 4 * capacity]
+                source.append(k)
+                out.append((i, s // 4, len(part) // 4, zlib.crc32(part)))
+        return source, list(zip(*out, strict=True))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return by_text(docs, rows, "piece int, start long, length long, ids_crc32 long", PIECES)
 
 
 class Capacities:
@@ -187,12 +186,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     parts = stash(pieces(docs, capacity, end_id, path), "pieces")
     shards = max(1, -(-parts.count() // shard_pieces))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, pdf["offset"] = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = pdf["shard"].to_numpy() * (1 << 32) + bins
-        return pdf.drop(columns="shard")
+    def place(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.take(order)
+        bins, offsets = best_fit_decreasing(table.column("length").to_numpy(), capacity)
+        sequence = table.column("shard").to_numpy() * (1 << 32) + bins
+        return table.drop_columns("shard").append_column("offset", pa.array(offsets)).append_column("sequence_id", pa.array(sequence))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(place, f"{fields}, offset long, sequence_id long")
+    return dealt.groupBy("shard").applyInArrow(place, f"{fields}, offset long, sequence_id long")

@@ -9,8 +9,13 @@ Base kinds, leftmost and non-overlapping within a kind, failing candidates dropp
   ip     four dotted digit runs, each at most 255
   card   digits with single blanks or hyphens between, 16 to 19 digits, Luhn
   phone  + and 8 to 15 digits with blanks, points, brackets or hyphens between
-Kinds that anchors add: `account` (the value after a cue such as `token =`, `iban:`) and `login` (a URL that
-carries user:password@). Cues and schemes count in any case; values and passwords have no greatest length.
+Kinds that anchors add:
+  account  the value after a cue and a separator (`token = ...`, `API key: ...`, `IBAN: ...`), or a value that begins as
+           the keys of well-known services do. It is judged by its shape: an account number by the IBAN's check digits or by 6
+           digits at least, a secret by 8 characters at least with two digits (or one and other signs) among letters, or by
+           20 characters at least with capitals inside (see `secret_shape`)
+  login    a URL that carries user:password@
+Cues and schemes count in any case, a cue's words may be joined by a blank, hyphen or underscore; values and passwords have no greatest length.
 
 Null or empty text: no spans. Repeated rows: each row is answered. Extra columns are ignored by `find`
 and kept by `redact`.
@@ -19,14 +24,14 @@ and kept by `redact`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, sha256_hex
+from .shared import ASCII_LOWER, by_text, sha256_hex
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = ("email", "ip", "card", "phone", "account", "login")
@@ -37,12 +42,20 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: After a cue: separators, an optional quote, then a value of any length with at least one digit.
-GAP = re.compile(r"[\"']?\s{0,3}[:=#]?\s{0,3}[\"']?(?=[A-Za-z0-9])")
-VALUE = re.compile(r"[A-Za-z0-9_./+=-]{8,}")
+#: From a cue's stem to its value: the rest of the cue's words, a quote, a separator that must be there, a quote.
+GAP = re.compile(r"[A-Za-z0-9_ -]{0,24}?[\"']?\s{0,3}(?:[:=#]|=>|\bis\b)\s{0,3}[\"']?(?:(?:Bearer|Basic)\s+)?(?=[A-Za-z0-9+/])")
+#: A value, of any length.
+VALUE = re.compile(r"[A-Za-z0-9_./+=~-]+")
+#: How keys of well-known services begin; they need no cue.
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "eyJ")
+PREFIXED = re.compile(r"[A-Za-z0-9_.-]{16,}")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/]+@[A-Za-z0-9.-]+")
 
-CUES = ("api_key", "api-key", "apikey", "secret", "password", "passwd", "token", "iban", "account", "passport", "ssn")
+#: Stems of cues, lower-cased and without what may stand between their words.
+CUES = ("apikey", "accesskey", "privatekey", "secret", "password", "passwd", "pwd", "token", "credential", "iban", "account", "passport", "ssn")
+#: The stems as anchors: words may be written together or with a blank, hyphen or underscore between.
+CUE_FORMS = {f"{head}{gap}key" for head in ("api", "access", "private") for gap in ("", " ", "-", "_")} | {c for c in CUES if not c.endswith("key")}
 SCHEMES = ("http://", "https://", "ftp://")
 
 
@@ -56,8 +69,10 @@ def _automaton() -> ahocorasick.Automaton:
             a.add_word(f"{x}.{y}", ("ip", 3))
             for gap in ("", " ", "-"):
                 a.add_word(f"{x}{gap}{y}", ("card", 2 + len(gap)))
-    for cue in CUES:
+    for cue in CUE_FORMS:
         a.add_word(cue, ("account", len(cue)))
+    for prefix in KEY_PREFIXES:
+        a.add_word(prefix.lower(), ("key", len(prefix)))
     for scheme in SCHEMES:
         a.add_word(scheme, ("login", len(scheme)))
     a.make_automaton()
@@ -106,6 +121,30 @@ def _dotted_start(text: str, at: int, least: int) -> int:
     return at
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """End of the longest IBAN that starts at `at`: its check digits hold and no word character follows."""
+    m = IBAN.match(text, at)
+    end = m.end() if m else at
+    while end - at >= 15:
+        if text[end - 1] != " " and not text[end : end + 1].isalnum():
+            plain = text[at:end].replace(" ", "").upper()
+            if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                return end
+        end -= 1
+    return None
+
+
+def secret_shape(value: str) -> bool:
+    """Whether a value after a cue looks like a secret or a number, not like a word."""
+    digits = sum(c in DIGITS for c in value)
+    letters = sum(c.isalpha() for c in value)
+    if letters == 0:
+        return digits >= 6
+    if len(value) < 8:
+        return False
+    return digits > 0 and (digits >= 2 or digits + letters < len(value)) or len(value) >= 20 and any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of one text in code points, end exclusive; by kind as in KINDS, then start."""
     global _AUTOMATON
@@ -114,8 +153,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if _AUTOMATON is None:
         _AUTOMATON = _automaton()
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    done = dict.fromkeys(KINDS, 0)  # per kind: where the next candidate may start
-    barren = 0  # up to here values have no digit
+    done = dict.fromkeys((*KINDS, "key"), 0)  # per kind: where the next candidate may start
+    barren = 0  # up to here values were no secrets
     for last, (kind, width) in _AUTOMATON.iter(text.translate(ASCII_LOWER)):
         start = last + 1 - width
         if kind == "email":
@@ -152,12 +191,23 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 if 8 <= sum(c in DIGITS for c in m[0]) <= 15:
                     found[kind].append(m.span())
         elif kind == "account":
-            if (start == 0 or not text[start - 1].isalnum()) and (gap := GAP.match(text, last + 1)) and gap.end() >= barren and (m := VALUE.match(text, gap.end())):
-                if any(c in DIGITS for c in m[0]):
-                    found[kind].append(m.span())
-                    done[kind] = m.end()
-                else:
-                    barren = m.end()
+            if (start == 0 or not text[start - 1].isalnum()) and (gap := GAP.match(text, last + 1)) and gap.end() >= barren:
+                if (end := iban_end(text, gap.end())) is None:
+                    m = VALUE.match(text, gap.end())
+                    value = m[0].rstrip(".-=~") if m else ""
+                    end = gap.end() + len(value)
+                    if not secret_shape(value):
+                        barren = max(barren, end)
+                        continue
+                found[kind].append((gap.end(), end))
+                done[kind] = end
+        elif kind == "key":
+            begins = (start == 0 or not text[start - 1].isalnum()) and text.startswith(KEY_PREFIXES, start)
+            if begins and start >= done["account"] and (m := PREFIXED.match(text, start)):
+                done["key"] = m.end()  # what begins inside a value that is no secret is none either
+                if secret_shape(m[0]):
+                    found["account"].append(m.span())
+                    done["account"] = m.end()
         elif m := LOGIN.match(text, last + 1):
             found[kind].append(m.span())
             done[kind] = m.end()
@@ -168,23 +218,21 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+FOUND = pa.schema([*((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts of the base kinds, digest of the base spans, all spans. Map-only: no shuffle."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                spans = find_spans(text)
-                base = [x for x in spans if x[0] in BASE_KINDS]
-                n = [sum(x[0] == k for x in base) for k in BASE_KINDS]
-                rows.append((*n, sha256_hex(_joined(base)), _joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            yield out
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    def rows(texts: list[str | None]) -> tuple[None, list]:
+        out = []
+        for text in texts:
+            spans = find_spans(text)
+            base = [x for x in spans if x[0] in BASE_KINDS]
+            out.append((*(sum(x[0] == k for x in base) for k in BASE_KINDS), sha256_hex(_joined(base)), _joined(spans)))
+        return None, list(zip(*out, strict=True))
+
+    return by_text(docs, rows, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", FOUND)
 
 
 def mask(text: str | None) -> str | None:

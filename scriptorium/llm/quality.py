@@ -5,11 +5,12 @@ and repetition figures), projected, weighted by gated attention and averaged; a
   h = tanh(W x);  a = softmax(w . (tanh(V h) * sigmoid(U h)));  score = sigmoid(c . sum(a h) + d)
 Labels exist for documents only; the weights of passages are learnt from them.
 
-Fitting uses a bounded sample of labelled rows (`sample_docs` a class, at most `bag_passages` evenly spaced passages
-of each). Scoring reads all passages of all documents and is map-only.
+Fitting uses a bounded sample of labelled rows: about `sample_docs` a class, of `sample_bytes` together, each with all its
+passages. Scoring reads all passages of all documents and is map-only.
 
 Null or empty text: one all-zero passage, scored like any other. No labelled rows: the score is 0.5. Rows whose label
-repeats are used as often as they occur; extra columns are ignored by `score`, kept by `keep_good`.
+repeats are used as often as they occur, also with different labels; which rows a sample takes is decided by the hash of doc_id,
+so rows that share an id are taken or left together. A score of 0.5 counts as 1. Extra columns are ignored by `score`, kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ PAIRS = 256
 EXTRA = 10
 WIDTH = 256 + PAIRS + EXTRA
 HIDDEN, ATTENTION = 32, 16
-#: Bounds of the training sample.
-SAMPLE_DOCS, BAG_PASSAGES = 2_000, 24
+#: Bounds of the training sample, per class: rows, and bytes of their texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 16 << 20
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 64, 0.01, 1e-4, 7
 
 
@@ -139,21 +140,16 @@ class Model:
         return self
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, bag_passages: int = BAG_PASSAGES) -> Model:
-    """Fits on at most about `sample_docs` documents a class of (doc_id, text, quality); executors encode the bags."""
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on about `sample_docs` documents a class of (doc_id, text, quality), of `sample_bytes` at most; executors encode the bags."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bags = []
-            for text in b["text"]:
-                parts = passages((text or "").encode("utf-8"))
-                if len(parts) > bag_passages:
-                    parts = [parts[i * len(parts) // bag_passages] for i in range(bag_passages)]
-                bags.append(encode(parts).astype(np.float16).tobytes())
+            bags = [encode(passages((text or "").encode("utf-8"))).astype(np.float16).tobytes() for text in b["text"]]
             yield pd.DataFrame({"k": b["k"], "quality": b["quality"], "bag": bags})
 
     rows = labelled.where("quality is not null").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    chosen = smallest_hashes(rows, "quality", "doc_id", sample_docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "text", "quality")
+    chosen = smallest_hashes(rows, "quality", "doc_id", sample_docs, F.octet_length(F.coalesce("text", F.lit(""))), sample_bytes).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "text", "quality")
     got = sorted(chosen.mapInPandas(each, "k string, quality int, bag binary").collect(), key=lambda r: (r.k, r.quality, bytes(r.bag)))
     bags = [np.frombuffer(r.bag, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in got]
     y = np.array([r.quality for r in got], np.float32)

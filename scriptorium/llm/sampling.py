@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 
 
-def smallest_hashes(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
-    """At most about `per_class` rows of each value of `by`: those whose hash bucket is lowest.
+def smallest_hashes(df: DataFrame, by: str, key: str, per_class: int, weight: Column | None = None, weight_per_class: int = 0) -> DataFrame:
+    """At most about `per_class` rows of each value of `by`, of `weight_per_class` together: those whose hash bucket is lowest.
 
     Rows are counted by (class, hash bucket), a table of a bounded size per class; the driver reads the counts and
     sets one bucket limit per class. A class of fewer rows is taken whole; the last bucket is taken only if it fits
-    or is the first.
+    or is the first, and then by a finer hash.
     """
     bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS * 1024))
     marked = df.where(F.col(by).isNotNull()).withColumn("_fine", bucket).withColumn("_bucket", F.floor(F.col("_fine") / 1024).cast("int"))
-    counts: dict[object, list[tuple[int, int]]] = {}
-    for r in marked.groupBy(by, "_bucket").count().collect():
-        counts.setdefault(r[0], []).append((r[1], r[2]))
+    counts: dict[object, list[tuple[int, int, int]]] = {}
+    for r in marked.groupBy(by, "_bucket").agg(F.count(F.lit(1)), F.sum(F.lit(0) if weight is None else weight)).collect():
+        counts.setdefault(r[0], []).append((r[1], r[2], r[3]))
     keep = F.lit(False)
     for value, rows in counts.items():
-        limit, total = -1, 0
-        share = 1024
-        for b, n in sorted(rows):
-            if total + n > per_class:
-                if limit < 0:  # more rows in the first bucket than asked for: a part of it by the finer hash
-                    limit, share = b, max(1, 1024 * per_class // n)
+        limit, total, held, share = -1, 0, 0, 1024
+        for b, n, w in sorted(rows):
+            if total + n > per_class or weight is not None and held + w > weight_per_class:
+                if limit < 0:  # more in the first bucket than asked for: a part of it by the finer hash
+                    parts = [1024 * per_class // n] + ([1024 * weight_per_class // w] if w else [])
+                    limit, share = b, max(1, min(parts))
                 break
-            limit, total = b, total + n
+            limit, total, held = b, total + n, held + w
         keep = keep | ((F.col(by) == F.lit(value)) & (F.col("_fine") < (limit * 1024 + share)))
     return marked.where(keep).drop("_fine", "_bucket")

@@ -10,9 +10,13 @@ Reading. Files are parsed by Content-Length, one stream per file. Whole records
 segments are grouped by origin, ordered by number, checked for gaps and against the stated total length, and then
 decoded. Revisits take the payload's length from the response they refer to.
 
+A record's id is made of the page_id, the payload's digest and a counter of rows that share both, so a task that runs again
+writes the same ids, and what a revisit names exists.
+
 Null payloads count as empty; empty payloads are compared like others. Empty tables give no rows. Repeated page
 ids: each row is written as its own record, and the smallest page_id is the response once; its further rows
-with the same payload revisit it. Extra columns are ignored.
+with the same payload revisit it. A null page_id comes after all others and is read back as null; of rows that share page_id and
+payload the least url is written for all. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 import io
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,13 +77,17 @@ def _record(kind: str, record_id: str, block: bytes, **fields: object) -> bytes:
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
-def _records(number: int, page_id: object, url: str | None, payload: bytes, payload_digest: str, first: tuple | None, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one row; `number` tells rows apart, `first` is the (number, page_id) that a revisit refers to."""
-    own, target = f"urn:page:{page_id}:{number}", "".join((url or "about:blank").split())
+def _name(page_id: object, sha: str, number: int) -> str:
+    return f"urn:page:{'' if page_id is None else quote(str(page_id), safe='')}:{sha}:{number}"
+
+
+def _records(number: int, page_id: object, url: str | None, payload: bytes, sha: str, first: tuple | None, segment_bytes: int) -> Iterator[bytes]:
+    """The records of one row; `number` tells rows of one page and payload apart, `first` holds the page_id that a revisit refers to."""
+    own, target = _name(page_id, sha, number), "".join((url or "about:blank").split())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    common = {"WARC_Target_URI": target, "WARC_Payload_Digest": f"sha1:{payload_digest}"}
+    common = {"WARC_Target_URI": target, "WARC_Payload_Digest": f"sha1:{sha}"}
     if first is not None:
-        yield _record("revisit", own, http, **common, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:page:{first[1]}:{first[0]}>")
+        yield _record("revisit", own, http, **common, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<{_name(first[0], sha, 1)}>")
         return
     block = http + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -88,21 +97,33 @@ def _records(number: int, page_id: object, url: str | None, payload: bytes, payl
         yield _record("continuation", f"{own}:{i}", part, WARC_Target_URI=target, WARC_Segment_Number=i, WARC_Segment_Origin_ID=f"<{own}>", WARC_Segment_Total_Length=total)
 
 
+def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows with `number`, 1 but for the further ones of those that `repeated` counts: (sha, page_id, n)."""
+    if repeated.isEmpty():
+        return rows.withColumn("number", F.lit(1))
+    same = (rows["sha"] == repeated["sha"]) & rows["page_id"].eqNullSafe(repeated["page_id"])
+    once = rows.join(repeated, same, "left_anti").withColumn("number", F.lit(1))
+    many = rows.join(repeated, same, "left_semi").groupBy("sha", "page_id").agg(F.min("url").alias("url"), F.min("payload").alias("payload"), F.count(F.lit(1)).alias("n"))
+    return once.unionByName(many.select("page_id", "url", "payload", "sha", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("number")))
+
+
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes the archive of (page_id, url, html) into the folder `path`, as gzipped WARC files."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("number", F.monotonically_increasing_id())
-    firsts = rows.groupBy("sha").agg(F.min(F.struct("page_id", "number")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha", "first")
-    marked = rows.join(firsts, "sha", "left")
+    rows = rows.withColumn("sha", F.sha1("payload"))
+    counts = stash(rows.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n")), "warc-counts")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id"))
+    firsts = counts.groupBy("sha").agg(least.alias("first"), F.sum("n").alias("copies")).where("copies > 1").select("sha", "first")
+    marked = _numbered(rows, counts.where("n > 1")).join(firsts, "sha", "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 out = []
                 for r in b.to_pylist():
-                    first = None if r["first"] is None or r["first"]["number"] == r["number"] else (r["first"]["number"], r["first"]["page_id"])
+                    own = r["first"] is None or r["first"]["page_id"] == r["page_id"] and r["number"] == 1
                     sha = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    out += _records(r["number"], r["page_id"], r["url"], r["payload"], sha, first, segment_bytes)
+                    out += _records(r["number"], r["page_id"], r["url"], r["payload"], sha, None if own else (r["first"]["page_id"],), segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records = marked.mapInArrow(each, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -219,7 +240,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     revisits = whole.where("kind = 'revisit'").select("record_id", "stated", "refers")
     sizes = responses.select(F.col("record_id").alias("refers"), "size", "digest")
     revisits = revisits.join(sizes, "refers", "left").select("record_id", "stated", "size", "digest", F.lit(1).alias("segments"), F.lit("revisit").alias("record_type"), "refers")
-    page = lambda c: F.split(c, ":")[2]
+    page = lambda c: F.nullif(F.url_decode(F.split(c, ":")[2]), F.lit(""))
     return responses.unionByName(revisits).select(page("record_id").alias("page_id"), "record_type", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), page("refers").alias("refers_to"), "segments", F.coalesce(F.col("digest") == F.col("stated"), F.lit(False)).alias("intact"))
 
 

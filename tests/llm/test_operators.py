@@ -197,7 +197,7 @@ def test_decontaminate(spark, docs, texts, empty):
     key = lambda df: {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in df.collect()}
     assert key(decontaminate.report(docs, bench)) == want
     # several blocks give the same
-    rows = {r.doc_id: sum(e - s for s, e in decontaminate.merged(r.h_start, r.h_end)) for r in decontaminate.hits(docs, bench, block_windows=7).collect()}
+    rows = {r.row: sum(e - s for s, e in decontaminate.merged(r.h_start, r.h_end)) for r in decontaminate.hits(docs.selectExpr("doc_id AS row", "text"), bench, block_windows=7).collect()}
     assert rows == {i: w[1] for i, w in want.items()}
     for r in decontaminate.cut(docs, bench).collect():
         assert (len(words(r.text)) <= want[r.doc_id][0] - want[r.doc_id][1]) if want[r.doc_id][1] else r.text == texts[r.doc_id]
