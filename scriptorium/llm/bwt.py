@@ -2,18 +2,20 @@
 
 Texts are UTF-8 bytes. `repeats.candidates` leaves the stretches whose 50-byte windows can repeat in another document;
 they are dealt by minimizer, so equal windows meet in one bucket. In a bucket:
-  1. equal stretches become one string with its smallest doc_id (copies are classes, not pairs);
-  2. strings of one minimizer go together into batches, and within a batch into shards of their own;
-  3. each shard has the transform of its strings over blocks of `q` bytes (q strided strings a string, so that
-     every byte offset has its suffix);
+  1. wholly equal stretches, compared byte by byte, become one string with its smallest doc_id: copies are counted before
+     they are sorted, as a third of the corpus may be one text;
+  2. strings of one minimizer go together into batches, and within a batch into shards by the document bucket they come from;
+  3. each shard's suffixes are sorted on their own and give its transform over blocks of `q` bytes (q strided
+     strings a string, so that every byte offset has its suffix);
   4. the shards' transforms are merged by interleave refinement: an array of shard numbers, at first one shard after the
-     other, is refined by one stable pass over the merged transform for each block of context. Block boundaries of
-     the passes give common prefixes; after length / q passes, the intervals of equal context are the windows' classes. No suffixes are
-     sorted across shards;
+     other, is refined by one stable pass over the merged transform for each block of context. The pass at which two
+     neighbours part gives their common prefix, in blocks; after length / q passes, the runs of common prefixes of `length` bytes are
+     the repeated intervals. No suffixes are sorted across shards;
   5. the smallest doc_id of each interval tells which windows also start in an earlier document.
 
 Bytes covered by such windows are removed; windows are judged on the input, and matches never cross documents.
-Null text: empty. Texts shorter than a window: unchanged. Repeated doc_id: see `repeats`; one row per doc_id.
+Null text: empty. Texts shorter than a window: unchanged. Repeated doc_id: see `repeats`; rows of one doc_id do not
+count against each other. One row per input row, wholly equal rows alike.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import NULL_ID, U64, block_table, bucket_count, bucket_of, by_bucket, byte_symbols, candidates, covered, expand, joined, jvm_buckets, keyed, rows_of, squeeze, stretch_hashes, texts_of
+from .repeats import BLOCKS_DDL, CANDIDATE, NULL_ID, U64, Rows, block_table, bucket_count, bucket_of, by_bucket, byte_symbols, candidates, covered, expand, joined, keyed, rows_of, slices, squeeze, stretch_hashes
 
 WINDOW, K = 50, 16
 #: Symbols in one merge batch, unless one minimizer alone has more.
@@ -32,17 +34,23 @@ BATCH_SYMBOLS = 60_000
 SHARDS = 8
 
 
-def slices(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The concatenated stretches flat[starts[i] : starts[i] + sizes[i]]."""
-    index = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    index += np.arange(len(index))
-    return flat[index]
-
-
-def content_hashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of concatenated strings."""
+def classes(flat: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Class numbers of concatenated strings: equal strings with equal m have equal numbers. Hashes propose, bytes decide."""
     end = np.cumsum(sizes)
-    return stretch_hashes(flat, end - sizes, end)
+    begin = end - sizes
+    h = stretch_hashes(flat, begin, end)
+    order = np.lexsort((h, m))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (m[order][1:] != m[order][:-1])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(new) - 1
+    later = order[~new]
+    same = sizes[later] == sizes[first[~new]]
+    if same.all() and np.array_equal(slices(flat, begin[later], sizes[later]), slices(flat, begin[first[~new]], sizes[later])):
+        return out
+    seen: dict[tuple[int, bytes], int] = {}  # two strings share a hash: once in a very long while
+    return np.array([seen.setdefault((int(x), flat[b:e].tobytes()), len(seen)) for x, b, e in zip(m, begin, end, strict=True)])
 
 
 def _ranks(values: np.ndarray) -> tuple[np.ndarray, int]:
@@ -87,25 +95,30 @@ def _least_in_classes(flat: np.ndarray, sizes: np.ndarray, owner: np.ndarray, sh
             key = (key << U64(16)) | np.where(inside, padded[j * q : j * q + n], U64(0))
         keys.append(key)
     of_shard = shard[string]
-    order = np.lexsort((*keys[::-1], of_shard))
+    mine = [np.flatnonzero(of_shard == x) for x in range(SHARDS)]
+    sorted_shards = [x[np.lexsort([k[x] for k in keys[::-1]])] for x in mine if len(x)]
+    order = np.concatenate(sorted_shards)
     transforms = before[order]  # one shard's transform after the other
     z = of_shard[order].astype(np.uint8)
-    block = np.zeros(n, np.int64)
-    for _ in range(depth):
+    context = np.zeros(n, np.int64)
+    common = np.full(n, depth, np.int16)  # blocks that a suffix and the one before it have in common
+    common[0] = 0
+    for passed in range(depth):
         merged = np.empty(n, np.uint16)
         merged[np.argsort(z, kind="stable")] = transforms
         step = np.argsort(merged, kind="stable")
-        z, context, symbol = z[step], block[step], merged[step]
+        z, context, symbol = z[step], context[step], merged[step]
         edge = np.empty(n, bool)
         edge[0] = False
         edge[1:] = (symbol[1:] != symbol[:-1]) | (context[1:] != context[:-1])
-        block = np.cumsum(edge)
+        common[edge & (common > passed)] = passed
+        context = np.cumsum(edge)
     suffix = np.empty(n, np.int64)
     suffix[np.argsort(z, kind="stable")] = order
     owners = owner[string[suffix]]
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    apart = common < depth  # an interval begins
     least = np.empty(n, owner.dtype)
-    least[suffix] = np.minimum.reduceat(owners, starts)[block]
+    least[suffix] = np.minimum.reduceat(owners, np.flatnonzero(apart))[np.cumsum(apart) - 1]
     least = np.where(left >= length, least, owner[string])
     return least[left > 0]
 
@@ -124,22 +137,22 @@ def _batches(m: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
 
 
 def _settle(m: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, flat: np.ndarray, source: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc_id, start, end) that one bucket's stretches show to be repeats of an earlier document.
+    """Spans (stretch, start, end) that one bucket's stretches show to be repeats of an earlier document.
 
     A row is a stretch of n windows from byte `at` of `doc`; flat holds their bytes, `source` the block each came in.
     """
     if not len(m):
-        return doc, at, at
+        return at, at, at
     sizes = n + length - 1
     begin = np.cumsum(sizes) - sizes
-    h = content_hashes(flat, sizes)
-    order = np.lexsort((doc, h, m))
-    hs, ms, ds = h[order], m[order], doc[order]
-    new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ms[1:] != ms[:-1])])
+    kind = classes(flat, sizes, m)
+    order = np.lexsort((doc, kind, m))
+    ks, ms, ds = kind[order], m[order], doc[order]
+    new = np.concatenate([[True], (ks[1:] != ks[:-1]) | (ms[1:] != ms[:-1])])
     cls = np.cumsum(new) - 1
     least = ds[new][cls]
     copies = order[ds > least]  # whole stretches of an earlier document
-    spans = [(doc[copies], at[copies], at[copies] + sizes[copies])]
+    spans = [(copies, at[copies], at[copies] + sizes[copies])]
     # strings: one for each class whose minimizer has other classes too
     classes_of_m = np.bincount(np.cumsum(np.concatenate([[True], ms[1:] != ms[:-1]])) - 1, weights=new)
     several = classes_of_m[np.cumsum(np.concatenate([[True], ms[1:] != ms[:-1]])) - 1] > 1
@@ -167,58 +180,57 @@ def _settle(m: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, flat:
         run = np.repeat(runs[0] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         row = order[rows[which]]
         shift = at[row] - base[strings[which]]
-        spans.append((doc[row], run_start[run] + shift, run_end[run] + shift + length - 1))
+        spans.append((row, run_start[run] + shift, run_end[run] + shift + length - 1))
     return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
 
 def spans(docs: DataFrame, length: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(blocks, keyed documents): per document bucket, removed byte spans as doc_id, start, end (they may overlap)."""
+    """(blocks, keyed documents): per document bucket, removed byte spans as row, start, end (they may overlap)."""
     buckets = bucket_count(docs)
     rows = keyed(docs, buckets)
     asked = candidates(rows, buckets, length, k, byte_symbols, across=True)
 
     def cut(key: tuple, texts: pa.Table, blocks: pa.Table) -> pa.Table:
         """The candidate stretches' bytes by minimizer bucket; of stretches equal within this bucket, those of the least document."""
-        docs_ = texts_of(texts)
-        m, own, at, n = joined(rows_of(blocks), 4)
-        ids = np.array(sorted(docs_), np.int64)
-        raws = [docs_[i] for i in ids.tolist()]
-        flat = np.frombuffer(b"".join(raws), np.uint8)
-        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        m, own, tag, at, n = joined(rows_of(blocks), *CANDIDATE)
+        if not len(m):
+            return block_table([])
+        held = Rows(texts)
+        flat = np.frombuffer(b"".join(held.texts), np.uint8)
+        lengths = np.fromiter(map(len, held.texts), np.int64, len(held.texts))
         base = np.cumsum(lengths) - lengths
-        at, n = at.astype(np.int64), n.astype(np.int64)
-        place = np.searchsorted(ids, own)
-        fits = at + n + length - 1 <= lengths[place] if len(own) else np.zeros(0, bool)
-        m, own, at, n, place = m[fits], own[fits], at[fits], n[fits], place[fits]
-        out = []
+        which, row = held.of(own, tag)
+        m, at, n = m[which], at[which].astype(np.int64), n[which].astype(np.int64)
+        fits = at + n + length - 1 <= lengths[row]
+        m, row, at, n = m[fits], row[fits], at[fits], n[fits]
+        own, here, out = held.ids[row], np.array([key[0].as_py()]), []
         for b, r in by_bucket(bucket_of(m, buckets)):
             r = r[np.lexsort((at[r], own[r], m[r]))]
             sizes = n[r] + length - 1
-            text = slices(flat, base[place[r]] + at[r], sizes)
-            h = content_hashes(text, sizes)
-            order = np.lexsort((own[r], h))
-            hs, ds = h[order], own[r][order]
-            new = np.concatenate([[True], hs[1:] != hs[:-1]])
-            least = np.empty(len(r), np.int64)
-            least[order] = ds[new][np.cumsum(new) - 1]
-            first = own[r] == least
+            text = slices(flat, base[row[r]] + at[r], sizes)
+            kind = classes(text, sizes, m[r])
+            least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, kind, own[r])
+            first = own[r] == least[kind]
             kept, gone = r[first], r[~first]
             begin = np.cumsum(sizes) - sizes
             text = slices(text, begin[first], sizes[first])
             ended = at[gone] + n[gone] + length - 1
-            out.append((b, squeeze(m[kept], own[kept], at[kept].astype(np.uint32), n[kept].astype(np.uint16), text, own[gone], at[gone].astype(np.uint32), ended.astype(np.uint32))))
+            out.append((b, squeeze(here, m[kept], own[kept], row[kept].astype(np.uint32), at[kept].astype(np.uint32), n[kept].astype(np.uint16), text, row[gone].astype(np.uint32), at[gone].astype(np.uint32), ended.astype(np.uint32))))
         return block_table(out)
 
     def merge(table: pa.Table) -> pa.Table:
         parts = [expand(x) for x in rows_of(table)]
-        m, doc, at, n, flat, g_doc, g_at, g_end = (np.concatenate([p[i] for p in parts]) for i in range(8))
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        d, s, e = _settle(m, doc, at.astype(np.int64), n.astype(np.int64), flat, source, length)
-        d, s, e = np.concatenate([d, g_doc]), np.concatenate([s, g_at]).astype(np.uint32), np.concatenate([e, g_end]).astype(np.uint32)
-        return block_table([(b, squeeze(d[r], s[r], e[r])) for b, r in by_bucket(jvm_buckets(d, buckets))] if len(d) else [])
+        m, doc, row, at, n, flat, g_row, g_at, g_end = (np.concatenate([p[i] for p in parts]) for i in range(1, 10))
+        source = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+        homes = np.array([int(p[0][0]) for p in parts])
+        stretch, s, e = _settle(m, doc, at.astype(np.int64), n.astype(np.int64), flat, source, length)
+        home = np.concatenate([homes[source[stretch]], np.repeat(homes, [len(p[7]) for p in parts])])
+        columns = np.concatenate([row[stretch], g_row]), np.concatenate([s, g_at]).astype(np.uint32), np.concatenate([e, g_end]).astype(np.uint32)
+        return block_table([(b, squeeze(*(c[r] for c in columns))) for b, r in by_bucket(home)])
 
-    stretches = rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(cut, "bucket long, block binary")
-    return stretches.groupBy("bucket").applyInArrow(merge, "bucket long, block binary"), rows
+    stretches = rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(cut, BLOCKS_DDL)
+    return stretches.groupBy("bucket").applyInArrow(merge, BLOCKS_DDL), rows
 
 
 def dedup(docs: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -226,21 +238,20 @@ def dedup(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     found, rows = spans(docs, length)
 
     def each(texts: pa.Table, blocks: pa.Table) -> pa.Table:
-        docs_ = texts_of(texts)
-        parts = [expand(x) for x in rows_of(blocks)]
-        doc, start, end = (np.concatenate([p[i] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for i in range(3))
-        order = np.argsort(doc, kind="stable")
-        doc, start, end = doc[order], start[order], end[order]
+        held = Rows(texts)
+        row, start, end = (x.astype(np.int64) for x in joined(rows_of(blocks), np.uint32, np.uint32, np.uint32))
+        order = np.argsort(row, kind="stable")
+        start, end = start[order], end[order]
+        cuts = np.searchsorted(row[order], np.arange(len(held.texts) + 1)).tolist()
         out = []
-        for i in sorted(docs_):
-            raw = docs_[i]
-            a, b = np.searchsorted(doc, i), np.searchsorted(doc, i, side="right")
-            if a == b:
-                out.append((None if i == NULL_ID else i, len(raw), 0, 0, raw))
-                continue
-            gone = covered(start[a:b], end[a:b], len(raw))
-            runs = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
-            out.append((None if i == NULL_ID else i, len(raw), int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+        for k, (i, raw, times) in enumerate(zip(held.ids.tolist(), held.texts, held.times, strict=True)):
+            a, b = cuts[k], cuts[k + 1]
+            kept, removed, runs = raw, 0, 0
+            if a < b:
+                gone = covered(start[a:b], end[a:b], len(raw))
+                kept, removed = np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum())
+                runs = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
+            out += [(None if i == NULL_ID else i, len(raw), removed, runs, kept)] * times
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -1,20 +1,24 @@
 """N-gram Jaccard self-join by vertical partitioning, and the components of its links.
 
 Sets are the distinct word n-grams of a text. The global order of n-grams is (document frequency, hash); frequencies
-are exact up to FREQUENT and equal beyond.
-  1. scan: a chunk of documents gives its n-grams in blocks by n-gram range; equal sets of a chunk are one item.
+are exact up to EXACT and four steps a doubling beyond.
+  1. scan: a chunk of documents gives its n-grams in blocks by n-gram range; equal sets of a chunk are one item, and an n-gram
+     of several items of a chunk is asked about once, with its count: a very frequent one costs its range one entry a chunk.
   2. count: per range, the frequency of each n-gram; those of one item only can support no link and are dropped.
   3. order: per chunk, an item's shared n-grams in the global order, with the number of its unshared ones before
      them, the prefix that any partner must meet, and the whole cut into vertical fragments of the order.
   4. candidates: items that meet in a prefix n-gram and pass the length and the position filters. Each n-gram's
      items are first compared with one centre; then only items not yet in one component are compared with each
-     other, so a large group of copies costs links in proportion to its size, and no link between components is lost.
+     other, so a large group of copies costs links in proportion to its size, and no link between components is lost. In that
+     second step the smaller of two sets is met in the shorter prefix that a partner of its size or more leaves, and
+     the items of a frequent n-gram are split into blocks of PAIR_ROWS.
   5. verify: partial overlaps are counted fragment by fragment and summed per pair; 100 * overlap >= 100 * t * union.
 Equal sets are classes: one node, however many documents; nodes are 64-bit set signatures.
 
 Words: runs of non-blank characters, A-Z lowered. A text with fewer than n words has the whole sequence as its one n-gram; one
 without words, or null, has an empty set and no links. Repeated rows are answered one by one,
-and a row's own set decides its component.
+and a row's own set decides its component. A doc_id that is no whole number counts as null; null ids come after
+all others, and a component of null ids only has none.
 """
 
 from __future__ import annotations
@@ -27,15 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, bucket_of, expand, rows_of, span_hash, squeeze, word_hashes, word_spans
-from .shared import components, mix64, release_memory, stash
+from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, bucket_of, expand, rows_of, span_hash, squeeze, whole_number, word_hashes, word_spans
+from .shared import attach, components, mix64, release_memory, stash
 
 #: Text in one scan chunk.
 CHUNK_BYTES = 2 << 20
-#: Frequencies from here on count as equal; also the most entries of one n-gram that a chunk sends.
-FREQUENT = 255
+#: Frequencies up to here are exact, in one byte; beyond, a code has four steps a doubling, up to 2 ** 38.
+EXACT = 127
 #: Cuts of the global order: fragments hold frequencies below each bound, each again in two by hash.
-CUTS = np.array([3, 5, 17, FREQUENT])
+CUTS = np.array([3, 5, 17, EXACT + 1])
+#: Items of one n-gram in one block of the second step.
+PAIR_ROWS = 2048
 _SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -57,6 +63,12 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, owner
 
 
+def frequency_codes(frequency: np.ndarray) -> np.ndarray:
+    """One-byte codes in the order of the frequencies."""
+    rough = EXACT + 1 + np.floor(4 * np.log2(np.maximum(frequency, 1) / (EXACT + 1)))
+    return np.where(frequency <= EXACT, frequency, np.minimum(rough, 255)).astype(np.uint8)
+
+
 def _distinct(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each (n-gram, text) once, by n-gram."""
     order = np.lexsort((owner, grams))
@@ -100,17 +112,16 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
             name = np.array([chunk, mix64(mix64(sig + mix64(doc.view(U64))) + np.arange(len(doc), dtype=U64)).sum().view(np.int64)])
             start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
             many = np.diff(np.append(start, len(grams)))
-            here = np.repeat(many, many)
-            hot = here >= FREQUENT
-            ask = ~hot
-            ask[start] = True
-            bucket = (grams >> U64(32)) * U64(buckets) >> U64(32)
+            several = np.repeat(many > 1, many)  # these stay with the chunk's head; the range is asked once
+            asked, count = grams[start], many.astype(np.uint32)
+            bucket = (asked >> U64(32)) * U64(buckets) >> U64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
-            out = [(buckets + int(bucket_of(name[:1], buckets)[0]), squeeze(name, doc, np.concatenate(keys), size.astype(np.uint32), sig, first.astype(np.uint8)))]
+            head = (doc, np.concatenate(keys), size.astype(np.uint32), sig, first.astype(np.uint8), np.diff(grams[several], prepend=U64(0)), owner[several])
+            out = [(buckets + int(bucket_of(name[:1], buckets)[0]), squeeze(name, *head))]
+            alone = owner[start]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 r = slice(cuts[b], cuts[b + 1])
-                a, h = ask[r], hot[r]
-                out.append((b, squeeze(name, np.diff(grams[r][a], prepend=U64(0)), owner[r][a], h[a].astype(np.uint8), grams[r][h], owner[r][h])))
+                out.append((b, squeeze(name, np.diff(asked[r], prepend=U64(0)), count[r], alone[r][count[r] == 1])))
             yield from block_table(out).to_batches()
 
         chunk = TaskContext.get().partitionId() << 32
@@ -135,33 +146,35 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
         if table.column("bucket")[0].as_py() >= buckets:
             return block_table([(int(expand(x)[0][0]), x) for x in rows_of(table)])
         parts = [expand(x) for x in rows_of(table)]
-        grams = np.concatenate([np.cumsum(p[1], dtype=U64) for p in parts])
-        owner, hot = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        of = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+        grams, count = np.concatenate([np.cumsum(p[1], dtype=U64) for p in parts]), np.concatenate([p[2] for p in parts])
         order = np.argsort(grams, kind="stable")
         s = grams[order]
         new = np.concatenate([[True], s[1:] != s[:-1]])
         group = np.cumsum(new) - 1
-        frequency = np.bincount(group, weights=np.where(hot[order] > 0, FREQUENT, 1))
         df = np.empty(len(grams), np.int64)
-        df[order] = np.minimum(frequency, FREQUENT)[group]
-        shared = (df > 1) & (hot == 0)
-        out = []
-        for i, p in enumerate(parts):
-            lo = int(np.searchsorted(of, i)), int(np.searchsorted(of, i, side="right"))
-            mine = np.flatnonzero(shared[lo[0] : lo[1]]) + lo[0]
-            if len(mine) or len(p[4]):
-                out.append((int(p[0][0]), squeeze(p[0], np.concatenate([grams[mine], p[4]]), np.concatenate([owner[mine], p[5]]), np.concatenate([df[mine], np.full(len(p[4]), FREQUENT)]).astype(np.uint8))))
+        df[order] = np.bincount(group, weights=count[order])[group]
+        code = frequency_codes(df)
+        out, ends = [], np.cumsum([len(p[1]) for p in parts])
+        for p, end in zip(parts, ends.tolist(), strict=True):
+            g, c, d, k = (x[end - len(p[1]) : end] for x in (grams, count, df, code))
+            one, several = c == 1, c > 1
+            shared = one & (d > 1)
+            if shared.any() or several.any():
+                out.append((int(p[0][0]), squeeze(p[0], np.diff(g[shared], prepend=U64(0)), p[3][shared[one]], k[shared], np.diff(g[several], prepend=U64(0)), k[several])))
         return block_table(out)
 
     def order(table: pa.Table) -> pa.Table:
         parts = [expand(x) for x in rows_of(table)]
-        heads, blocks = [p for p in parts if len(p) == 6], [p for p in parts if len(p) == 4]
+        heads, blocks = [p for p in parts if len(p) == 8], [p for p in parts if len(p) == 6]
         if len(heads) != 1 or any((p[0] != heads[0][0]).any() for p in blocks):
             raise RuntimeError(f"a scan chunk with {len(heads)} heads, or blocks of other rows than its head's")
-        doc, key, size, sig, first = heads[0][1:]
-        size = size.astype(np.int64)
-        grams, owner, df = (np.concatenate([p[i] for p in blocks]) if blocks else np.zeros(0, z) for i, z in ((1, U64), (2, np.uint32), (3, np.uint8)))
+        doc, key, size, sig, first, several, several_of = heads[0][1:]
+        size, several = size.astype(np.int64), np.cumsum(several, dtype=U64)
+        column = lambda i, kind: np.concatenate([np.cumsum(p[i], dtype=U64) if kind is U64 else p[i] for p in blocks]) if blocks else np.zeros(0, kind)
+        grams, owner, df, known, code = (column(i, z) for i, z in ((1, U64), (2, np.uint32), (3, np.uint8), (4, U64), (5, np.uint8)))
+        by_gram = np.argsort(known)
+        grams, owner = np.concatenate([grams, several]), np.concatenate([owner, several_of])
+        df = np.concatenate([df, code[by_gram][np.searchsorted(known[by_gram], several)]])
         o = np.lexsort((grams, df, owner))
         grams, owner, df = grams[o], owner[o].astype(np.int64), df[o].astype(np.int64)
         have = np.bincount(owner, minlength=len(doc))
@@ -189,7 +202,7 @@ def ordered_items(docs: DataFrame, n: int, t: int) -> DataFrame:
         ]
         return pa.table(columns, names=["doc_id", "text_key", "n_shingles", "node", "unshared", "prefix", "fragments"])
 
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(scan, BLOCKS_DDL)
+    scanned = docs.select(whole_number(docs).alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(scan, BLOCKS_DDL)
     counted = scanned.groupBy("bucket").applyInArrow(count, BLOCKS_DDL)
     return counted.groupBy("bucket").applyInArrow(order, "doc_id long, text_key long, n_shingles long, node long, unshared long, prefix array<long>, fragments array<struct<fragment: int, grams: array<long>>>")
 
@@ -217,8 +230,8 @@ def links(items: DataFrame, t: int) -> DataFrame:
         left = F.least(sa - F.col(f"place_{a}"), sb - F.col(f"place_{b}"))
         return (100 * F.least(sa, sb) >= t * F.greatest(sa, sb)) & ((100 + t) * left >= t * (sa + sb))
 
-    def as_(side: str, df: DataFrame, *more: str) -> DataFrame:
-        return df.select("gram", F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("place").alias(f"place_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in more])
+    def as_(side: str, df: DataFrame) -> DataFrame:
+        return df.select("gram", F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("place").alias(f"place_{side}"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         swap = F.col("a") > F.col("b")
@@ -227,31 +240,39 @@ def links(items: DataFrame, t: int) -> DataFrame:
 
     centres = grams.groupBy("gram").agg(F.min_by(F.struct("node", "size", "place"), F.struct("odd", "node")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
     centres = centres.select("gram", F.col("c.node").alias("a"), F.col("c.size").alias("size_a"), F.col("c.place").alias("place_a"))
-    star = ordered(as_("b", grams).join(centres, "gram").where("a != b").where(fits("a", "b")))
+    star = ordered(attach(as_("b", grams), centres, "gram", "inner").where("a != b").where(fits("a", "b")))
     star = stash(star, "pairs")
     found = stash(_verified(star, sets, t), "links")
-    label = components(found)
-    named = grams.join(label, grams["node"] == label["id"], "left").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("label"))
-    mixed = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    named = stash(named.join(mixed, "gram", "left_semi"), "mixed")
-    rest = as_("a", named, "label").join(as_("b", named, "label"), "gram").where("label_a < label_b").where(fits("a", "b"))
+    label = components(found).select(F.col("id").alias("node"), "component")
+    named = attach(grams, label, "node").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("label"))
+    named = stash(named, "named")
+    mixed = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("gram", F.ceil(F.col("n") / PAIR_ROWS).cast("int").alias("blocks"))
+    named = stash(attach(named, mixed, "gram", "inner"), "mixed")
+    larger = named.select("gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_side("a"))
+    smaller = named.where((100 + t) * (F.col("size") - F.col("place")) >= 2 * t * F.col("size")).select("gram", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *_side("b"))
+    first = (F.col("size_a") > F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") > F.col("b"))
+    rest = larger.join(smaller, ["gram", "block"]).where(first & (F.col("label_a") != F.col("label_b")) & fits("a", "b"))
     rest = ordered(rest).join(star, ["a", "b"], "left_anti")
     return found.unionByName(_verified(rest, sets, t))
 
 
+def _side(side: str) -> list[Column]:
+    return [F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("size", "place", "label")]]
+
+
 def _keyed_rows(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """Per row: doc_id, text_key, n_shingles, and as key its component's least node; null for an empty set."""
+    """Per row: doc_id, text_key, n_shingles, and as key its component's least node; null for an empty set. Stored."""
     items = stash(ordered_items(docs, n, t), "sets")
-    label = components(stash(links(items, t), "links"))
-    rows = items.select("doc_id", "text_key", "n_shingles", "node").join(label, items["node"] == label["id"], "left")
-    return rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("key"))
+    label = components(stash(links(items, t), "links")).select(F.col("id").alias("node"), "component")
+    rows = attach(items.select("doc_id", "text_key", "n_shingles", "node"), label, "node")
+    return stash(rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("key")), "keys")
 
 
 def join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity t / 100 or more)."""
     rows = _keyed_rows(docs, n, t)
     least = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "key", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return attach(rows, least, "key").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_each(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
@@ -263,7 +284,7 @@ def one_each(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     wordless = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
     some = docs.where(~wordless)
     kept = _keyed_rows(some, n, t).groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"))
-    id_ = lambda c: F.coalesce(c.cast("long"), F.lit(NULL_ID)).alias("_id")
+    id_ = lambda c: F.coalesce(c, F.lit(NULL_ID)).alias("_id")
     kept = kept.select(id_(F.col("least.doc_id")), F.col("least.text_key").alias("_key"))
-    some = some.select("*", id_(F.col("doc_id")), text_key().alias("_key")).join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    some = some.select("*", id_(whole_number(docs)), text_key().alias("_key")).join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
     return some.select(*docs.columns).unionByName(docs.where(wordless))

@@ -40,7 +40,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rlz.dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "n_factors")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,19 +12,26 @@ Blocks are binary columns of zstandard-compressed byte planes; rows are (bucket,
 rows. In a scan chunk a minimizer that repeats within the chunk is answered on the spot and asked about
 only once, so a very frequent one reaches its bucket at most once per chunk.
 
-doc_id must be integral. A null doc_id counts as the least id. Rows that share a doc_id are one document, whose
-text is the least of theirs.
+The numbers of buckets follow from the bytes of text, so a group holds about GROUP_BYTES of texts however large the table is;
+a task handles one group at a time.
+
+doc_id should be integral; one that is not counts as null, and a null one as the least id. Rows that share a doc_id keep
+their own texts: they are told apart by a tag, 16 bits of the text's CRC-32, which also spreads the rows of one id over many
+buckets, and where tags agree by their order within the bucket. Wholly equal rows are one document that is answered as
+often as it occurs.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mix64, release_memory
@@ -34,6 +41,8 @@ BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(1 << 63)
 #: Bytes of text in one scan chunk, about.
 CHUNK_BYTES = 1 << 21
+#: Bytes of text that one group stands for, about.
+GROUP_BYTES = 16 << 20
 BYTE_SYMBOLS = mix64(np.arange(256, dtype=U64))
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -185,32 +194,31 @@ def block_table(rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=BLOCKS)
 
 
+def whole_number(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The id as a long; null for a text that is not one."""
+    return F.expr(f"try_cast({name} AS bigint)") if docs.schema[name].dataType.simpleString() == "string" else F.col(name).cast("long")
+
+
 def keyed(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, doc_id, text) with null ids and texts replaced."""
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    out = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return out.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "text")
+    out = docs.select(F.coalesce(whole_number(docs), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    tag = F.crc32(F.encode("text", "UTF-8")).bitwiseAND(F.lit(0xFFFF))
+    return out.select(F.pmod(F.pmod("doc_id", F.lit(buckets)) + tag, F.lit(buckets)).alias("bucket"), "doc_id", "text")
+
+
+def row_buckets(own: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
+    """Document buckets as `keyed` has them."""
+    return np.mod(np.mod(own.astype(np.int64), buckets) + tag.astype(np.int64), buckets)
+
+
+def tag_of(raw: bytes) -> int:
+    return zlib.crc32(raw) & 0xFFFF
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets for blocks: two per shuffle partition, as there is a block for each pair of a chunk or bucket with a bucket."""
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def jvm_buckets(spark_ids: np.ndarray, buckets: int) -> np.ndarray:
-    """Document buckets as `keyed` has them: Spark's xxhash64 of a long, seed 42."""
-    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << U64(r)) | (x >> U64(64 - r))
-    x = spark_ids.astype(np.int64).view(U64)
-    h = np.full(len(x), (42 + int(p5) + 8) & ((1 << 64) - 1), U64)
-    h ^= rot(x * p2, 31) * p1
-    h = rot(h, 27) * p1 + p4
-    h ^= h >> U64(33)
-    h *= p2
-    h ^= h >> U64(29)
-    h *= p3
-    h ^= h >> U64(32)
-    return np.mod(h.view(np.int64), buckets)
+    """Buckets for blocks: one for every GROUP_BYTES of text, two per shuffle partition at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
 
 
 #: Turns texts (UTF-8) into (concatenated symbols, sizes).
@@ -232,15 +240,15 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def candidates(docs: DataFrame, buckets: int, length: int, k: int, symbols: Symbols, across: bool) -> DataFrame:
     """(bucket, block) per document bucket: segments whose minimizer also occurs in another document (`across`) or anywhere else.
 
-    A block holds minimizer, doc_id, first window, number of windows.
+    A block holds minimizer, doc_id, tag, first window, number of windows.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             m, doc, at, n = segments(*symbols(texts), length, k)
-            own = np.array(ids, np.int64)[doc]
+            own, tag = np.array(ids, np.int64)[doc], np.array([tag_of(t) for t in texts], np.uint16)[doc]
             order = np.lexsort((own, m))
-            m, own, at, n = m[order], own[order], at[order].astype(np.uint32), n[order].astype(np.uint16)
+            m, own, tag, at, n = m[order], own[order], tag[order], at[order].astype(np.uint32), n[order].astype(np.uint16)
             new = np.ones(len(m), bool)
             new[1:] = m[1:] != m[:-1]
             group = np.cumsum(new) - 1
@@ -254,7 +262,7 @@ def candidates(docs: DataFrame, buckets: int, length: int, k: int, symbols: Symb
             for b, rows in by_bucket(target):
                 a, s = rows[ask[rows]], rows[known[rows]]
                 short = m[a] >> U64(16)
-                out.append((b, squeeze(np.diff(short, prepend=U64(0)), own[a], at[a], n[a], known[a].astype(np.uint8), m[s], own[s], at[s], n[s])))
+                out.append((b, squeeze(np.diff(short, prepend=U64(0)), own[a], tag[a], at[a], n[a], known[a].astype(np.uint8), m[s], own[s], tag[s], at[s], n[s])))
             if out:
                 yield from block_table(out).to_batches()
 
@@ -275,9 +283,9 @@ def candidates(docs: DataFrame, buckets: int, length: int, k: int, symbols: Symb
     def reply(table: pa.Table) -> pa.Table:
         parts = [expand(x) for x in rows_of(table)]
         m = np.concatenate([np.cumsum(p[0], dtype=U64) for p in parts])
-        own, at, n, known = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+        own, tag, at, n, known = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
         order = np.lexsort((own, m))
-        m, own, at, n, known = m[order], own[order], at[order], n[order], known[order].astype(bool)
+        m, own, tag, at, n, known = m[order], own[order], tag[order], at[order], n[order], known[order].astype(bool)
         new = np.ones(len(m), bool)
         new[1:] = m[1:] != m[:-1]
         other = ~new
@@ -285,29 +293,56 @@ def candidates(docs: DataFrame, buckets: int, length: int, k: int, symbols: Symb
             other[1:] &= own[1:] != own[:-1]
         group = np.cumsum(new) - 1
         repeats = (np.bincount(group, weights=other | known, minlength=1)[group] > 0) & ~known
-        m, own, at, n = (np.concatenate([x[repeats], *(p[i] >> U64(16) if i == 5 else p[i] for p in parts)]) for x, i in ((m, 5), (own, 6), (at, 7), (n, 8)))
-        return block_table([(b, squeeze(m[r], own[r], at[r], n[r])) for b, r in by_bucket(jvm_buckets(own, buckets))])
+        m, own, tag, at, n = (np.concatenate([x[repeats], *(p[i] >> U64(16) if i == 6 else p[i] for p in parts)]) for x, i in ((m, 6), (own, 7), (tag, 8), (at, 9), (n, 10)))
+        return block_table([(b, squeeze(m[r], own[r], tag[r], at[r], n[r])) for b, r in by_bucket(row_buckets(own, tag, buckets))])
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(scan, BLOCKS_DDL).groupBy("bucket").applyInArrow(reply, BLOCKS_DDL)
 
 
-def texts_of(table: pa.Table) -> dict[int, bytes]:
-    """doc_id -> text of one document bucket; of rows that share an id, the least text."""
-    out: dict[int, bytes] = {}
-    for i, t in zip(table.column("doc_id").to_pylist(), table.column("text"), strict=True):
-        raw = t.as_py().encode("utf-8")
-        if i not in out or raw < out[i]:
-            out[i] = raw
-    return out
+class Rows:
+    """The rows of one document bucket by (doc_id, text), wholly equal ones once: the same order whenever the bucket is read."""
 
+    def __init__(self, table: pa.Table):
+        counted = Counter((i, t.as_py().encode("utf-8")) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text"), strict=True))
+        ordered = sorted(counted)
+        self.ids = np.array([i for i, _ in ordered], np.int64)
+        self.texts = [t for _, t in ordered]
+        self.times = [counted[x] for x in ordered]
+        key = self._key(self.ids, np.array([tag_of(t) for t in self.texts], np.uint16))
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
 
-def joined(blocks: list[bytes], columns: int) -> list[np.ndarray]:
-    """The columns of several blocks, one after the other."""
+    @staticmethod
+    def _key(own: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        return mix64(own.view(U64)) + tag
+
+    def of(self, own: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in own, row) of every row that a doc_id and tag can mean; more than one only where tags agree by chance."""
+        key = self._key(own, tag)
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        count = hi - lo
+        which = np.repeat(np.arange(len(own)), count)
+        return which, self.order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(which))]
+
+
+def joined(blocks: list[bytes], *types: type) -> list[np.ndarray]:
+    """The columns of several blocks, one after the other; `types` of those of no blocks."""
     parts = [expand(x) for x in blocks]
     if not parts:
-        return [np.zeros(0, t) for t in (U64, np.int64, np.uint32, np.uint16)[:columns]]
-    return [np.concatenate([p[i] for p in parts]) for i in range(columns)]
+        return [np.zeros(0, t) for t in types]
+    return [np.concatenate([p[i] for p in parts]) for i in range(len(types))]
+
+
+#: Columns of the blocks that `candidates` gives.
+CANDIDATE = (U64, np.int64, np.uint16, np.uint32, np.uint16)
+
+
+def slices(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenated stretches flat[starts[i] : starts[i] + sizes[i]]."""
+    index = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    index += np.arange(len(index))
+    return flat[index]
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:

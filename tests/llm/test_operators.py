@@ -63,10 +63,13 @@ def test_rlz(docs, texts, empty):
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in rlz.dedup(docs).collect()} == want
     assert rlz.dedup(empty).count() == 0
+    cover = {}
     for f in rlz.factors(docs).collect():
+        cover.setdefault(f.doc_id, set()).update(range(f.start, f.start + f.length))
         own, source = re.findall(BLANK, texts[f.doc_id]), re.findall(BLANK, texts[f.source_doc_id])
         assert f.length >= 20 and own[f.start : f.start + f.length] == source[f.source_start : f.source_start + f.length]
         assert (f.source_doc_id, f.source_start) < (f.doc_id, f.start)
+    assert {i: len(x) for i, x in cover.items()} == {i: w[1] for i, w in want.items() if w[1]}
 
 
 def test_bwt(docs, texts, empty):
@@ -82,12 +85,60 @@ def test_bwt(docs, texts, empty):
     assert bwt.dedup(empty).count() == 0
 
 
-def test_repeated_ids_are_one_document(spark):
+def test_rows_that_share_an_id(spark):
     long = " ".join(f"w{i}" for i in range(60))
-    df = spark.createDataFrame([(None, long), (1, long), (1, long), (2, "b " + long), (2, "a")], "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed) for r in rlz.dedup(df).collect()}
-    assert got == {None: (60, 0), 1: (60, 60), 2: (1, 0)}
-    assert {r.doc_id: r.n_removed for r in bwt.dedup(df).collect()} == {None: 0, 1: len(long), 2: 0}
+    rows = [(None, long), (1, long), (1, long), (2, "b " + long), (2, "a"), (3, "c " + long + " d"), (3, "c " + long + " d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed) for r in rlz.dedup(df).collect())
+    assert got == [(-1, 60, 0), (1, 60, 60), (1, 60, 60), (2, 1, 0), (2, 61, 60), (3, 62, 60), (3, 62, 60)]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed) for r in bwt.dedup(df).collect())
+    n = len(long)
+    # wholly in an earlier document, or in one that begins or ends alike
+    assert got == [(-1, n, 0), (1, n, n), (1, n, n), (2, 1, 0), (2, n + 2, n), (3, n + 4, n + 1), (3, n + 4, n + 1)]
+    # one id for a third of all rows, each with a text of its own: every text is kept and judged
+    many = [(None, f"{long} {i}") for i in range(300)] + [(7, f"{i} {long}") for i in range(3)]
+    out = rlz.dedup(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in out) == [0] * 300 + [60] * 3 and len({r.text for r in out if r.doc_id is None}) == 300
+    text_ids = spark.createDataFrame([("1", long), ("x", long), (None, "a")], "doc_id string, text string")
+    assert sorted((r.doc_id or -1, r.n_removed) for r in rlz.dedup(text_ids).collect()) == [(-1, 0), (-1, 0), (1, 60)]
+
+
+def test_factors_are_greedy_and_long(spark):
+    """A factor goes on past a window as long as its source does; where another source goes on, a new factor straddles."""
+    r = random.Random(12)
+    a, b = ([f"{x}{r.randrange(10**9)}" for _ in range(100)] for x in "ab")
+    both = a[:50] + b[30:80]
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(both)), (4, " ".join(both[35:65]))], "doc_id long, text string")
+    got = sorted((f.doc_id, f.start, f.length, f.source_doc_id, f.source_start) for f in rlz.factors(df).collect())
+    assert got == [(3, 0, 50, 1, 0), (3, 50, 50, 2, 30), (4, 0, 30, 3, 35)]
+    words = np.array([3, 1, 2, 3, 4, 9, 1, 2, 3, 4, 5, 1, 2, 3, 4, 9], np.uint64)
+    stretch, start, length, doc, source = rlz.factor(words, np.array([6, 5, 5]), np.array([1, 2, 3]), np.array([0, 10, 20]), 3)
+    assert [x.tolist() for x in (stretch, start, length, doc, source)] == [[1, 2], [10, 20], [4, 5], [1, 1], [1, 1]]
+
+
+def test_groups_follow_the_bytes(spark, monkeypatch):
+    from scriptorium.llm import repeats
+
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 10_000)
+    assert repeats.bucket_count(df) == 40 and repeats.bucket_count(df.union(df)) == 80
+    assert repeats.bucket_count(df.limit(0)) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_merged_intervals():
+    """Classes of windows come from the shards' merge: against a dictionary of windows."""
+    r = random.Random(3)
+    for length in (10, 7):
+        strings = [bytes(r.choice(b"ab") for _ in range(r.randint(length, 40))) for _ in range(60)]
+        sizes, owner = np.array([len(x) for x in strings]), np.array([r.randrange(20) for _ in strings])
+        flat = np.frombuffer(b"".join(strings), np.uint8)
+        got = bwt._least_in_classes(flat, sizes, owner, np.arange(60) * bwt.SHARDS // 60, length)
+        least = {}
+        for x, o in zip(strings, owner.tolist()):
+            for k in range(len(x) - length + 1):
+                least[x[k : k + length]] = min(least.get(x[k : k + length], 99), o)
+        want = [least.get(x[k : k + length], o) for x, o in zip(strings, owner.tolist()) for k in range(len(x))]
+        assert got.tolist() == want
 
 
 @pytest.mark.parametrize(("n", "t"), [(4, 85), (5, 80), (1, 50)])
@@ -118,6 +169,35 @@ def test_ngram_join_answers_repeated_rows(spark):
         assert df.rdd.getNumPartitions() == 8 and sorted(tuple(r) for r in ngram_join.join(df).collect()) == want
 
 
+def test_ngram_join_of_hot_grams(spark, monkeypatch):
+    """A third of all rows are copies, many share a passage that does not suffice, some only just do: against brute force."""
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", 7)
+    r = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    words = lambda n: [f"w{r.randrange(400)}" for _ in range(n)]
+    texts = [" ".join(passage)] * 120
+    texts += [" ".join(passage[: r.randint(50, 60)] + words(r.randint(0, 14))) for _ in range(180)]
+    texts += [" ".join(words(3) + passage + words(r.randint(0, 9))) for _ in range(60)] + [" ".join(words(40)) for _ in range(40)]
+    r.shuffle(texts)
+    sets = []
+    for x in texts:
+        w = x.split()
+        sets.append(frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)))
+    label = list(range(len(sets)))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert {x.doc_id: x.component_id for x in ngram_join.join(df, 4, 85).collect()} == {i: find(i) for i in range(len(sets))}
+    codes = ngram_join.frequency_codes(np.array([1, 2, 127, 128, 255, 1000, 10**6, 10**10]))
+    assert codes[:3].tolist() == [1, 2, 127] and (np.diff(codes.astype(int)) > 0).all()
+    ids = spark.createDataFrame([("x", "a b c d"), (None, "a b c d"), ("3", "a b c d")], "doc_id string, text string")
+    assert [x.component_id for x in ngram_join.join(ids, 4, 85).collect()] == [3, 3, 3]
+
+
 def test_components_of_long_paths(spark):
     n, r = 2000, random.Random(6)
     zigzag = [k // 2 if k % 2 == 0 else n - 1 - k // 2 for k in range(n)]
