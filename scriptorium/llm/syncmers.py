@@ -1,14 +1,19 @@
-"""Document fingerprints from closed syncmers, in DataFrame functions only.
-
-A text is a sequence of words (runs between blanks, tabs and line breaks; case kept). Every pair of neighbouring
-words (s = 2) has a 64-bit hash; a k-mer of k = 6 words is a closed syncmer when the least hash of its k - 1 inner
-pairs is the first or the last one. That choice looks at the k-mer alone, so an edit elsewhere moves no anchor.
-An anchor is (hash of the k-mer, word position). A document's fingerprint keeps the `SKETCH` smallest distinct
-anchor hashes in hexadecimal; likeness is the Dice figure 2J / (1 + J) of the Jaccard estimate J over the joint
-bottom sketch.
-
-Texts of fewer than k words have one anchor, the hash of all words; a text without words has the hash of no words. Null text counts
-as empty. Equal texts have equal fingerprints. Everything is row-wise: no shuffle, no Python on executors.
+"""Document fingerprints from closed syncmers and their positional matching, in DataFrame functions only.
+
+A text is a sequence of units: runs of up to 12 non-blank characters, and single characters of scripts written without
+blanks (case kept). The sequence is padded by k - 1 marks at either end, so that a text of a few units has k-mers of its
+own as well. Every pair of neighbouring units (s = 2) has a 64-bit hash; a k-mer of k = 6 units is a closed syncmer when
+the least hash of its k - 1 inner pairs is the first or the last one. That choice looks at the k-mer alone, so an edit
+elsewhere moves no anchor. An anchor is (32-bit hash of the k-mer, its place in units), packed in a bigint; of anchors with one hash
+the first place counts. The fingerprint holds all anchors, by hash, in hexadecimal.
+
+Positional matching: anchors of two texts with the same hash are matched, and the matches are taken in the order of their places
+in the one text; those whose place in the other text goes on in the same order count. Likeness is the Dice figure 2 m / (a + b) of
+the m matches in order among a and b anchors: 1 for equal texts, near 0 for unrelated ones, and lower for the
+same passages in another order.
+
+A text without units has no anchor; two such texts have likeness 1. Null text counts as empty. Equal texts have equal fingerprints. Everything
+is row-wise: no shuffle, no Python on executors.
 """
 
 from __future__ import annotations
@@ -20,43 +25,66 @@ from pyspark.sql import functions as F
 from .shared import shared_dir
 
 K = 6
-SKETCH = 64
+#: Scripts written without blanks, whose characters are units of their own.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+UNIT = rf"[^\s{UNSPACED}]{{1,12}}|\S"
+#: High half of an anchor: the hash. Low half: twice the place, so that one bit is left for the side of a comparison.
+HASH = -(1 << 32)
+
+
+def _hash(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(HASH))
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
-    """Adds `out`: array<struct<hash bigint, pos int>>, the closed syncmers of the column `text` in text order."""
-    words, pairs = f"_{out}_words", f"_{out}_pairs"
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    df = df.withColumn(words, F.transform(F.filter(F.split(plain, " ", -1), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    w = F.col(words)
-    df = df.withColumn(pairs, F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))))
+    """Adds `out`: array<bigint>, the anchors of the column `text`, by hash, each hash once."""
+    units, pairs, marked, placed = (f"_{out}_{x}" for x in ("units", "pairs", "marked", "placed"))
+    marks = lambda x: F.array_repeat(F.lit(x).cast("long"), k - 1)
+    found = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
+    df = df.withColumn(units, F.concat(marks(1), found, marks(2)))
+    u = F.col(units)
+    df = df.withColumn(pairs, F.transform(u, lambda x, i: F.xxhash64(x, F.get(u, i + 1))))
     g = F.col(pairs)
-    inner = [lambda i, j=j: F.get(g, i + j) for j in range(k - 1)]
+    last = F.size(u) - k if k > 1 else F.size(u) - 1  # start of the last k-mer
 
-    def closed(x: Column, i: Column) -> Column:
-        last = inner[-1](i)
-        return last.isNotNull() & (F.least(x, last) <= F.least(*[f(i) for f in inner[1:-1]]))
+    def anchor(x: Column, i: Column) -> Column:
+        inner = [x, *[F.get(g, i + j) for j in range(1, k - 1)]]
+        closed = F.least(inner[0], inner[-1]) <= F.least(*inner[1:-1])
+        whole = F.xxhash64(*inner[::2], *([] if k % 2 == 0 else [inner[-1]]))
+        return F.when((i <= last) & closed, _hash(whole).bitwiseOR(F.shiftleft(i.cast("long"), 1)))
 
-    marked = F.transform(g, lambda x, i: F.when(closed(x, i), F.struct(F.xxhash64(x, *[f(i) for f in inner[2::2]], *([] if k % 2 == 0 else [inner[-1](i)])).alias("hash"), i.alias("pos"))))
-    whole = F.array(F.struct(F.xxhash64(F.array_join(F.transform(w, lambda x: x.cast("string")), " ")).alias("hash"), F.lit(0).alias("pos")))
-    return df.withColumn(out, F.when(F.size(w) < k, whole).otherwise(F.filter(marked, lambda a: a.isNotNull()))).drop(words, pairs)
+    df = df.withColumn(marked, F.transform(g, anchor))
+    df = df.withColumn(placed, F.when(F.size(u) > 2 * (k - 1), F.sort_array(F.filter(marked, lambda a: a.isNotNull()))).otherwise(F.array().cast("array<bigint>")))
+    s = F.col(placed)
+    once = F.filter(s, lambda a, i: (i == 0) | (_hash(a) != _hash(F.get(s, i - 1))))
+    return df.withColumn(out, once).drop(units, pairs, marked, placed)
 
 
-def sketch(anchors: Column, size: int = SKETCH) -> Column:
-    """The `size` smallest distinct anchor hashes, ascending (array<bigint>)."""
-    return F.slice(F.array_sort(F.array_distinct(anchors["hash"])), 1, size)
+def as_text(anchors: Column) -> Column:
+    """16 hexadecimal digits an anchor: the hash, then twice the place."""
+    return F.array_join(F.transform(anchors, lambda a: F.lower(F.lpad(F.hex(a), 16, "0"))), ",")
 
 
-def as_text(sketch_: Column) -> Column:
-    return F.array_join(F.transform(sketch_, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ",")
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds `out`: the likeness (0 to 1) of the anchor columns a and b; null where one is null."""
+    both, shared = f"_{out}_both", f"_{out}_shared"
+    df = df.withColumn(both, F.sort_array(F.concat(F.col(a), F.transform(b, lambda x: x.bitwiseOR(F.lit(1).cast("long"))))))
+    m = F.col(both)
+    place = lambda x: F.shiftright(x.bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    ours = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 0
 
+    def pair(x: Column, i: Column) -> Column:
+        y = F.get(m, i + 1)
+        of_a, of_b = F.when(ours(x), place(x)).otherwise(place(y)), F.when(ours(x), place(y)).otherwise(place(x))
+        return F.when(_hash(x) == _hash(y), F.shiftleft(of_a, 31).bitwiseOR(of_b))
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Dice likeness (0 to 1) of two sketches."""
-    joint = F.size(F.slice(F.array_sort(F.array_union(a, b)), 1, size))
-    both = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union(a, b)), 1, size), F.array_intersect(a, b)))
-    j = both / joint
-    return F.when(joint == 0, F.lit(1.0)).otherwise(2 * j / (1 + j)).cast("double")
+    df = df.withColumn(shared, F.sort_array(F.filter(F.transform(m, pair), lambda p: p.isNotNull())))
+    p = F.col(shared)
+    low = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+    in_order = F.size(F.filter(p, lambda x, i: (i == 0) | (low(x) > low(F.get(p, i - 1)))))
+    total = F.size(F.col(a)) + F.size(F.col(b))
+    value = F.when(total == 0, F.lit(1.0)).otherwise(2 * in_order / total)
+    return df.withColumn(out, F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), value)).drop(both, shared)
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -74,19 +102,14 @@ def successors(ids: DataFrame) -> DataFrame:
     return ranged.withColumn("own_next", within).join(follow, "part").select("doc_id", F.coalesce("own_next", "follow").alias("next_id"))
 
 
-def with_sketch(df: DataFrame, text: str, out: str, k: int = K, size: int = SKETCH) -> DataFrame:
-    """Adds the sketch of the column `text` as `out`."""
-    return with_anchors(df, text, f"_{out}_anchors", k).withColumn(out, sketch(F.col(f"_{out}_anchors"), size)).drop(f"_{out}_anchors")
-
-
-def fingerprints(docs: DataFrame, k: int = K, size: int = SKETCH) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Per row: doc_id, n_chars, n_anchors, fingerprint."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = with_anchors(rows, "text", "anchors", k)
-    return made.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("anchors").alias("n_anchors"), as_text(sketch(F.col("anchors"), size)).alias("fingerprint"))
+    return made.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("anchors").alias("n_anchors"), as_text(F.col("anchors")).alias("fingerprint"))
 
 
-def compare_edits(docs: DataFrame, k: int = K, size: int = SKETCH) -> DataFrame:
+def compare_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited form, with likenesses; one row per input row.
 
     Edited: the last floor(n/2) code points replaced by the first as many of the next document (descending doc_id).
@@ -99,14 +122,14 @@ def compare_edits(docs: DataFrame, k: int = K, size: int = SKETCH) -> DataFrame:
     rows = every.where("doc_id is not null")  # stated on both uses, so that one exchange of the texts serves both
     need = rows.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("need"))
     links = successors(rows).join(need, "doc_id").select(F.col("doc_id").alias("taker"), F.col("next_id").alias("doc_id"), "need")
-    given = with_sketch(rows.join(links, "doc_id"), "text", "next_sketch", k, size)
-    given = given.select(F.col("taker").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), "next_sketch")
-    given = given.groupBy("doc_id").agg(F.min(F.struct("head", "next_sketch")).alias("g")).select("doc_id", "g.head", "g.next_sketch")
+    given = with_anchors(rows.join(links, "doc_id"), "text", "following", k)
+    given = given.select(F.col("taker").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), "following")
+    given = given.groupBy("doc_id").agg(F.min(F.struct("head", "following")).alias("g")).select("doc_id", "g.head", "g.following")
     both = rows.join(given, "doc_id", "left").unionByName(every.where("doc_id is null"), allowMissingColumns=True)
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    both = with_sketch(with_sketch(both, "text", "own_sketch", k, size), "edited", "edited_sketch", k, size)
-    own, edited, following = F.col("own_sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"), likeness(own, edited, size).alias("near_edited"), F.when(following.isNotNull(), likeness(own, following, size)).alias("near_next"))
+    both = with_anchors(with_anchors(both, "text", "own", k), "edited", "changed", k).drop("text", "edited", "head")
+    both = with_likeness(with_likeness(both, "own", "changed", "near_edited"), "own", "following", "near_next")
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next")

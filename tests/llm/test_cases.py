@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from scriptorium.llm import decontaminate, langid, packing, pii, quality, warc
+from scriptorium.llm import decontaminate, langid, packing, pii, quality, syncmers, warc
 from scriptorium.llm.shared import attach
 
 BIG = 2**60 + 1
@@ -221,3 +221,69 @@ def test_pii_base_kinds_in_tables(spark):
 )
 def test_pii_accounts(text, masked):
     assert pii.mask(text) == masked
+
+
+def xxhash64(*longs_or_text):
+    """Spark's xxhash64 of one text or of longs, chained from seed 42."""
+    import xxhash
+
+    seed = 42
+    for x in longs_or_text:
+        raw = x.encode() if isinstance(x, str) else int(x).to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_anchors(text, k=6):
+    """The anchors of a text by definition: hash -> first place."""
+    import regex
+
+    scripts = "".join(rf"\p{{Script={x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+    found = regex.findall(rf"[^ \t\n\x0b\f\r{scripts}]{{1,12}}|[^ \t\n\x0b\f\r]", text or "")
+    if not found:
+        return {}
+    units = [1] * (k - 1) + [xxhash64(u) for u in found] + [2] * (k - 1)
+    out = {}
+    for i in range(len(units) - k + 1):
+        pairs = [xxhash64(units[i + j], units[i + j + 1]) for j in range(k - 1)]
+        if min(pairs[0], pairs[-1]) <= min(pairs[1:-1]):
+            out.setdefault(xxhash64(*pairs[::2]) >> 32, i)
+    return out
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    matches = sorted((a[h], b[h]) for h in a.keys() & b.keys())
+    in_order = sum(i == 0 or q > matches[i - 1][1] for i, (_, q) in enumerate(matches))
+    return 2 * in_order / (len(a) + len(b))
+
+
+def test_syncmers_against_definition(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 15)))
+    texts = [None, "", "  ", "one", "one two", "one two three four", "one two three five", "中文没有空格的文字" * 30, "中文没有空格的文字" * 29 + "中文没有空格的字", "go " * 200, "x" * 500, "a\tb\nc\u00a0d"]
+    texts += [" ".join(word() for _ in range(r.choice([7, 60, 400]))) for _ in range(12)]
+    texts += [t[: len(t) // 2] + " changed " + t[len(t) // 2 :] for t in texts[-4:]]
+    got = {x.doc_id: x for x in syncmers.compare_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    printed = lambda a: ",".join(f"{((h << 32) | (2 * p)) & (1 << 64) - 1:016x}" for h, p in sorted(a.items()))
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i - 1) % len(texts)] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, changed, following = plain_anchors(text), plain_anchors(edited), plain_anchors(after)
+        assert got[i].fingerprint == printed(own) and got[i].edited_fingerprint == printed(changed)
+        assert abs(got[i].near_edited - plain_likeness(own, changed)) < 1e-12 and abs(got[i].near_next - plain_likeness(own, following)) < 1e-12
+
+
+def test_syncmer_matching_uses_places(spark):
+    r = random.Random(15)
+    w = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    last = [*w[:-1], "other"]
+    swapped = w[100:] + w[:100]
+    mixed = [x for k in range(0, 200, 10) for x in w[190 - k : 200 - k]]
+    chinese = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(3900))
+    pairs = [(w, last, 0.9, 1), (w, swapped, 0.85, 0.99), (w, mixed, 0, 0.55), (["one", "two", "three", "four"], ["one", "two", "three", "five"], 0.2, 0.9), ([chinese], [chinese[:-1] + "中"], 0.99, 1), (w[:100], w[100:], 0, 0.02)]
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b, _, _) in enumerate(pairs)], "i int, a string, b string")
+    made = syncmers.with_likeness(syncmers.with_anchors(syncmers.with_anchors(df, "a", "x"), "b", "y"), "x", "y", "near")
+    for row in made.collect():
+        assert pairs[row.i][2] <= row.near <= pairs[row.i][3], row.i
