@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_agents, catalog_documents, catalog_retrieval  # noqa: F401  (they register their queries)
+from . import catalog_agents, catalog_documents, catalog_retrieval, catalog_structure  # noqa: F401  (they register their queries)
 from .functions.text import keyword_terms, keyword_tokens, lexical_terms, preview, short_hash, slug
 from .operators import library, retrieval, runs
 from .registry import BM25, DOC_TOKENS, LINES, LOG, ORACLE_SQL, QUERIES, TERMS, query, table
@@ -102,9 +102,15 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.col("with_anchor") > 0).cast("int")), 6).alias("evidence_recall"), F.round(F.avg(F.col("with_anchor") / F.col("hits")), 6).alias("evidence_precision"))
 
 
-@query(f"WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM lines JOIN p USING (source) WHERE length(line) BETWEEN 3 AND 120 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.1 * pages))")
+@query(f"WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM lines JOIN p USING (source) WHERE length(line) BETWEEN 3 AND 120 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.6 * pages))")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.repeated_lines(table(spark, sf_dir, "documents"), 0.1)
+    return library.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM lines JOIN p USING (source) WHERE length(line) BETWEEN 3 AND 120 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.02 * pages))")
+def frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines with a share that the sources' boilerplate reaches."""
+    return library.repeated_lines(table(spark, sf_dir, "documents"), 0.02)
 
 
 @query("""SELECT source, doc_id, least(length(text), 60000 - before)::BIGINT AS taken, length(text) > 60000 - before AS cut FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import ABBREVIATIONS, ROLES, doi, each, hash_vector, line_kind, paper_identifier, query_expression, semantic_role, sentences
+from .functions.text import ABBREVIATIONS, doi, each, hash_vector, line_kind, paper_identifier, query_expression, semantic_role, sentences
 from .operators import chunking, library
 from .registry import DOC_TOKENS, LINES, query, table
 
@@ -53,27 +53,32 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each(table(spark, sf_dir, "documents"), ["doc_id"], hash_vector(F.col("text")), "dim", "weight").where("weight > 0")
 
 
-_SYMBOLS = "[=+<>∑∫√≤≥±]"
+#: A line's kind in SQL; l is the line with blanks collapsed.
+KIND_SQL = r"""CASE WHEN regexp_matches(lower(l), '^(?:\d{1,4}|page\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4})$') THEN 'page number'
+ WHEN contains(lower(l), 'nature | vol') OR contains(lower(l), 'proceedings of') OR contains(lower(l), 'arxiv preprint') OR lower(l) = 'article' THEN 'running matter'
+ WHEN regexp_matches(l, '(?i)^\s*(?:extended\s+data\s+)?(?:table|figure|fig\.?)\s*[A-Z]?\d+(?:\.\d+)?\b') THEN 'caption'
+ WHEN (regexp_extract(l, '^((?:\d+(?:\.\d+){0,4}|[A-H](?:\.\d+){0,3}))[.)]?\s+(\S.{1,159})$', 2) <> '' AND NOT regexp_matches(l, '^0*[1-9]\d+[.)]?\s')
+ AND len(string_split(regexp_extract(l, '^((?:\d+(?:\.\d+){0,4}|[A-H](?:\.\d+){0,3}))[.)]?\s+(\S.{1,159})$', 2), ' ')) <= 16 AND NOT regexp_matches(l, '[.!]$')
+ AND NOT regexp_matches(regexp_extract(l, '^((?:\d+(?:\.\d+){0,4}|[A-H](?:\.\d+){0,3}))[.)]?\s+(\S.{1,159})$', 2), '[←→∅∪=≤≥]') AND regexp_matches(regexp_extract(l, '^((?:\d+(?:\.\d+){0,4}|[A-H](?:\.\d+){0,3}))[.)]?\s+(\S.{1,159})$', 2), '^\p{Lu}'))
+ OR rtrim(lower(l), ':') IN ('abstract', 'introduction', 'background', 'related work', 'method', 'methods', 'methodology', 'experiments', 'results', 'discussion', 'limitations', 'conclusion', 'conclusions', 'acknowledgments', 'references', 'appendix') THEN 'heading'
+ WHEN length(l) <= 300 AND (len(regexp_extract_all(l, '[=≤≥∑∏∫√∞λθαβγμσ±×÷∈∉∪∩→←]')) >= 2 OR (len(regexp_extract_all(l, '[=≤≥∑∏∫√∞λθαβγμσ±×÷∈∉∪∩→←]')) >= 1 AND regexp_matches(l, '\([A-Z]?\d+(?:\.\d+)?\)\s*$'))) THEN 'equation' ELSE 'text' END"""
 
 
-@query(f"""WITH {LINES}, h AS (SELECT *, regexp_extract(line, '^(?:\\d+(?:\\.\\d+){{0,4}}|[A-H](?:\\.\\d+){{0,3}})[.)]?\\s+(\\S.{{1,159}})$', 1) AS t, regexp_extract(line, '^(\\d+)[.)]?\\s', 1) AS p, len(regexp_extract_all(line, '{_SYMBOLS}')) AS m FROM lines)
- SELECT doc_id, ord::INT - 1 AS ord, CASE WHEN regexp_matches(line, '^(?:page\\s+)?\\d{{1,4}}$') THEN 'page number' WHEN regexp_matches(line, '(?i)^(?:extended data\\s+)?(?:table|figure|fig)\\.?\\s+[A-Z]?\\d+(?:\\.\\d+)?') THEN 'caption'
- WHEN t <> '' AND length(p) <= 1 AND regexp_matches(t, '^[A-Z]') AND NOT regexp_matches(t, '[.!]$') AND NOT regexp_matches(t, '{_SYMBOLS}') AND len(string_split_regex(t, '\\s+')) <= 16 THEN 'heading'
- WHEN length(line) <= 300 AND (m >= 2 OR (m >= 1 AND regexp_matches(line, '\\(\\d+\\)$'))) THEN 'equation' ELSE 'text' END AS kind FROM h""")
+@query(f"WITH {LINES}, h AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ') AS l FROM lines) SELECT doc_id, ord::INT - 1 AS ord, {KIND_SQL} AS kind FROM h")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", line_kind(F.col("line")).alias("kind"))
 
 
-_ROLE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(heading), '{'|'.join(words)}') THEN '{role}'" for role, words in ROLES) + " END"
-
-
-@query(f"SELECT page_id, {_ROLE_SQL} AS role FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages)")
+@query("""SELECT page_id, CASE WHEN regexp_matches(h, 'abstract') THEN 'abstract' WHEN regexp_matches(h, 'introduction|overview') THEN 'introduction' WHEN regexp_matches(h, 'related work|background|prior work') THEN 'related_work'
+ WHEN regexp_matches(h, 'method|approach|architecture|implementation') THEN 'methods' WHEN regexp_matches(h, 'experiment|evaluation|benchmark|setup') THEN 'experiments' WHEN regexp_matches(h, 'result|analysis|finding') THEN 'results'
+ WHEN regexp_matches(h, 'limitation|threats to validity') THEN 'limitations' WHEN regexp_matches(h, 'discussion') THEN 'discussion' WHEN regexp_matches(h, 'conclusion|future work') THEN 'conclusion'
+ WHEN regexp_matches(h, 'references|bibliography') THEN 'references' WHEN regexp_matches(h, 'appendix|supplement') THEN 'appendix' END AS role FROM (SELECT page_id, lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages)""")
 def section_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     headings = library.html_headings(table(spark, sf_dir, "pages"))
     return headings.select("page_id", semantic_role(F.col("heading")).alias("role"))
 
 
-@query(r"""SELECT doc_id, nullif(regexp_replace(regexp_extract(text, '(10\.\d{4,9}/[^\s"<>]+)', 1), '[.,;)\]]+$', ''), '') AS doi, nullif(regexp_extract(text, '(\d{4}\.\d{4,5})(?:v\d+)?', 1), '') AS arxiv_id FROM documents""")
+@query(r"""SELECT doc_id, nullif(regexp_replace(regexp_extract(text, '(10\.\d{4,9}/[^\s"<>]+)', 1), '[.,;)\]]+$', ''), '') AS doi, nullif(regexp_extract(text, '(?:^|[^\d])(\d{4}\.\d{4,5})(?:[vV]\d+)?(?:[^\d]|$)', 1), '') AS arxiv_id FROM documents""")
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", doi(F.col("text")).alias("doi"), paper_identifier(F.col("text")).alias("arxiv_id"))
 

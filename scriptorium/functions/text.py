@@ -87,8 +87,10 @@ _KEPT_STOP = "\u0001"
 
 def sentences(text: Column) -> Column:
     """Sentences of a text; listed abbreviations (also inside words, then lower-cased) end none."""
+    kept = text
     for a in ABBREVIATIONS:
-        text = F.regexp_replace(text, "(?i)" + a.replace(".", "\\."), a.replace(".", _KEPT_STOP))
+        kept = F.regexp_replace(kept, "(?i)" + a.replace(".", "\\."), a.replace(".", _KEPT_STOP))
+    text = F.when(text.rlike("(?i)(?:" + "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS) + ")"), kept).otherwise(text)  # most texts hold none
     parts = F.transform(F.split(text, "(?<=[.!?。！？])\\s+"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", ""))
     return F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.translate(s, _KEPT_STOP, "."))
 
@@ -135,9 +137,12 @@ def hashed_dim(term: Column, dims: int = 64) -> Column:
 
 
 def hash_vector(text: Column, dims: int = 64) -> Column:
-    """Counts of keyword tokens per hashed dimension."""
-    at = F.transform(keyword_tokens(text), lambda t: hashed_dim(t, dims))
-    return once(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(a) - F.size(F.array_remove(a, d))).cast("double")))
+    """Counts of keyword tokens per hashed dimension: the dimensions are sorted, each once more than it occurs, and the
+    distances between their last places are counted."""
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+    at = F.sort_array(F.concat(F.transform(keyword_tokens(text), lambda t: hashed_dim(t, dims)), every))
+    ends = once(at, lambda s: F.filter(F.transform(s, lambda x, i: F.when(~x.eqNullSafe(F.get(s, i + 1)), i)), lambda i: i.isNotNull()))
+    return once(ends, lambda p: F.transform(p, lambda x, i: (x - F.coalesce(F.get(p, i - 1), F.lit(-1)) - 1).cast("double")))
 
 
 # Section roles by substrings of the title, first match wins.
@@ -145,30 +150,94 @@ ROLES = (
     ("abstract", ("abstract",)),
     ("introduction", ("introduction", "overview")),
     ("related_work", ("related work", "background", "prior work")),
-    ("method", ("method", "approach", "architecture", "implementation")),
-    ("experiment", ("experiment", "evaluation", "benchmark", "setup")),
-    ("result", ("result", "analysis", "finding")),
-    ("limitation", ("limitation", "threats to validity")),
+    ("methods", ("method", "approach", "architecture", "implementation")),
+    ("experiments", ("experiment", "evaluation", "benchmark", "setup")),
+    ("results", ("result", "analysis", "finding")),
+    ("limitations", ("limitation", "threats to validity")),
     ("discussion", ("discussion",)),
     ("conclusion", ("conclusion", "future work")),
     ("references", ("references", "bibliography")),
     ("appendix", ("appendix", "supplement")),
 )
 
+# Titles that make a heading without a number, and those that do so beside numbered headings too.
+NAMED_HEADINGS = (
+    "abstract", "introduction", "background", "related work", "method", "methods", "methodology", "experiments", "results",
+    "discussion", "limitations", "conclusion", "conclusions", "acknowledgments", "references", "appendix",
+)
+ALWAYS_NAMED = ("abstract", "references", "limitations", "acknowledgments")
+# Symbols that a heading's title has none of, and those that make an equation.
+NO_HEADING = "[←→∅∪=≤≥]"
+MATH = "[=≤≥∑∏∫√∞λθαβγμσ±×÷∈∉∪∩→←]"
+# The forms of numbered headings, captions, equation numbers and page numbers.
+NUMBERED = r"^((?:\d+(?:\.\d+){0,4}|[A-H](?:\.\d+){0,3}))[.)]?\s+(\S.{1,159})$"
+CAPTION = r"(?i)^\s*(?:extended\s+data\s+)?(table|figure|fig\.?)\s*([A-Z]?\d+(?:\.\d+)?)\b"
+EQUATION_NUMBER = r"\([A-Z]?\d+(?:\.\d+)?\)\s*$"
+PAGE_NUMBER = r"^(?:\d{1,4}|page\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4})$"
+
 
 def semantic_role(title: Column) -> Column:
     return F.coalesce(*[F.when(F.lower(title).rlike("|".join(words)), F.lit(role)) for role, words in ROLES])
 
 
+def squeezed(text: Column) -> Column:
+    """Blanks collapsed to one and cut off at both ends."""
+    return F.btrim(F.regexp_replace(text, "\\s+", " "))
+
+
+def numbered_heading(line: Column) -> Column:
+    """struct(index, title, level) of a numbered heading, else null. Plain numbers go up to 9; a title has up to 16 words and a
+    letter, begins with a capital, does not end like a sentence and holds no symbol of a formula."""
+    index, title = F.regexp_extract(line, NUMBERED, 1), F.rtrim(F.regexp_extract(line, NUMBERED, 2))
+    counted = ~index.rlike("^\\d+$") | (F.length(F.ltrim(index, F.lit("0"))) <= 1)
+    titled = (F.size(F.split(title, "\\s+")) <= 16) & ~title.rlike("[.!]$") & ~title.rlike(NO_HEADING) & title.rlike("^\\p{Lu}") & title.rlike("\\p{L}")
+    level = F.length(index) - F.length(F.replace(index, F.lit("."), F.lit(""))) + 1
+    return F.when((title != "") & counted & titled, F.struct(index.alias("index"), title.alias("title"), level.alias("level")))
+
+
+def named_heading(line: Column, any_numbered: Column) -> Column:
+    """struct(index, title, level) of a heading by its name, else null; beside numbered headings only some names count."""
+    plain = F.rtrim(F.lower(line), F.lit(":"))
+    named = plain.isin(*ALWAYS_NAMED) | (~any_numbered & plain.isin(*NAMED_HEADINGS))
+    return F.when(named, F.struct(F.lit(None).cast("string").alias("index"), F.rtrim(line, F.lit(":")).alias("title"), F.lit(1).alias("level")))
+
+
+def caption(line: Column) -> Column:
+    """struct(kind, label) of a caption, else null; kind is table or figure."""
+    word, label = F.lower(F.regexp_extract(line, CAPTION, 1)), F.regexp_extract(line, CAPTION, 2)
+    return F.when(label != "", F.struct(F.when(word == "table", "table").otherwise("figure").alias("kind"), label.alias("label")))
+
+
+def is_equation(line: Column) -> Column:
+    plain = F.btrim(line)
+    symbols = F.regexp_count(plain, F.lit(MATH))
+    return (F.length(plain) <= 300) & ((symbols >= 2) | ((symbols >= 1) & plain.rlike(EQUATION_NUMBER)))
+
+
+def is_page_number(line: Column) -> Column:
+    return F.lower(squeezed(line)).rlike(PAGE_NUMBER)
+
+
+def is_running_matter(line: Column) -> Column:
+    """Lines that journals print on every page, by the line alone."""
+    plain = F.lower(squeezed(line))
+    return plain.contains("nature | vol") | plain.contains("proceedings of") | plain.contains("arxiv preprint") | (plain == "article")
+
+
 def line_kind(line: Column) -> Column:
-    """heading, caption, page number, equation or text, by the line alone."""
-    numbered = F.regexp_extract(line, r"^(?:\d+(?:\.\d+){0,4}|[A-H](?:\.\d+){0,3})[.)]?\s+(\S.{1,159})$", 1)
-    plain = F.regexp_extract(line, r"^(\d+)[.)]?\s", 1)
-    heading = (numbered != "") & ~((plain != "") & (F.length(plain) > 1)) & numbered.rlike("^[A-Z]") & ~numbered.rlike(r"[.!]$") & ~numbered.rlike(r"[=+<>∑∫√≤≥±]") & (F.size(F.split(numbered, r"\s+")) <= 16)
-    symbols = F.regexp_count(line, F.lit(r"[=+<>∑∫√≤≥±]"))
-    equation = (F.length(line) <= 300) & ((symbols >= 2) | ((symbols >= 1) & line.rlike(r"\(\d+\)$")))
-    caption = line.rlike(r"(?i)^(?:extended data\s+)?(?:table|figure|fig)\.?\s+[A-Z]?\d+(?:\.\d+)?")
-    return F.when(line.rlike(r"^(?:page\s+)?\d{1,4}$"), "page number").when(caption, "caption").when(heading, "heading").when(equation, "equation").otherwise("text")
+    """page number, running matter, caption, heading, equation or text, by the line alone."""
+    plain = squeezed(line)
+    return (
+        F.when(is_page_number(line), "page number").when(is_running_matter(line), "running matter").when(caption(line).isNotNull(), "caption")
+        .when(numbered_heading(plain).isNotNull() | named_heading(plain, F.lit(False)).isNotNull(), "heading").when(is_equation(line), "equation").otherwise("text")
+    )
+
+
+def body_text(lines: Column) -> Column:
+    """Lines as paragraphs: empty lines part them, others are joined by a blank, or without their hyphen before a small letter."""
+    whole = F.array_join(lines, "\n")
+    joined = F.btrim(F.regexp_replace(whole, "-\n(?=\\p{Ll})", ""), F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(joined, "(?<!\n)\n(?!\n)", " "), "\n{2,}", "\n\n")
 
 
 def query_expression(text: Column) -> Column:
@@ -180,7 +249,7 @@ def query_expression(text: Column) -> Column:
 
 def paper_identifier(text: Column) -> Column:
     """The first arXiv identifier of a text."""
-    return F.nullif(F.regexp_extract(text, r"(\d{4}\.\d{4,5})(?:v\d+)?", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"(?i)(?<!\d)(\d{4}\.\d{4,5})(?:v\d+)?(?!\d)", 1), F.lit(""))
 
 
 def doi(text: Column) -> Column:

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import each, hard_split, hash_vector, packed, sentences, short_hash
-from .library import lines
 
 MAX_CHARS = 1800
 OVERLAP = 1
@@ -50,9 +48,3 @@ def chunk_nodes(docs: DataFrame) -> DataFrame:
 def vectors(nodes: DataFrame, key: str, text: str) -> DataFrame:
     """(node_id, vec) by the hashing embedder."""
     return nodes.select(F.col(key).alias("node_id"), hash_vector(F.col(text)).alias("vec"))
-
-
-def line_gaps(docs: DataFrame) -> DataFrame:
-    """Characters since the line before, in the same document; null for the first."""
-    w = W.partitionBy("doc_id").orderBy("ord")
-    return lines(docs).select("doc_id", "ord", (F.col("ord") - F.lag("ord").over(w)).alias("gap"), F.length("line").alias("width"))

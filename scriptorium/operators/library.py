@@ -23,26 +23,37 @@ def repeated_lines(docs: DataFrame, share: float = 0.6, least: int = 2) -> DataF
     return counted.where(F.col("on_pages") >= F.greatest(F.lit(least), F.ceil(share * F.col("pages")))).select("source", "line", "on_pages")
 
 
+#: Documents whose lengths are summed as one before running sums are taken.
+PAGE_RANGE = 4096
+
+
 def page_text(docs: DataFrame, budget: int) -> DataFrame:
-    """The part of each source's running text that a character budget admits; the crossing page is cut, later ones drop."""
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
-    seen = docs.withColumn("before", before).where(F.col("before") < budget)
-    taken = F.least(F.length("text").cast("long"), budget - F.col("before"))
-    return seen.select("source", "doc_id", taken.alias("taken"), (taken < F.length("text")).alias("cut"))
+    """The part of each source's running text that a character budget admits; the crossing page is cut, later ones drop.
+
+    Lengths are summed by ranges of ids first; running sums go over ranges, and then inside the ranges that begin within
+    the budget, so no task orders a whole source and no text is shuffled.
+    """
+    sizes = docs.select("source", "doc_id", F.floor(F.col("doc_id") / PAGE_RANGE).alias("part"), F.length("text").cast("long").alias("size"))
+    totals = sizes.groupBy("source", "part").agg(F.sum("size").alias("total"))
+    ahead = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    begun = totals.select("source", "part", F.coalesce(F.sum("total").over(ahead("source", "part")), F.lit(0)).alias("before_part")).where(F.col("before_part") < budget)
+    inside = F.coalesce(F.sum("size").over(ahead("source", "part", "doc_id")), F.lit(0))
+    seen = sizes.join(begun, ["source", "part"]).withColumn("before", F.col("before_part") + inside).where(F.col("before") < budget)
+    taken = F.least("size", budget - F.col("before"))
+    return seen.select("source", "doc_id", taken.alias("taken"), (taken < F.col("size")).alias("cut"))
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """Section nodes: one per non-empty line, with ids, levels and content hashes."""
-    numbered = lines(docs).withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")))
-    node = F.format_string("%d:section:%04d", F.col("doc_id"), F.col("n"))
-    return numbered.select(node.alias("node_id"), F.format_string("%d:root", F.col("doc_id")).alias("parent_id"), F.lit(1).alias("level"), short_hash(F.col("line"), length=16).alias("content_hash"))
+    """Section nodes: one per non-empty line, with ids, levels and content hashes; numbered inside the row."""
+    return section_nodes(docs).select("node_id", F.format_string("%d:root", F.col("doc_id")).alias("parent_id"), F.lit(1).alias("level"), short_hash(F.col("line"), length=16).alias("content_hash"))
 
 
 def tree(docs: DataFrame) -> DataFrame:
-    """Roots with their number of children."""
-    s = sections(docs)
-    return s.groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"), F.min("node_id").alias("first_child"), F.max("node_id").alias("last_child"))
+    """Roots with their number of children; row-wise."""
+    n = F.size(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != ""))
+    node = lambda k: F.format_string("%d:section:%04d", F.col("doc_id"), k)
+    counted = docs.select("doc_id", n.alias("n")).where("n > 0")
+    return counted.select(F.format_string("%d:root", "doc_id").alias("node_id"), F.col("n").cast("long").alias("children"), node(F.lit(1)).alias("first_child"), F.greatest(node(F.col("n")), node(F.least(F.col("n"), F.lit(9999)))).alias("last_child"))
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -57,9 +68,16 @@ def health(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("indexed"), F.count_if(F.col("quality") == 0).alias("needing_rebuild"), F.count_if(F.col("quality").isNull()).alias("without_fingerprint"))
 
 
+#: Distinct papers and dimensions of a coverage matrix, each.
+MOST_VALUES = 10_000
+
+
 def coverage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Cells (source, lang) with their status: covered beats missing beats candidate beats empty."""
-    cells = docs.select("source").distinct().join(docs.select("lang").distinct(), F.lit(True))  # dimensions, not rows
+    sources, langs = docs.select("source").distinct(), docs.select("lang").distinct()  # dimensions, not rows
+    if sources.limit(MOST_VALUES + 1).count() > MOST_VALUES or langs.limit(MOST_VALUES + 1).count() > MOST_VALUES:
+        raise ValueError(f"a coverage matrix has at most {MOST_VALUES} values a side")
+    cells = sources.crossJoin(F.broadcast(langs))
     judged = docs.join(labels, "doc_id", "left").groupBy("source", "lang").agg(F.max("quality").alias("best"), F.count(F.lit(1)).alias("candidates"))
     status = F.when(F.col("best") == 1, "covered").when(F.col("best") == 0, "missing").when(F.col("candidates") > 0, "candidate").otherwise("empty")
     return cells.join(judged, ["source", "lang"], "left").select("source", "lang", status.alias("status"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
@@ -70,10 +88,13 @@ def coverage_ratios(cells: DataFrame) -> DataFrame:
 
 
 def anchors_found(benchmark: DataFrame, hits: DataFrame, docs: DataFrame, length: int = 40) -> DataFrame:
-    """For each query, how many hits and whether one holds its anchor (the text's first characters, case folded)."""
+    """For each query, how many hits and whether one holds its anchor (the text's first characters, case folded).
+
+    Only texts of documents that were hit are read on."""
     anchor = benchmark.select(F.col("item_id").alias("query_id"), F.lower(F.substring("text", 1, length)).alias("anchor"))
-    seen = hits.join(docs.select(F.col("doc_id").alias("node_id"), F.lower("text").alias("body")), "node_id").join(anchor, "query_id")
-    return seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.contains("body", "anchor")).alias("with_anchor"))
+    texts = docs.select(F.col("doc_id").alias("node_id"), "text").join(hits.select("node_id").distinct(), "node_id", "left_semi")
+    seen = hits.join(texts, "node_id").join(anchor, "query_id")
+    return seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.contains(F.lower("text"), F.col("anchor"))).alias("with_anchor"))
 
 
 def html_headings(pages: DataFrame) -> DataFrame:
