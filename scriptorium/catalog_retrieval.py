@@ -95,7 +95,7 @@ def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT conv_id, count(DISTINCT conv_id % 3 + turn % 2)::INT AS p, count(*) FILTER (role = 'user')::INT AS q, count(DISTINCT role)::INT AS d FROM conversations GROUP BY ALL),
  s AS (SELECT *, CASE WHEN p > 1 THEN 'multi_paper' WHEN q > 1 OR d > 1 THEN 'corpus_survey' ELSE 'single_paper' END AS strategy FROM r)
- SELECT conv_id, strategy, least(24, CASE strategy WHEN 'multi_paper' THEN greatest(8, p * greatest(2, d), 2 * q) WHEN 'corpus_survey' THEN greatest(8, 2 * q, 16) ELSE greatest(8, 2 * q) END)::INT AS final_top_k FROM s""")
+ SELECT conv_id, strategy, least(24, CASE strategy WHEN 'multi_paper' THEN greatest(8, p * greatest(2, d), 2 * q) WHEN 'corpus_survey' THEN greatest(8, 16) ELSE greatest(8, 2 * q) END)::INT AS final_top_k FROM s""")
 def strategy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation stands for a request: its user turns are sub-questions, its roles dimensions."""
     r = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_distinct(F.col("conv_id") % 3 + F.col("turn") % 2).cast("int").alias("p"), F.count_if(F.col("role") == "user").cast("int").alias("q"), F.count_distinct("role").cast("int").alias("d"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ def state(log: DataFrame) -> DataFrame:
 
 
 def metrics(log: DataFrame, conversations: int) -> DataFrame:
-    """Rollup per conversation over terminal events; conversations without any have zeros."""
+    """Rollup per conversation over terminal events, of conversations that have events; see `rollup` for all."""
     terminal = F.col("event_type").isin(*TERMINAL)
     return log.groupBy((F.col("run_id") % conversations).alias("conversation_id")).agg(F.count_if(terminal).alias("run_count"), F.coalesce(F.sum(F.when(terminal, F.col("duration_ms"))), F.lit(0)).alias("duration_ms"), F.count_if(F.col("event_type") == "tool.completed").alias("tool_calls"))
 
@@ -100,3 +100,63 @@ def turns(messages: DataFrame) -> DataFrame:
 def without_runs(log: DataFrame, deleted: DataFrame) -> DataFrame:
     """The log after runs were deleted with their events."""
     return log.join(deleted.select("run_id").distinct(), "run_id", "left_anti")
+
+
+# Event types that are stored; notices about the connection are not.
+PERSISTED = ("run.started", "stage.started", "decision.recorded", "tool.started", "tool.completed", "tool.failed", "metrics.updated", "run.completed", "run.failed", "run.cancelled")
+ENDINGS = {"run.completed": "completed", "run.failed": "failed", "run.cancelled": "cancelled"}
+
+
+def stored(log: DataFrame) -> DataFrame:
+    """The events that outlive the connection."""
+    return log.where(F.col("event_type").isin(*PERSISTED))
+
+
+def fallback_replay(log: DataFrame, after: int) -> DataFrame:
+    """Stored events after a sequence, for a run whose buffer is gone; there is always a gap."""
+    return stored(log).where(F.col("sequence") > after).select("run_id", "sequence", "event_type", F.lit(True).alias("gap"))
+
+
+def finished(log: DataFrame) -> DataFrame:
+    """(run_id, status, ended, and totals) of runs: by the first terminal event, after which nothing changes; else running."""
+    end = F.col("event_type").isin(*ENDINGS)
+    status = F.coalesce(*[F.when(F.min_by(F.when(end, F.col("event_type")), F.when(end, F.col("sequence"))) == k, F.lit(v)) for k, v in ENDINGS.items()], F.lit("running"))
+    total = lambda name, kind: F.count_if(F.col("event_type") == kind).alias(name)
+    return log.groupBy("run_id").agg(status.alias("status"), F.min(F.when(end, F.col("ts"))).alias("ended"), total("llm_calls", "stage.started"), total("tool_calls", "tool.completed"), F.sum("duration_ms").alias("duration_ms"), F.sum(F.length("event_type")).alias("input_tokens"), F.count(F.lit(1)).alias("output_tokens"))
+
+
+def rollup(conversations: DataFrame, runs: DataFrame) -> DataFrame:
+    """Six sums and the number of runs per conversation, over runs that ended; conversations without any have zeros.
+
+    conversations: (conversation_id); runs: (conversation_id, status, input_tokens, output_tokens, llm_calls, tool_calls, duration_ms)."""
+    sums = ("input_tokens", "output_tokens", "total_tokens", "llm_calls", "tool_calls", "duration_ms")
+    ended = runs.where(F.col("status").isin(*ENDINGS.values())).withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+    totals = ended.groupBy("conversation_id").agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("run_count"))
+    return conversations.select("conversation_id").distinct().join(totals, "conversation_id", "left").select("conversation_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*sums, "run_count")])
+
+
+def retained(runs: DataFrame, now: Column, seconds: int = 600) -> DataFrame:
+    """Runs whose buffer is still there: those that go on, and those that ended less than `seconds` ago."""
+    return runs.where(F.col("ended").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("ended") < seconds))
+
+
+def recent(conversations: DataFrame, n: int) -> DataFrame:
+    """The n conversations updated last, newest first."""
+    return conversations.orderBy(F.col("updated_at").desc(), "conversation_id").limit(n)
+
+
+def owned(runs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Runs asked for by (run_id, conversation_id); those of another conversation are not found."""
+    return wanted.join(runs, ["run_id", "conversation_id"])
+
+
+def regenerated(messages: DataFrame) -> DataFrame:
+    """Messages (conversation_id, sequence, run_id, succeeded, replaces) with superseded_by.
+
+    A regeneration that succeeded hides what it replaces from sequence `replaces` on up to its own; one that failed hides its own
+    messages. The first that hides a message stays named.
+    """
+    tries = messages.where("replaces is not null").select("conversation_id", F.col("run_id").alias("by"), F.col("sequence").alias("own"), F.col("replaces").alias("since"), F.col("succeeded").alias("ok")).distinct()
+    hit = (F.col("ok") & (F.col("sequence") >= F.col("since")) & (F.col("sequence") < F.col("own"))) | (~F.col("ok") & (F.col("run_id") == F.col("by")))
+    hidden = messages.join(tries, "conversation_id").where(hit).groupBy("conversation_id", "sequence").agg(F.min_by("by", "own").alias("superseded_by"))
+    return messages.join(hidden, ["conversation_id", "sequence"], "left")

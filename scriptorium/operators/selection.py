@@ -71,7 +71,7 @@ def final_top_k(kind: Column, targets: Column, questions: Column, dimensions: Co
     """Evidence that a request returns at most, by its strategy."""
     twice, share = 2 * questions, F.greatest(F.lit(limits.multi_chunks), dimensions)
     base = F.lit(limits.final)
-    most = F.when(kind == "multi_paper", F.greatest(base, targets * share, twice)).when(kind == "corpus_survey", F.greatest(base, twice, F.lit(limits.survey_final))).otherwise(F.greatest(base, twice))
+    most = F.when(kind == "multi_paper", F.greatest(base, targets * share, twice)).when(kind == "corpus_survey", F.greatest(base, F.lit(limits.survey_final))).otherwise(F.greatest(base, twice))
     return F.least(most, F.lit(limits.max_final))
 
 
@@ -99,14 +99,26 @@ def reserve(rows: list[dict], papers: list, dimensions: list, limits: Limits) ->
     return sorted(({**r, "taken": False} for r in chosen), key=lambda r: -r["score"])
 
 
+def likeness(rows: list[dict]) -> np.ndarray:
+    """Likeness of each two rows: the cosine of their vectors, not below 0; where one has none, the Jaccard figure of their terms."""
+    width = max((len(r["vec"]) for r in rows if r.get("vec") is not None), default=1)
+    held = np.array([r.get("vec") is not None for r in rows])
+    vecs = np.array([r["vec"] if r.get("vec") is not None else np.zeros(width) for r in rows], float)
+    norms = np.linalg.norm(vecs, axis=1)
+    unit = vecs / np.where(norms == 0, 1, norms)[:, None]
+    alike = np.maximum(unit @ unit.T, 0)
+    terms = [set(r["terms"]) if r.get("terms") is not None else set() for r in rows]
+    for i, j in zip(*np.nonzero(~(held[:, None] & held[None, :])), strict=True):
+        both = terms[i] | terms[j]
+        alike[i, j] = len(terms[i] & terms[j]) / len(both) if both else 0.0
+    return alike
+
+
 def diversify(rows: list[dict], limits: Limits) -> list[dict]:
     """Maximal marginal relevance: protected rows first, then what gains most; ties take the earlier row."""
     if len(rows) < 2:
         return rows
-    vecs = np.array([r["vec"] for r in rows], float)
-    norms = np.linalg.norm(vecs, axis=1)
-    unit = vecs / np.where(norms == 0, 1, norms)[:, None]
-    alike = np.maximum(unit @ unit.T, 0)
+    alike = likeness(rows)
     scores = np.array([r["score"] for r in rows])
     spread = scores.max() - scores.min()
     worth = np.ones(len(rows)) if np.isclose(spread, 0, atol=1e-12) else (scores - scores.min()) / spread

@@ -58,8 +58,18 @@ def test_sentences_and_chunks(spark):
     assert one(text.packed(units, 5, 0), "") == [["s0", "s1"], ["s2", "s3"]]
     assert one(text.packed(F.array().cast("array<string>"), 5), "") == []
     assert one(text.hard_split(v, 2), "abcde") == ["ab", "cd", "e"]
-    kinds = {"3.1 Retrieval": "heading", "Figure 2: a map": "caption", "12": "page number", "a = b + c": "equation", "plain words": "text", "12 Monkeys": "text"}
+    kinds = {
+        "3.1 Retrieval": "heading", "12 Monkeys": "text", "9. Results": "heading", "10 Results": "text", "A.1 Proofs": "heading", "I.1 Proofs": "text", "2 lower case": "text", "2 Ends so.": "text", "3 Maps A → B": "text", "4 ***": "text",
+        "1.2.3.4.5 Deep": "heading", "5 " + "Long " * 17: "text", "Related Work:": "heading", "abstract": "heading", "Figure 2: a map": "caption", "Fig.2b": "text", "TABLE A1.2 x": "caption", "Extended Data Fig. 3": "caption", "figures 2": "text",
+        "12": "page number", "12345": "text", "Page 3 of 9": "page number", "3/9": "page number", "page": "text", "a = b + c": "text", "a = b + c (3)": "equation", "a = b → c": "equation", "α + β": "equation", "x" * 299 + "=(1)": "text",
+        "Article": "running matter", "Nature | Vol 5": "running matter", "arXiv preprint 2": "running matter", "plain words": "text",
+    }
     assert {k: one(text.line_kind(v), k) for k in kinds} == kinds
+    assert one(text.numbered_heading(v), "2.1) On  graphs") == ("2.1", "On  graphs", 2) and one(text.named_heading(v, F.lit(True)), "Methods") is None
+    assert one(text.caption(v), "extended data figure S4.1 shows") == ("figure", "S4.1")
+    assert one(text.semantic_role(v), "Our Methods") == "methods" and one(text.semantic_role(v), "Threats to Validity") == "limitations" and one(text.semantic_role(v), "x") is None
+    assert one(text.body_text(F.split(v, "\n")), "one hy-\nphen\nTop-\nTen\n\n\nnext\n") == "one hyphen Top- Ten\n\nnext"
+    assert [one(text.paper_identifier(v), x) for x in ("12345.678901", "x2401.01234V2.", "2401.012345")] == [None, "2401.01234", None]
     assert one(text.citation_markers(v), "a [E-0123456789ab] b [E-0123456789ab] [E-x]") == ["E-0123456789ab"]
     assert one(text.query_expression(v), 'graph AND "deep model" (x)') == 'all:graph AND all:"deep model" AND all:x'
     assert one(text.doi(v), "see 10.1234/abc.5).") == "10.1234/abc.5" and one(text.paper_identifier(v), "arXiv:2401.01234v2") == "2401.01234"
