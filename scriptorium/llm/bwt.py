@@ -216,16 +216,18 @@ def spans(docs: DataFrame, length: int = WINDOW, k: int = K) -> tuple[DataFrame,
             begin = np.cumsum(sizes) - sizes
             text = slices(text, begin[first], sizes[first])
             ended = at[gone] + n[gone] + length - 1
-            out.append((b, squeeze(here, m[kept], own[kept], row[kept].astype(np.uint32), at[kept].astype(np.uint32), n[kept].astype(np.uint16), text, row[gone].astype(np.uint32), at[gone].astype(np.uint32), ended.astype(np.uint32))))
+            several, place = np.unique(row[kept], return_inverse=True)  # a row's id is sent once
+            out.append((b, squeeze(here, m[kept], held.ids[several], several.astype(np.uint32), place.astype(np.uint32), at[kept].astype(np.uint32), n[kept].astype(np.uint16), text, row[gone].astype(np.uint32), at[gone].astype(np.uint32), ended.astype(np.uint32))))
         return block_table(out)
 
     def merge(table: pa.Table) -> pa.Table:
         parts = [expand(x) for x in rows_of(table)]
-        m, doc, row, at, n, flat, g_row, g_at, g_end = (np.concatenate([p[i] for p in parts]) for i in range(1, 10))
+        m, at, n, flat, g_row, g_at, g_end = (np.concatenate([p[i] for p in parts]) for i in (1, 5, 6, 7, 8, 9, 10))
+        doc, row = (np.concatenate([p[i][p[4]] for p in parts]) for i in (2, 3))
         source = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
         homes = np.array([int(p[0][0]) for p in parts])
         stretch, s, e = _settle(m, doc, at.astype(np.int64), n.astype(np.int64), flat, source, length)
-        home = np.concatenate([homes[source[stretch]], np.repeat(homes, [len(p[7]) for p in parts])])
+        home = np.concatenate([homes[source[stretch]], np.repeat(homes, [len(p[8]) for p in parts])])
         columns = np.concatenate([row[stretch], g_row]), np.concatenate([s, g_at]).astype(np.uint32), np.concatenate([e, g_end]).astype(np.uint32)
         return block_table([(b, squeeze(*(c[r] for c in columns))) for b, r in by_bucket(home)])
 

@@ -54,7 +54,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else b""
         parts += [struct.pack("<3sI", a.dtype.str[-2:].encode(), len(a)), bytes(planes)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def expand(block: bytes) -> list[np.ndarray]:
