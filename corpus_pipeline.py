@@ -16,7 +16,7 @@ from scriptorium.llm.shared import stash
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the attention classifier, fitted on the labelled ones, rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.fit(docs.select("doc_id", "text"), labels)
     return quality.keep_good(docs, model)
 
 

@@ -46,7 +46,7 @@ def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null").where(crc_mod(F.col("doc_id"), 3) != 1)
-    model = quality.fit(docs.join(labels, "doc_id"))
+    model = quality.fit(docs, labels)
     return quality.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 

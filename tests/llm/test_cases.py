@@ -141,6 +141,8 @@ def test_quality_uses_every_passage_of_a_sampled_document(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     got = {x.doc_id: x.predicted for x in quality.score(df, quality.fit(df)).collect()}
     assert sum(got[i] == q for i, _, q in rows) >= 114
+    apart = quality.fit(df.drop("quality"), df.select("doc_id", "quality"))
+    assert all(np.array_equal(apart.p[k], v) for k, v in quality.fit(df).p.items())
     small = quality.fit(df, sample_bytes=200_000)  # bounded by bytes: whole documents, fewer of them
     assert small.fitted
 
