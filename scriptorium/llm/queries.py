@@ -43,6 +43,19 @@ def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS k, ws FROM w WHERE len(ws) >= 20),
+ key AS (SELECT doc_id, k, sha256(array_to_string(ws[k:k + 19], ' ')) AS h FROM win),
+ late AS (SELECT doc_id, k FROM key QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, k) > 1),
+ gone AS (SELECT DISTINCT doc_id, k + d AS k FROM late, (SELECT unnest(range(0, 20)) AS d)),
+ g AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id),
+ word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS k FROM w),
+ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null").where(crc_mod(F.col("doc_id"), 3) != 1)
@@ -82,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_warc_segments, op2_ngram_jaccard, op3_relative_lz, op4_attention_quality, op5_bwt_merge, op6_closed_syncmers, op7_zstd_language, op8_anchor_pii, op9_fm_decontamination, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_segments": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_segments": OP1_SQL, "op3_relative_lz": OP3_SQL}

@@ -289,3 +289,15 @@ def test_syncmer_matching_uses_places(spark):
     made = syncmers.with_likeness(syncmers.with_anchors(syncmers.with_anchors(df, "a", "x"), "b", "y"), "x", "y", "near")
     for row in made.collect():
         assert pairs[row.i][2] <= row.near <= pairs[row.i][3], row.i
+
+
+def test_factors_against_sql(spark):
+    import duckdb
+
+    from scriptorium.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.sql(queries.ORACLE_SQL["op3_relative_lz"]).fetchall())
+    assert sorted(map(tuple, queries.op3_relative_lz(spark, sf).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == want
