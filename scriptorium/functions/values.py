@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +74,25 @@ def published(date: Column, year: Column) -> Column:
 def retry_seconds(header: Column) -> Column:
     """Seconds to wait before another try, 0 to 120; 0 where the header is no number."""
     return F.least(F.greatest(F.coalesce(header.try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(120.0))
+
+
+def search_text(text: Column) -> Column:
+    """A search's words: hyphens between word characters and runs of blanks are one blank."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"(?<=\w)-(?=\w)", " "), r"\s+", " "))
+
+
+def asset_path(root: Column, paper: Column, file: Column) -> Column:
+    """The path of a paper's asset; null for an id or name that could lead elsewhere."""
+    valid = F.rlike(paper, F.lit(r"\A[a-z0-9][a-z0-9._-]{0,127}\z")) & F.rlike(file, F.lit(r"\A[A-Za-z0-9._-]{1,255}\z")) & ~file.isin(".", "..")
+    return F.when(valid, F.concat_ws("/", root, paper, file))
+
+
+def folded_text(text: Column) -> Column:
+    """Compatibility forms composed and case folded. Spark has no function for either, so this is Arrow batches of Python."""
+
+    @F.pandas_udf("string")
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return fold(text)

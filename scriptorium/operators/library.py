@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,12 +58,23 @@ def tree(docs: DataFrame) -> DataFrame:
     return counted.select(F.format_string("%d:root", "doc_id").alias("node_id"), F.col("n").cast("long").alias("children"), node(F.lit(1)).alias("first_child"), F.greatest(node(F.col("n")), node(F.least(F.col("n"), F.lit(9999)))).alias("last_child"))
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """First document of each normalised text: lower case, ß as ss, line-break hyphens joined, blanks collapsed."""
-    plain = F.regexp_replace(F.regexp_replace(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), "-\\s*\n\\s*", ""), "\\s+", " ")
+def lowered(text: Column) -> Column:
+    """Lower case, ß as ss: what full case folding gives for most Latin texts, without Python."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def distinct_texts(docs: DataFrame, fold: Callable[[Column], Column] = lowered) -> DataFrame:
+    """First document of each normalised text: folded, line-break hyphens joined, blanks collapsed."""
+    plain = F.regexp_replace(F.regexp_replace(fold(F.col("text")), "-\\s*\n\\s*", ""), "\\s+", " ")
     return docs.groupBy("source", F.sha2(F.trim(plain), 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("source", "doc_id", "copies")
 
 
+def matching(nodes: DataFrame, kind: Column, wanted: str | None, texts: list[Column], needle: str) -> DataFrame:
+    """Nodes of a kind (any, where none is named) with `needle` in their joined texts, whatever its case."""
+    held = F.contains(F.lower(F.concat_ws(" ", *texts)), F.lit(needle.strip().lower()))
+    return nodes.where(held if wanted is None else (kind == wanted) & held)
+
+
 def health(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Indexed, flagged for a rebuild, and without a fingerprint, by source; a label's quality stands for the state."""
     joined = docs.select("doc_id", "source").join(labels, "doc_id", "left")

@@ -37,6 +37,20 @@ def pool_sizes(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "node_id", "dl").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def substring_pool(terms: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, node_id) of the nodes whose raw text holds one of a query's terms, case and all, also inside words.
+
+    A term has no blanks, so it lies within one piece of the text. Distinct pieces meet the terms by the terms' first two
+    characters, and then the texts; no text is matched with every term.
+    """
+    pieces = docs.select(F.col(key).alias("node_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(\S+)")))).alias("piece"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("piece")), lambda i: F.substr("piece", i, F.lit(2)))
+    heads = pieces.select("piece").distinct().select("piece", F.explode(F.array_distinct(F.concat(starts, F.split("piece", "")))).alias("head"))
+    asked = terms.select("term").distinct().withColumn("head", F.substring("term", 1, 2))
+    held = heads.join(asked, "head").where(F.contains("piece", "term")).select("piece", "term")
+    return pieces.join(held, "piece").join(terms, "term").select("query_id", "node_id").distinct()
+
+
 def bm25(terms: DataFrame, posts: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, node_id, score, matched): BM25 over each query's pool.
 
