@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from . import catalog_agents, catalog_documents, catalog_evaluation, catalog_planning, catalog_reading, catalog_retrieval, catalog_structure  # noqa: F401  (they register their queries)
 from .functions.text import keyword_terms, keyword_tokens, lexical_terms, preview, short_hash, slug
 from .operators import library, retrieval, runs
-from .registry import BM25, DOC_TOKENS, LINES, LOG, ORACLE_SQL, QUERIES, TERMS, query, table
+from .registry import BM25, DOC_TOKENS, LINES, LOG, ORACLE_SQL, QUERIES, TERMS, query, table, texts
 
 
 @query(f"WITH {BM25} SELECT query_id, node_id, score, matched, rank FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.keyword_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
+    return retrieval.keyword_top_k(table(spark, sf_dir, "benchmark"), texts(spark, sf_dir), "item_id", "doc_id")
 
 
 flagship = bm25_topk
@@ -22,13 +22,13 @@ flagship = bm25_topk
 @query(f"WITH {BM25} SELECT query_id, n AS pool, round(avgdl, 6) AS avgdl FROM pool")
 def keyword_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    hits = terms.join(retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text", terms), "term")
+    hits = terms.join(retrieval.postings(texts(spark, sf_dir), "doc_id", "text", terms), "term")
     return retrieval.pool_sizes(hits).select("query_id", F.col("n").alias("pool"), F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"SELECT id AS doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM ({DOC_TOKENS}) GROUP BY ALL")
 def keyword_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", keyword_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    tokens = texts(spark, sf_dir).select("doc_id", keyword_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     return tokens.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("terms"))
 
 
@@ -39,13 +39,13 @@ def keyword_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: length(t) > 1), lambda t: lower(t))))::INT AS terms FROM documents")
 def lexical_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lexical_terms(F.col("text"))).alias("terms"))
+    return texts(spark, sf_dir).select("doc_id", F.size(lexical_terms(F.col("text"))).alias("terms"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 240 THEN rtrim(substr(text, 1, 240), ' ') || '…' ELSE text END AS preview,
  coalesce(nullif(rtrim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), '-'), ''), 'paper') AS slug, substr(sha256(doc_id::VARCHAR || '|' || text), 1, 12) AS id FROM documents""")
 def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", preview(F.col("text")).alias("preview"), slug(F.col("text")).alias("slug"), short_hash(F.col("doc_id").cast("string"), F.col("text")).alias("id"))
+    return texts(spark, sf_dir).select("doc_id", preview(F.col("text")).alias("preview"), slug(F.col("text")).alias("slug"), short_hash(F.col("doc_id").cast("string"), F.col("text")).alias("id"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +92,7 @@ def threshold_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT query_id, count(*) AS hits, count(*) FILTER (contains(lower(d.text), lower(substr(i.text, 1, 40)))) AS with_anchor FROM bm JOIN documents d ON d.doc_id = node_id JOIN benchmark i ON i.item_id = query_id GROUP BY ALL")
 def eval_anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.anchors_found(table(spark, sf_dir, "benchmark"), bm25_topk(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return library.anchors_found(table(spark, sf_dir, "benchmark"), bm25_topk(spark, sf_dir), texts(spark, sf_dir))
 
 
 @query(f"""WITH {BM25}, a AS (SELECT query_id, count(*) AS hits, count(*) FILTER (contains(lower(d.text), lower(substr(i.text, 1, 40)))) AS w FROM bm JOIN documents d ON d.doc_id = node_id JOIN benchmark i ON i.item_id = query_id GROUP BY ALL)
@@ -104,36 +104,36 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM lines JOIN p USING (source) WHERE length(line) BETWEEN 3 AND 120 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.6 * pages))")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.repeated_lines(table(spark, sf_dir, "documents"))
+    return library.repeated_lines(texts(spark, sf_dir))
 
 
 @query(f"WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM lines JOIN p USING (source) WHERE length(line) BETWEEN 3 AND 120 GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.02 * pages))")
 def frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines with a share that the sources' boilerplate reaches."""
-    return library.repeated_lines(table(spark, sf_dir, "documents"), 0.02)
+    return library.repeated_lines(texts(spark, sf_dir), 0.02)
 
 
 @query("""SELECT source, doc_id, least(length(text), 60000 - before)::BIGINT AS taken, length(text) > 60000 - before AS cut FROM (
  SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 60000""")
 def page_text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.page_text(table(spark, sf_dir, "documents"), 60_000)
+    return library.page_text(texts(spark, sf_dir), 60_000)
 
 
 @query(f"""WITH {LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM lines)
  SELECT printf('%d:section:%04d', doc_id, n) AS node_id, printf('%d:root', doc_id) AS parent_id, 1 AS level, substr(sha256(line), 1, 16) AS content_hash FROM n""")
 def tree_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.sections(table(spark, sf_dir, "documents"))
+    return library.sections(texts(spark, sf_dir))
 
 
 @query(f"""WITH {LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM lines), s AS (SELECT printf('%d:section:%04d', doc_id, n) AS node_id, printf('%d:root', doc_id) AS parent_id FROM n)
  SELECT parent_id AS node_id, count(*) AS children, min(node_id) AS first_child, max(node_id) AS last_child FROM s GROUP BY parent_id""")
 def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.tree(table(spark, sf_dir, "documents"))
+    return library.tree(texts(spark, sf_dir))
 
 
 @query("""SELECT source, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT source, doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '-\\s*\n\\s*', '', 'g'), '\\s+', ' ', 'g'), ' ') AS k FROM documents) GROUP BY source, k""")
 def dedup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.distinct_texts(table(spark, sf_dir, "documents"))
+    return library.distinct_texts(texts(spark, sf_dir))
 
 
 @query("SELECT source, count(*) AS indexed, count(*) FILTER (quality = 0) AS needing_rebuild, count(*) FILTER (quality IS NULL) AS without_fingerprint FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")

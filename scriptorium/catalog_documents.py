@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import ABBREVIATIONS, doi, each, hash_vector, line_kind, paper_identifier, query_expression, semantic_role, sentences
 from .operators import chunking, library
-from .registry import DOC_TOKENS, LINES, query, table
+from .registry import DOC_TOKENS, LINES, query, table, texts
 
 _SECTIONS = f"{LINES}, sec AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord)::INT AS section, line AS text FROM lines)"
 
@@ -32,25 +32,25 @@ _CHUNKS = f"""{_SENTENCES}, u0 AS (SELECT doc_id, section, ord AS sord, unnest(r
 
 @query(f"WITH {_SENTENCES} SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY ord)::INT AS n, text AS sentence FROM sen")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.section_rows(table(spark, sf_dir, "documents"))
+    rows = chunking.section_rows(texts(spark, sf_dir))
     return each(rows, ["doc_id", "section"], sentences(F.col("text")), "pos", "sentence").select("doc_id", "section", (F.col("pos") + 1).alias("n"), "sentence")
 
 
 @query(f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(table(spark, sf_dir, "documents"))
+    return chunking.chunks(texts(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_CHUNKS} SELECT printf('%d:section:%04d:chunk:%04d', c.doc_id, section, chunk) AS node_id, printf('%d:section:%04d', c.doc_id, section) AS parent_id, 2 AS level,
  substr(sha256(c.text), 1, 16) AS content_hash, sha256(substr(d.text, 1, 60) || chr(10) || substr(s.text, 1, 60) || chr(10) || c.text) AS embedding_sha256 FROM chunks c JOIN sec s USING (doc_id, section) JOIN documents d USING (doc_id)""")
 def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = chunking.chunk_nodes(table(spark, sf_dir, "documents"))
+    nodes = chunking.chunk_nodes(texts(spark, sf_dir))
     return nodes.select("node_id", "parent_id", "level", "content_hash", F.sha2("embedding_text", 256).alias("embedding_sha256"))
 
 
 @query(f"SELECT id AS doc_id, ('0x' || substr(md5(term), 31, 2))::INT % 64 AS dim, count(*)::DOUBLE AS weight FROM ({DOC_TOKENS}) GROUP BY ALL")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return each(table(spark, sf_dir, "documents"), ["doc_id"], hash_vector(F.col("text")), "dim", "weight").where("weight > 0")
+    return each(texts(spark, sf_dir), ["doc_id"], hash_vector(F.col("text")), "dim", "weight").where("weight > 0")
 
 
 #: A line's kind in SQL; l is the line with blanks collapsed.
@@ -66,7 +66,7 @@ KIND_SQL = r"""CASE WHEN regexp_matches(lower(l), '^(?:\d{1,4}|page\s*\d{1,4}(?:
 
 @query(f"WITH {LINES}, h AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ') AS l FROM lines) SELECT doc_id, ord::INT - 1 AS ord, {KIND_SQL} AS kind FROM h")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", line_kind(F.col("line")).alias("kind"))
+    return library.lines(texts(spark, sf_dir)).select("doc_id", "ord", line_kind(F.col("line")).alias("kind"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(h, 'abstract') THEN 'abstract' WHEN regexp_matches(h, 'introduction|overview') THEN 'introduction' WHEN regexp_matches(h, 'related work|background|prior work') THEN 'related_work'
@@ -80,7 +80,7 @@ def section_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, nullif(regexp_replace(regexp_extract(text, '(10\.\d{4,9}/[^\s"<>]+)', 1), '[.,;)\]]+$', ''), '') AS doi, nullif(regexp_extract(text, '(?:^|[^\d])(\d{4}\.\d{4,5})(?:[vV]\d+)?(?:[^\d]|$)', 1), '') AS arxiv_id FROM documents""")
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", doi(F.col("text")).alias("doi"), paper_identifier(F.col("text")).alias("arxiv_id"))
+    return texts(spark, sf_dir).select("doc_id", doi(F.col("text")).alias("doi"), paper_identifier(F.col("text")).alias("arxiv_id"))
 
 
 @query("""SELECT item_id, array_to_string(list_transform(list_filter(regexp_extract_all(text, '("[^"]+"|[^\\s"()]+)', 1), lambda p: upper(p) NOT IN ('AND', 'OR', 'NOT')), lambda p: 'all:' || p), ' AND ') AS expression FROM benchmark""".replace("\\\\", "\\"))
@@ -90,7 +90,7 @@ def query_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, array_to_string(w, ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents) WHERE len(w) > 0")
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.rebuilt(library.inverted(table(spark, sf_dir, "documents")))
+    return library.rebuilt(library.inverted(texts(spark, sf_dir)))
 
 
 @query(f"""WITH {LINES}, n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM lines)
@@ -98,7 +98,7 @@ def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM n LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = n.doc_id WHERE l.doc_id IS NULL OR n <= 3""")
 def replace_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good documents come again with a mark and three sections only: their old nodes go, also the stale ones."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
     old = library.section_nodes(docs)
     fresh = library.section_nodes(docs.join(labels.where("quality = 1"), "doc_id", "left_semi")).where("n <= 3").withColumn("line", F.concat(F.lit("v2 "), F.col("line")))
     both = library.replaced(old.withColumn("replaced", F.lit(False)), fresh.withColumn("replaced", F.lit(True)), "doc_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import values
 from .functions.text import lexical_terms
 from .operators import planning, retrieval, runs
-from .registry import BM25, query, table
+from .registry import BM25, query, table, texts
 
 _REQUESTS = """rq AS (SELECT conv_id AS request, 'about ' || conv_id AS query, 'fact' AS mode, CASE WHEN conv_id % 3 = 0 THEN []::BIGINT[] ELSE [conv_id % 7] END AS papers FROM (SELECT DISTINCT conv_id FROM conversations)),
  sq AS (SELECT conv_id AS request, turn AS ord, lower(substr(text, 1, 2)) AS query, (['fact', 'summary', 'method', 'compare', 'synthesis'])[turn % 5 + 1] AS mode, CASE WHEN turn % 3 = 0 THEN []::BIGINT[] ELSE list_distinct([conv_id % 7, turn % 4]) END AS papers, CASE WHEN turn % 4 > 0 THEN 'd' || (turn % 4) END AS dimension FROM conversations WHERE role = 'user' AND conv_id % 5 > 0),
@@ -54,7 +54,7 @@ _HITS = f"""{BM25}, shits AS (SELECT query_id % 40 AS request, query_id // 40 AS
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request's sub-questions are five benchmark items; the first hits stand for a second channel as well."""
     q = F.col("query_id")
-    found = retrieval.keyword_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
+    found = retrieval.keyword_top_k(table(spark, sf_dir, "benchmark"), texts(spark, sf_dir), "item_id", "doc_id")
     base = found.select((q % 40).alias("request"), F.floor(q / 40).alias("ord"), "node_id", "score", "rank", F.concat(F.lit("q"), q.cast("string")).alias("query"), F.when(q % 3 > 0, F.concat(F.lit("d"), (q % 3).cast("string"))).alias("dimension"))
     channels = F.when(F.col("rank") <= 4, F.array(F.lit("keyword"), F.lit("vector"))).otherwise(F.array(F.lit("keyword")))
     hits = base.withColumn("channel", F.explode(channels)).withColumn("score", F.when(F.col("channel") == "vector", F.col("score") / 2).otherwise(F.col("score")))
@@ -71,7 +71,7 @@ def merged_subquestions(spark: SparkSession, sf_dir: str) -> DataFrame:
  q AS (SELECT request, parent, query, min((node_id, ord)) AS o FROM p GROUP BY ALL), m AS (SELECT request, parent, dimension, min((node_id, ord)) AS o FROM p WHERE dimension IS NOT NULL GROUP BY ALL)
  SELECT request, parent, string_agg(query, ',' ORDER BY o) AS queries, coalesce((SELECT string_agg(dimension, ',' ORDER BY o) FROM m WHERE m.request = q.request AND m.parent = q.parent), '') AS dimensions FROM q GROUP BY request, parent""")
 def section_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _merged(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("source").alias("parent")), "node_id")
+    found = _merged(spark, sf_dir).join(texts(spark, sf_dir).select(F.col("doc_id").alias("node_id"), F.col("source").alias("parent")), "node_id")
     return planning.provenance(found).select("request", "parent", F.array_join("queries", ",").alias("queries"), F.array_join("dimensions", ",").alias("dimensions"))
 
 
@@ -113,7 +113,7 @@ _LEX = "list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(
 @query(f"WITH t AS (SELECT doc_id, {_LEX.format(t='text')} AS t FROM documents WHERE text IS NOT NULL) SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 9)::DOUBLE AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of each document and the next by their terms."""
-    t = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lexical_terms(F.col("text")).alias("t"))
+    t = texts(spark, sf_dir).where("text is not null").select("doc_id", lexical_terms(F.col("text")).alias("t"))
     after = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return t.join(after, "doc_id").select("doc_id", F.round(planning.jaccard(F.col("t"), F.col("u")), 9).alias("jaccard"))
 
@@ -121,7 +121,7 @@ def term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BM25} SELECT query_id AS request, node_id, rerank_score, rank FROM (SELECT query_id, node_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, node_id) AS rank FROM (SELECT query_id, node_id, round(len(list_intersect({_LEX.format(t='i.text')}, {_LEX.format(t='d.text')})) / len({_LEX.format(t='i.text')}), 9)::DOUBLE AS rerank_score FROM bm JOIN benchmark i ON i.item_id = query_id JOIN documents d ON d.doc_id = node_id)) WHERE rank <= 5")
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits in another order: by the share of the query's terms that a text has, in place of a model."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    items, docs = table(spark, sf_dir, "benchmark"), texts(spark, sf_dir)
     found = retrieval.keyword_top_k(items, docs, "item_id", "doc_id")
     rows = found.join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").join(docs.select(F.col("doc_id").alias("node_id"), "text"), "node_id").withColumnRenamed("query_id", "request")
     share = lambda q, t: F.round(F.size(F.array_intersect(lexical_terms(q), lexical_terms(t))) / F.size(lexical_terms(q)), 9)
@@ -225,7 +225,7 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages stand for models; the versions are fixed values."""
     model = F.coalesce("lang", F.lit("none"))
-    return table(spark, sf_dir, "documents").select("doc_id", values.index_fingerprint(model, F.nullif(F.col("n_chars") % 3, F.lit(0)), F.lit("chunks-1"), F.lit("lines-1"), F.col("doc_id") % 4).alias("fingerprint"))
+    return texts(spark, sf_dir).select("doc_id", values.index_fingerprint(model, F.nullif(F.col("n_chars") % 3, F.lit(0)), F.lit("chunks-1"), F.lit("lines-1"), F.col("doc_id") % 4).alias("fingerprint"))
 
 
 @query("SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(list_dot_product(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))), list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))), 6) AS squared FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import values
 from .operators import evidence, library, reading, retrieval
-from .registry import BM25, TERMS, query, table
+from .registry import BM25, TERMS, query, table, texts
 
 _ROUNDS = f"""{BM25}, h AS (SELECT query_id AS request, round, rank AS ord, node_id, source AS paper, lang AS dimension, score, text FROM bm JOIN documents ON doc_id = node_id CROSS JOIN (SELECT unnest([1, 2]) AS round)
  WHERE source IS NOT NULL AND lang IS NOT NULL AND query_id % 9 < 8 AND ((round = 1 AND rank <= 5) OR (round = 2 AND rank >= 4))),
@@ -16,7 +16,7 @@ _ROUNDS = f"""{BM25}, h AS (SELECT query_id AS request, round, rank AS ord, node
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    items, docs = table(spark, sf_dir, "benchmark"), texts(spark, sf_dir)
     found = retrieval.keyword_top_k(items.where("item_id % 9 < 8"), docs, "item_id", "doc_id")
     named = docs.where("source is not null and lang is not null").select(F.col("doc_id").alias("node_id"), F.col("source").alias("paper"), F.col("lang").alias("dimension"), "text")
     rounds = found.withColumn("round", F.explode(F.array(F.lit(1), F.lit(2)))).where("round = 1 and rank <= 5 or round = 2 and rank >= 4")
@@ -92,7 +92,7 @@ def report_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT query_id, count(DISTINCT doc_id) AS pool FROM ({TERMS}) JOIN documents ON contains(text, term) GROUP BY ALL")
 def substring_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text").drop("ord")
-    return retrieval.substring_pool(terms, table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"))
+    return retrieval.substring_pool(terms, texts(spark, sf_dir), "doc_id", "text").groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"))
 
 
 @query(r"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(\w)-(\w)', '\1 \2', 'g'), '(\w)-(\w)', '\1 \2', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM benchmark")
@@ -111,11 +111,11 @@ def asset_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(coalesce(source, '') || ' ' || coalesce(substr(text, 1, 240), '')), 'ma')")
 def matching_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a list shows them: of one kind, with a text in their title or preview."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return library.matching(docs, F.col("lang"), "en", [F.col("source"), F.substring("text", 1, 240)], "MA").select("doc_id")
 
 
 @query("""SELECT source, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT source, doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '-\\s*\n\\s*', '', 'g'), '\\s+', ' ', 'g'), ' ') AS k FROM documents) GROUP BY source, k""")
 def dedup_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts by their compatibility forms and full case folding; the test data holds no characters in which this differs from lower case but ß."""
-    return library.distinct_texts(table(spark, sf_dir, "documents"), values.folded_text)
+    return library.distinct_texts(texts(spark, sf_dir), values.folded_text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import hash_vector
 from .operators import chunking, library, retrieval, selection
-from .registry import BM25, DOC_TOKENS, ITEM_TOKENS, LINES, STOP, query, table
+from .registry import BM25, DOC_TOKENS, ITEM_TOKENS, LINES, STOP, query, table, texts
 
 _DIM = "('0x' || substr(md5(term), 31, 2))::INT % 64 AS dim, count(*)::DOUBLE AS c"
 _VEC = f"""dv AS (SELECT id, {_DIM} FROM ({DOC_TOKENS}) GROUP BY ALL), qv AS (SELECT id, {_DIM} FROM ({ITEM_TOKENS}) GROUP BY ALL),
@@ -31,13 +31,13 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = chunking.vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
+    nodes = chunking.vectors(texts(spark, sf_dir), "doc_id", "text")
     hits = retrieval.vector_top_k(_queries(spark, sf_dir).select("query_id", "qvec"), nodes, 12)
     return hits.where("score > 0").select("query_id", "node_id", "score", "rank")
 
 
 def _keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.keyword_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
+    return retrieval.keyword_top_k(table(spark, sf_dir, "benchmark"), texts(spark, sf_dir), "item_id", "doc_id")
 
 
 @query(f"WITH {_MERGED} SELECT query_id, node_id, vector_score, keyword_score, source, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS fused_score FROM mg")
@@ -46,7 +46,7 @@ def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     children = library.section_nodes(docs).select(F.col("doc_id").alias("parent"), "node_id", F.col("line").alias("text"), hash_vector(F.col("line")).alias("vec"))
     anchors = candidate_merge(spark, sf_dir).select("query_id", F.col("node_id").alias("parent"))
     return selection.expanded(anchors, children, _queries(spark, sf_dir).select("query_id", "qvec"))
@@ -65,7 +65,7 @@ def _terms(text: str) -> str:
  round(0.5 * ex.score + 0.25 * coalesce(sim.score, 0) + 0.15 * coalesce(sim.score, 0) + 0.1 * len(list_intersect({_terms("i.text")}, {_terms("ex.line")})) / len({_terms("i.text")}), 9) AS ranking
  FROM ex JOIN benchmark i ON i.item_id = ex.query_id LEFT JOIN sim ON sim.query_id = ex.query_id AND sim.node_id = ex.doc_id""")
 def ranking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = chunking.vectors(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("node_id").alias("parent"), F.col("vec").alias("root_vec"))
+    roots = chunking.vectors(texts(spark, sf_dir), "doc_id", "text").select(F.col("node_id").alias("parent"), F.col("vec").alias("root_vec"))
     ranked = selection.in_context(_expanded(spark, sf_dir), _queries(spark, sf_dir).select("query_id", "query"), roots)
     return ranked.select("query_id", "node_id", "paper_score", "ranking")
 
@@ -73,7 +73,7 @@ def ranking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both channels merged, ranked and selected; a document's source is its paper, its language the dimension it answers."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     found = candidate_merge(spark, sf_dir).join(docs.select(F.col("doc_id").alias("node_id"), F.coalesce("source", F.lit("")).alias("paper"), "lang", hash_vector(F.col("text")).alias("vec")), "node_id")
     recall = F.greatest("vector_score", F.coalesce("keyword_score", F.lit(0.0)))
     rows = found.select("query_id", "node_id", "paper", F.array_compact(F.array("lang")).alias("dimensions"), F.round(0.5 * F.least(F.lit(1.0), recall + 0.2 * F.col("fused_score")) + 0.4 * F.col("vector_score"), 6).alias("score"), "vec")
@@ -89,7 +89,7 @@ def _case(name: str, hits: str) -> str:
 @query(f"""WITH {BM25}, {_VEC}, {_case("b", "bm")}, {_case("c", "vec")} SELECT query_id, b.hits AS baseline_hits, c.hits AS current_hits, c.recall - b.recall AS recall_delta,
  CASE WHEN c.recall < b.recall THEN 'regression' WHEN c.recall > b.recall THEN 'improvement' ELSE 'same' END AS verdict FROM b JOIN c USING (query_id)""")
 def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    items, docs = table(spark, sf_dir, "benchmark"), texts(spark, sf_dir)
     return library.compared(library.anchors_found(items, _keyword_hits(spark, sf_dir), docs), library.anchors_found(items, _vector_hits(spark, sf_dir), docs))
 
 

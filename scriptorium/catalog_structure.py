@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import caption
 from .operators import library, structure
-from .registry import LINES, query, table
+from .registry import LINES, query, table, texts
 
 
 def outlined(docs: DataFrame) -> DataFrame:
@@ -48,26 +48,26 @@ _PARENTS = OUTLINE + """, par AS (SELECT s.*, CASE WHEN p.level = s.level - 1 TH
 
 @query(f"WITH {OUTLINE} SELECT sec.doc_id, sec.n, \"index\", title, level, sha256(coalesce(body, '')) AS body_sha256 FROM sec LEFT JOIN body USING (doc_id, n)")
 def sections_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = structure.parsed_sections(outlined(table(spark, sf_dir, "documents")))
+    found = structure.parsed_sections(outlined(texts(spark, sf_dir)))
     return found.select("doc_id", "n", "index", "title", "level", F.sha2("body", 256).alias("body_sha256"))
 
 
 @query(f"""WITH RECURSIVE {_PARENTS}, path AS (SELECT doc_id, n, parent, concat_ws(' ', "index", title) AS path FROM par WHERE parent IS NULL
  UNION ALL SELECT p.doc_id, p.n, p.parent, path.path || ' > ' || concat_ws(' ', p."index", p.title) FROM par p JOIN path ON path.doc_id = p.doc_id AND path.n = p.parent) SELECT * FROM path""")
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = structure.with_parents(structure.parsed_sections(outlined(table(spark, sf_dir, "documents"))))
+    found = structure.with_parents(structure.parsed_sections(outlined(texts(spark, sf_dir))))
     return found.select("doc_id", "n", "parent", F.array_join("path", " > ").alias("path"))
 
 
 @query(f"WITH {_PARENTS} SELECT doc_id, parent, string_agg(n, ',' ORDER BY n) AS children FROM par GROUP BY ALL")
 def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = structure.with_parents(structure.parsed_sections(outlined(table(spark, sf_dir, "documents"))))
+    found = structure.with_parents(structure.parsed_sections(outlined(texts(spark, sf_dir))))
     return structure.children(found).select("doc_id", "parent", F.array_join("children", ",").alias("children"))
 
 
 @query(f"WITH {OUTLINE} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ord, (sum(numbered::INT) OVER (PARTITION BY doc_id ORDER BY i))::INT AS section FROM nh WHERE l <> ''")
 def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.assigned_lines(outlined(table(spark, sf_dir, "documents")))
+    return structure.assigned_lines(outlined(texts(spark, sf_dir)))
 
 
 _BLOCKS = """blk AS (SELECT source, doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN 'caption' ELSE 'object' END AS type, CASE doc_id % 2 WHEN 0 THEN 'table' ELSE 'figure' END AS kind, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 40)::VARCHAR END AS label FROM documents),
@@ -77,7 +77,7 @@ _BLOCKS = """blk AS (SELECT source, doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN '
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source's documents as the blocks of a section: captions, tables and figures with labels."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("source", d.alias("ord"), F.when(d % 3 == 0, "caption").otherwise("object").alias("type"), F.when(d % 2 == 0, "table").otherwise("figure").alias("kind"), F.when(d % 7 > 0, (d % 40).cast("string")).alias("label"))
+    return texts(spark, sf_dir).select("source", d.alias("ord"), F.when(d % 3 == 0, "caption").otherwise("object").alias("type"), F.when(d % 2 == 0, "table").otherwise("figure").alias("kind"), F.when(d % 7 > 0, (d % 40).cast("string")).alias("label"))
 
 
 @query(f"WITH {_BLOCKS} SELECT b.source, b.ord, c.caption_ord FROM blk b LEFT JOIN (SELECT l.source, l.ord, max(k.ord) AS caption_ord FROM lst l JOIN blk k ON k.type = 'caption' AND k.source = l.source AND k.kind = l.kind AND k.label = l.label GROUP BY ALL) c ON c.source = b.source AND c.ord = b.ord WHERE b.type = 'object'")
@@ -97,6 +97,6 @@ def caption_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines behind made-up captions; plurals are none."""
     n = F.col("ord") + 1
     word = F.when(n % 3 == 0, "Table").when(n % 3 == 1, "Extended Data Fig.").otherwise("figures")
-    lines = library.lines(table(spark, sf_dir, "documents"))
+    lines = library.lines(texts(spark, sf_dir))
     said = F.concat(word, F.lit(" "), (F.col("doc_id") % 30).cast("string"), F.when(n % 2 == 0, F.concat(F.lit("."), (n % 9).cast("string"))).otherwise(""), F.lit(" "), "line")
     return lines.select("doc_id", "ord", caption(said).alias("c")).where("c is not null").select("doc_id", "ord", "c.kind", "c.label")

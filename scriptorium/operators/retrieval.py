@@ -27,8 +27,8 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFram
     """(node_id, dl, term, tf): one row per distinct token of a node that is a query's term; dl counts all its tokens."""
     tokens = docs.select(F.col(key).alias("node_id"), keyword_tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
     exploded = each(tokens, ["node_id", "dl"], F.col("tokens"), "ord", "term").drop("ord")
-    asked = exploded.join(terms.select("term").distinct(), "term", "left_semi")
-    # every reader of a posting depends on tf, so column pruning leaves them one exchange to share
+    # the one shuffle of the recall: a node's tokens stay together through all that follows, and its readers share it
+    asked = exploded.join(terms.select("term").distinct(), "term", "left_semi").repartition("node_id")
     return asked.groupBy("node_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).where("tf > 0")
 
 
@@ -54,11 +54,12 @@ def substring_pool(terms: DataFrame, docs: DataFrame, key: str, text: str) -> Da
 def bm25(terms: DataFrame, posts: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, node_id, score, matched): BM25 over each query's pool.
 
-    Only postings of query terms are joined; pool size, mean length and frequencies come from that join.
+    Only postings of query terms are joined. Every node with a term is in its query's pool, so frequencies are the postings'
+    own; pool sizes and mean lengths come from the join.
     """
-    hits = terms.join(posts, "term").select("query_id", "term", "node_id", "dl", "tf")
-    df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(pool_sizes(hits), "query_id").join(df, ["query_id", "term"])
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = posts.join(terms.select("query_id", "term").join(df, "term"), "term").select("query_id", "node_id", "dl", "tf", "df")
+    scored = hits.join(pool_sizes(hits), "query_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "node_id").agg(F.sum(part).alias("raw"), F.count(F.lit(1)).alias("matched"))
@@ -93,6 +94,6 @@ def ranking_score(recall: Column, fused: Column, section: Column, paper: Column,
 
 
 def within_window(scores: DataFrame, floor: float = 0.20, window: float = 0.18) -> DataFrame:
-    """Rows at or above the floor and within a window below their query's best."""
-    best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
-    return scores.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(floor), F.col("best") - window)).drop("best")
+    """Rows at or above the floor and within a window below their query's best. A query has the few rows of a top-k."""
+    best = F.max("score").over(W.partitionBy("query_id"))
+    return scores.withColumn("best", best).where(F.col("score") >= F.greatest(F.lit(floor), F.col("best") - window)).drop("best")

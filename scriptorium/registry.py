@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.text import STOP_WORDS
 
@@ -26,6 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer files is dealt anew before its texts are read.
+FEW_FILES = 32
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, for queries that read whole texts.
+
+    Such queries are bound by CPU, and a file of one row group is one task however it is split. A table of fewer files
+    than cores (and than FEW_FILES) is dealt by doc_id, into as many parts as its size asks for; larger ones
+    are read as they are. The hash keeps this apart from partitionings by doc_id, so that a later shuffle of small rows is still one that readers share.
+    """
+    docs = table(spark, sf_dir, "documents")
+    return docs.repartition(F.xxhash64("doc_id")) if len(docs.inputFiles()) < min(FEW_FILES, spark.sparkContext.defaultParallelism) else docs
+
+
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: (id, ord, term) of keyword tokens; the test data holds no CJK characters.
 TOKENS = """SELECT {id} AS id, lower(u.t) AS term, u.ord FROM (SELECT {id}, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9]+'), 1) AS ord FROM {table}) u
