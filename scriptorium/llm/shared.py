@@ -9,12 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path, shared_dir, stash
 
-__all__ = ["ASCII_LOWER", "WORD", "attach", "by_text", "components", "crc_mod", "fresh_path", "mix64", "release_memory", "sha256_hex", "shared_dir", "stash"]
+__all__ = ["ASCII_LOWER", "WORD", "attach", "by_text", "components", "crc_mod", "discard", "fresh_path", "mix64", "release_memory", "sha256_hex", "shared_dir", "stash"]
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower-cases A-Z only, as the contracts ask.
@@ -29,6 +29,12 @@ def release_memory() -> None:
         trim(0)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 #: Texts that a map holds as Python strings at a time.
 BATCH_ROWS = 256
 
