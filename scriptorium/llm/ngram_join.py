@@ -10,8 +10,8 @@ are exact up to EXACT and four steps a doubling beyond.
   4. candidates: items that meet in a prefix n-gram and pass the length and the position filters. Each n-gram's
      items are first compared with one centre; then only items not yet in one component are compared with each
      other, so a large group of copies costs links in proportion to its size, and no link between components is lost. In that
-     second step the smaller of two sets is met in the shorter prefix that a partner of its size or more leaves, and
-     the items of a frequent n-gram are split into blocks of PAIR_ROWS.
+     second step the smaller of two sets is met in the shorter prefix that a partner of its size or more leaves, the
+     items of an n-gram's largest component meet only those outside it, and a frequent n-gram's are split into blocks of PAIR_ROWS.
   5. verify: partial overlaps are counted fragment by fragment and summed per pair; 100 * overlap >= 100 * t * union.
 Equal sets are classes: one node, however many documents; nodes are 64-bit set signatures.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import BLOCKS_DDL, NULL_ID, U64, block_table, bucket_count, bucket_of, expand, rows_of, span_hash, squeeze, whole_number, word_hashes, word_spans
-from .shared import attach, components, mix64, release_memory, stash
+from .shared import attach, components, discard, mix64, paths, release_memory, stash
 
 #: Text in one scan chunk.
 CHUNK_BYTES = 2 << 20
@@ -217,7 +217,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def links(items: DataFrame, t: int) -> DataFrame:
-    """Steps 4 and 5: links (a, b) between nodes, enough of them to connect every component of the whole link graph."""
+    """Steps 4 and 5: links (a, b) between nodes, enough of them to connect every component of the whole link graph. Stored; what was
+    stored on the way is deleted."""
+    spark = items.sparkSession
     live = items.where(F.size("prefix") > 0).dropDuplicates(["node"])
     live = stash(live.select("node", "n_shingles", "unshared", "prefix", "fragments"), "items")
     sets = live.select("node", F.explode("fragments").alias("f")).select("node", "f.fragment", "f.grams")
@@ -246,14 +248,26 @@ def links(items: DataFrame, t: int) -> DataFrame:
     label = components(found).select(F.col("id").alias("node"), "component")
     named = attach(grams, label, "node").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("label"))
     named = stash(named, "named")
-    mixed = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("gram", F.ceil(F.col("n") / PAIR_ROWS).cast("int").alias("blocks"))
-    named = stash(attach(named, mixed, "gram", "inner"), "mixed")
-    larger = named.select("gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_side("a"))
-    smaller = named.where((100 + t) * (F.col("size") - F.col("place")) >= 2 * t * F.col("size")).select("gram", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *_side("b"))
+    by_label = named.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_label.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    blocks = lambda n: F.ceil(n / PAIR_ROWS).cast("int")
+    met = stash(attach(named, mixed.select("gram", "top", blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("most")).alias("few")), "gram", "inner"), "mixed")
+    discard(spark, paths(named))
     first = (F.col("size_a") > F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") > F.col("b"))
-    rest = larger.join(smaller, ["gram", "block"]).where(first & (F.col("label_a") != F.col("label_b")) & fits("a", "b"))
+    short = (100 + t) * (F.col("size") - F.col("place")) >= 2 * t * F.col("size")
+
+    def meet(left: DataFrame, right: DataFrame, n: str) -> DataFrame:
+        larger = left.select("gram", F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("block"), *_side("a"))
+        smaller = right.where(short).select("gram", F.pmod(F.xxhash64("node"), n).cast("int").alias("block"), *_side("b"))
+        return larger.join(smaller, ["gram", "block"]).where(first & (F.col("label_a") != F.col("label_b")) & fits("a", "b"))
+
+    others, most = met.where("label != top"), met.where("label = top")  # those of the n-gram's largest component never meet each other
+    rest = meet(others, met, "all").unionByName(meet(most, others, "few"))
     rest = ordered(rest).join(star, ["a", "b"], "left_anti")
-    return found.unionByName(_verified(rest, sets, t))
+    out = stash(found.unionByName(_verified(rest, sets, t)), "all-links")
+    for done in (live, star, found, met):
+        discard(spark, paths(done))
+    return out
 
 
 def _side(side: str) -> list[Column]:
@@ -263,8 +277,11 @@ def _side(side: str) -> list[Column]:
 def _keyed_rows(docs: DataFrame, n: int, t: int) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, and as key its component's least node; null for an empty set. Stored."""
     items = stash(ordered_items(docs, n, t), "sets")
-    label = components(stash(links(items, t), "links")).select(F.col("id").alias("node"), "component")
-    rows = attach(items.select("doc_id", "text_key", "n_shingles", "node"), label, "node")
+    linked = links(items, t)
+    own = stash(items.select("doc_id", "text_key", "n_shingles", "node"), "rows")
+    discard(docs.sparkSession, paths(items))
+    label = components(linked).select(F.col("id").alias("node"), "component")
+    rows = attach(own, label, "node")
     return stash(rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("key")), "keys")
 
 
@@ -284,7 +301,7 @@ def one_each(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     wordless = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
     some = docs.where(~wordless)
     kept = _keyed_rows(some, n, t).groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"))
-    id_ = lambda c: F.coalesce(c, F.lit(NULL_ID)).alias("_id")
-    kept = kept.select(id_(F.col("least.doc_id")), F.col("least.text_key").alias("_key"))
-    some = some.select("*", id_(whole_number(docs)), text_key().alias("_key")).join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    return some.select(*docs.columns).unionByName(docs.where(wordless))
+    kept = kept.select(F.coalesce("least.doc_id", F.lit(NULL_ID)).alias("own_id"), F.col("least.text_key").alias("own_key"))
+    inner = some.select(F.struct("*").alias("row"), F.coalesce(whole_number(docs), F.lit(NULL_ID)).alias("own_id"), text_key().alias("own_key"))  # any names of docs are inside the structure
+    inner = inner.join(kept, ["own_id", "own_key"], "left_semi").dropDuplicates(["own_id", "own_key"])
+    return inner.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where(wordless))

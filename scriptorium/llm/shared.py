@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path, shared_dir, stash
 
-__all__ = ["ASCII_LOWER", "WORD", "attach", "by_text", "components", "crc_mod", "discard", "fresh_path", "mix64", "release_memory", "sha256_hex", "shared_dir", "stash"]
+__all__ = ["ASCII_LOWER", "WORD", "attach", "by_text", "components", "crc_mod", "discard", "fresh_path", "mix64", "paths", "release_memory", "sha256_hex", "shared_dir", "stash"]
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower-cases A-Z only, as the contracts ask.
@@ -29,10 +29,16 @@ def release_memory() -> None:
         trim(0)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder that nothing reads any more."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+def paths(stored: DataFrame) -> list[str]:
+    """The folder of a stored table that is read as it was written."""
+    return sorted({f.rpartition("/")[0] for f in stored.inputFiles()})
+
+
+def discard(spark: SparkSession, folders: str | list[str]) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    for folder in [folders] if isinstance(folders, str) else folders:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 #: Texts that a map holds as Python strings at a time.
