@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_agents, catalog_documents, catalog_evaluation, catalog_layout, catalog_planning, catalog_reading, catalog_retrieval, catalog_structure  # noqa: F401  (they register their queries)
+from . import catalog_agents, catalog_documents, catalog_evaluation, catalog_hierarchy, catalog_layout, catalog_planning, catalog_reading, catalog_retrieval, catalog_structure  # noqa: F401  (they register their queries)
 from .functions.text import keyword_terms, keyword_tokens, lexical_terms, preview, short_hash, slug
 from .operators import library, retrieval, runs
-from .registry import BM25, DOC_TOKENS, LINES, LOG, ORACLE_SQL, QUERIES, TERMS, query, table, texts
+from .registry import BM25, DOC_TOKENS, KNN, LINES, LOG, ORACLE_SQL, QUERIES, TERMS, embedded, query, table, texts
 
 
 @query(f"WITH {BM25} SELECT query_id, node_id, score, matched, rank FROM bm")
@@ -48,35 +48,26 @@ def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", preview(F.col("text")).alias("preview"), slug(F.col("text")).alias("slug"), short_hash(F.col("doc_id").cast("string"), F.col("text")).alias("id"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec"), "label")
-    return nodes, nodes.where(F.col("node_id") % 20 == 0).select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
-
-
-_KNN = """v AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS (SELECT node_id AS query_id, vec AS qvec FROM v WHERE node_id % 20 = 0),
- s AS (SELECT query_id, node_id, label, round(list_dot_product(qvec, vec) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(vec, vec))), 6) AS score FROM q, v)"""
-
-
-@query(f"WITH {_KNN} SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 12")
+@query(f"WITH {KNN} SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 12")
 def knn_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, queries = _vectors(spark, sf_dir)
+    nodes, queries = embedded(spark, sf_dir)
     return retrieval.vector_top_k(queries, nodes, 12).select("query_id", "node_id", "score", "rank")
 
 
-@query(f"WITH {_KNN} SELECT query_id, label, node_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 3")
+@query(f"WITH {KNN} SELECT query_id, label, node_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 3")
 def knn_per_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, queries = _vectors(spark, sf_dir)
+    nodes, queries = embedded(spark, sf_dir)
     return retrieval.vector_top_k(queries, nodes, 3, ["label"]).select("query_id", "label", "node_id", "score", "rank")
 
 
-@query(f"WITH {_KNN} SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM (SELECT query_id, label, max(score) AS score FROM s GROUP BY ALL) QUALIFY rank <= 5")
+@query(f"WITH {KNN} SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM (SELECT query_id, label, max(score) AS score FROM s GROUP BY ALL) QUALIFY rank <= 5")
 def route_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, queries = _vectors(spark, sf_dir)
+    nodes, queries = embedded(spark, sf_dir)
     best = retrieval.vector_top_k(queries, nodes, 1, ["label"]).select("query_id", "label", "score")
     return retrieval.top_k(best, ["query_id"], [F.col("score").desc(), F.col("label")], 5)
 
 
-@query(f"""WITH {_KNN}, g AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 12),
+@query(f"""WITH {KNN}, g AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 12),
  p AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 3),
  f AS (SELECT query_id, node_id, sum(1.0::DOUBLE / (60 + rank)) AS raw, count(*) AS channels FROM (SELECT * FROM g UNION ALL SELECT * FROM p) GROUP BY ALL)
  SELECT query_id, node_id, channels, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM f""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import values
 from .functions.text import lexical_terms
-from .operators import planning, retrieval, runs
+from .operators import hierarchy, planning, retrieval, runs
 from .registry import BM25, query, table, texts
 
 _REQUESTS = """rq AS (SELECT conv_id AS request, 'about ' || conv_id AS query, 'fact' AS mode, CASE WHEN conv_id % 3 = 0 THEN []::BIGINT[] ELSE [conv_id % 7] END AS papers FROM (SELECT DISTINCT conv_id FROM conversations)),
@@ -103,8 +103,9 @@ def scoped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the two papers that a request is routed to, three a paper and embedding."""
     nodes, queries = _vectors(spark, sf_dir)
     routed = retrieval.top_k(_routed(spark, sf_dir), ["request"], [F.col("score").desc(), F.col("label")], 2).select("request", "label")
-    hits = retrieval.vector_top_k(queries, nodes, 3, ["label"]).withColumn("request", F.col("query_id") % 100)
-    return planning.in_scope(hits, routed, ["request", "label"]).select("query_id", "label", "node_id", "score", "rank")
+    scope = queries.select("query_id", (F.col("query_id") % 100).alias("request")).join(routed, "request")
+    hits = hierarchy.scored_in_scope(queries, scope, nodes, "label")
+    return retrieval.top_k(hits, ["query_id", "label"], [F.col("score").desc(), F.col("node_id")], 3).select("query_id", "label", "node_id", "score", "rank")
 
 
 _LEX = "list_distinct(list_concat(list_transform(list_filter(regexp_extract_all({t}, '[A-Za-z0-9]+'), lambda t: length(t) > 1), lambda t: lower(t)), regexp_extract_all({t}, '[一-鿿]')))"

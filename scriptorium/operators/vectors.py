@@ -1,4 +1,4 @@
-"""Exact cosine top-k of many queries over many vectors, block by block."""
+"""Cosine top-k of many queries over many vectors: exact, block by block; or by an index of lists that covers every vector."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,14 +56,21 @@ def block_hits(queries: DataFrame, nodes: DataFrame, k: int, by: list[str]) -> D
     Rows without a vector have no hits. Every vector goes to each block of queries and every query to each block of
     vectors, so a pair meets once; what is shuffled is pairs over block size, and what comes out is k per block.
     """
-    # counted before the filter, so that no vector is computed for it
+    # counted as rows: a vector that is computed is not needed for it, and rows without one are left out where they are scored
     node_blocks, query_blocks = (max(1, math.ceil(df.count() / size)) for df, size in ((nodes, NODE_BLOCK), (queries, QUERY_BLOCK)))
     deal = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    held = nodes.where("vec is not null").select("node_id", "vec", *by, deal("node_id", node_blocks).alias("nb")).withColumn("qb", every(query_blocks))
-    asked = queries.where("qvec is not null").select("query_id", "qvec", deal("query_id", query_blocks).alias("qb")).withColumn("nb", every(node_blocks))
+    held = nodes.select("node_id", "vec", *by, deal("node_id", node_blocks).alias("nb")).withColumn("qb", every(query_blocks))
+    asked = queries.select("query_id", "qvec", deal("query_id", query_blocks).alias("qb")).withColumn("nb", every(node_blocks))
+
+    return _scored(asked, held, ["nb", "qb"], k, by)
+
+
+def _scored(asked: DataFrame, held: DataFrame, keys: list[str], k: int, by: list[str]) -> DataFrame:
+    """Of each group of keys, every query's k best vectors per group of `by`."""
 
     def score(q: pa.Table, v: pa.Table) -> pa.Table:
+        q, v = (t.filter(pc.is_valid(t.column(c))) for t, c in ((q, "qvec"), (v, "vec")))
         groups = np.zeros(len(v), np.int64)
         for c in by:
             codes = v.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
@@ -85,5 +93,74 @@ def block_hits(queries: DataFrame, nodes: DataFrame, k: int, by: list[str]) -> D
         out = {"query_id": q.column("query_id").take(pa.array(many(rows, np.int64))), "node_id": taken.column("node_id")}
         return pa.table({**out, **{c: taken.column(c) for c in by}, "score": pa.array(many(scores, np.float64))})
 
-    schema = T.StructType([queries.schema["query_id"], nodes.schema["node_id"], *[nodes.schema[c] for c in by], T.StructField("score", T.DoubleType())])
-    return asked.groupBy("nb", "qb").cogroup(held.groupBy("nb", "qb")).applyInArrow(score, schema)
+    schema = T.StructType([asked.schema["query_id"], held.schema["node_id"], *[held.schema[c] for c in by], T.StructField("score", T.DoubleType())])
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(score, schema)
+
+
+# an index of lists
+
+#: Vectors that centroids are fitted on, at most, and lists of an index, at most: what the driver holds and tasks are sent.
+SAMPLE, MOST_LISTS = 10_000, 2_048
+
+
+def fit_centroids(nodes: DataFrame, lists: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids by spherical k-means on at most SAMPLE vectors, those of the smallest hashes of node_id; a list that falls empty starts anew."""
+    rows = nodes.where("vec is not null").select("vec").orderBy(F.xxhash64("node_id")).limit(SAMPLE).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    x = np.array([r.vec for r in rows], np.float64)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    start = np.random.default_rng(0)
+    centroids = x[start.permutation(len(x))[: min(lists, len(x))]]
+    for _ in range(rounds):
+        near = np.argmax(x @ centroids.T, axis=1)
+        total = np.zeros_like(centroids)
+        np.add.at(total, near, x)
+        empty = np.bincount(near, minlength=len(centroids)) == 0
+        total[empty] = x[start.integers(0, len(x), empty.sum())]
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centroids = np.divide(total, length, out=centroids.copy(), where=length > 0)
+    return centroids
+
+
+def _nearest(rows: DataFrame, column: str, centroids: np.ndarray, many: int) -> DataFrame:
+    """rows with `list`: a row for each of the `many` nearest centroids. Map-only; rows without a vector go."""
+    sent = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.is_valid(b.column(column)))
+            score = _matrix(pa.chunked_array([b.column(column)])) @ sent.value.T if b.num_rows else np.zeros((0, 1))
+            n = min(many, score.shape[1])
+            near = np.argsort(-score, axis=1, kind="stable")[:, :n].astype(np.int32)
+            out = b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel(), pa.int32())], names=[*out.schema.names, "list"])
+
+    return rows.mapInArrow(each, T.StructType([*rows.schema.fields, T.StructField("list", T.IntegerType())]))
+
+
+def indexed(nodes: DataFrame, lists: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(nodes with their list, centroids): an inverted file over every vector; about the root of their number of lists, if not given.
+
+    Store it with partitionBy or bucketBy("list") to keep it; a zero vector is in some list.
+    """
+    lists = lists or max(1, min(MOST_LISTS, round(math.sqrt(nodes.count()))))
+    centroids = fit_centroids(nodes, lists)
+    if not len(centroids):
+        return nodes.limit(0).withColumn("list", F.lit(0)), centroids
+    return _nearest(nodes, "vec", centroids, 1), centroids
+
+
+def probed_hits(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int, by: list[str] | None = None) -> DataFrame:
+    """(query_id, node_id, *by, score): as block_hits, but a query meets only the vectors of its `probes` nearest lists; all lists give what
+    block_hits gives. A list is dealt into blocks of NODE_BLOCK vectors and its queries into blocks of QUERY_BLOCK, so one that
+    holds a third of all vectors is many groups."""
+    by = by or []
+    asked = _nearest(queries.select("query_id", "qvec"), "qvec", centroids, probes) if len(centroids) else queries.select("query_id", "qvec", F.lit(0).alias("list")).limit(0)
+    blocks = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / NODE_BLOCK).cast("int").alias("parts"))
+    query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    sized = F.broadcast(blocks)  # MOST_LISTS rows at most
+    held = index.join(sized, "list").select("node_id", "vec", *by, "list", F.pmod(F.xxhash64("node_id"), "parts").cast("int").alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    asked = asked.join(sized, "list").select("query_id", "qvec", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nb"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"))
+    return _scored(asked, held, ["list", "nb", "qb"], k, by)

@@ -42,6 +42,12 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(F.xxhash64("doc_id")) if len(docs.inputFiles()) < min(FEW_FILES, spark.sparkContext.defaultParallelism) else docs
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, vec, label) of the embeddings and queries (query_id, qvec), those whose id is divisible by 20."""
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec"), "label")
+    return nodes, nodes.where(F.col("node_id") % 20 == 0).select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
+
+
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: (id, ord, term) of keyword tokens; the test data holds no CJK characters.
 TOKENS = """SELECT {id} AS id, lower(u.t) AS term, u.ord FROM (SELECT {id}, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9]+'), 1) AS ord FROM {table}) u
@@ -59,3 +65,5 @@ LOG = """log AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_
  CASE event_type WHEN 'signup' THEN 'run.started' WHEN 'view' THEN 'stage.started' WHEN 'click' THEN 'tool.completed' WHEN 'purchase' THEN 'run.completed' WHEN 'error' THEN 'run.failed' END AS event_type,
  event_id, ts, floor(value)::BIGINT AS duration_ms FROM events)"""
 LINES = "lines AS (SELECT source, doc_id, trim(line, ' ') AS line, ord FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents) WHERE trim(line, ' ') <> '')"
+KNN = """v AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS (SELECT node_id AS query_id, vec AS qvec FROM v WHERE node_id % 20 = 0),
+ s AS (SELECT query_id, node_id, label, round(list_dot_product(qvec, vec) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(vec, vec))), 6) AS score FROM q, v)"""
