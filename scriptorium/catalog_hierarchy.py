@@ -1,4 +1,4 @@
-"""Queries on recall along the tree and on the vector index."""
+"""Queries on recall along the tree, on the vector index and on collections."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from .catalog_documents import _CHUNKS
 from .functions.text import hash_vector
 from .operators import chunking, hierarchy, library, retrieval, vectors
 from .registry import KNN, STOP, embedded, query, table, texts
-from .storage import stash
+from .sources.collections import Collection, Signature
+from .storage import fresh_path, stash
 
 #: Lists that a query looks at.
 PROBES = 8
@@ -94,3 +95,30 @@ def tree_expand_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     nodes = roots.select("node_id", none.alias("parent"), F.lit("root").alias("kind"), "text").unionByName(sections.select("node_id", F.col("paper").cast("string").alias("parent"), F.lit("section").alias("kind"), "text")).unionByName(chunks.select("node_id", "parent", F.lit("chunk").alias("kind"), "text"))
     return hierarchy.expanded_levels(queries, hits, nodes, 1).withColumn("levels", F.lit(1)).unionByName(hierarchy.expanded_levels(queries, hits, nodes, 2).withColumn("levels", F.lit(2)))
+
+
+#: Documents as nodes of fifty papers: written, some papers replaced, some removed, one written again.
+_COLLECTION = """d AS (SELECT doc_id % 50 AS paper, doc_id AS node_id, text FROM documents), fresh AS (SELECT * FROM d WHERE node_id % 3 = 2 AND paper < 20),
+ a AS (SELECT * FROM d WHERE node_id % 3 < 2 AND paper NOT IN (SELECT paper FROM fresh) UNION ALL SELECT * FROM fresh), b AS (SELECT * FROM a WHERE paper % 10 <> 7 UNION ALL SELECT * FROM d WHERE paper = 7 AND node_id % 6 = 0)"""
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> Collection:
+    d = texts(spark, sf_dir).select((F.col("doc_id") % 50).alias("paper"), F.col("doc_id").alias("node_id"), "text", hash_vector(F.col("text")).alias("vec"))
+    held = Collection(spark, fresh_path(spark, "collection"), signature=Signature("hashing-64", 64, "chunks-1", "lines-1"))
+    held.replace(d.where("node_id % 3 < 2"))
+    held.replace(d.where("node_id % 3 = 2 and paper < 20"))
+    held.delete(d.where("paper % 10 = 7"))
+    held.compact()
+    held.replace(d.where("paper = 7 and node_id % 6 = 0"))
+    return held
+
+
+@query(f"WITH {_COLLECTION} SELECT paper, node_id, sha256(text) AS text_sha256 FROM b")
+def collection_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collection(spark, sf_dir).nodes().select("paper", "node_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"WITH {_COLLECTION}, q AS (SELECT item_id AS query_id, {_embedded('text')} AS v FROM benchmark), n AS (SELECT node_id, {_embedded('text')} AS v FROM b) SELECT query_id, n.node_id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n.node_id) AS rank FROM q, n QUALIFY rank <= 6")
+def collection_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _queries(spark, sf_dir).select("query_id", "qvec")
+    return _collection(spark, sf_dir).similar(queries, 6)
