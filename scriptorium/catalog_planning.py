@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import values
 from .functions.text import lexical_terms
 from .operators import hierarchy, planning, retrieval, runs
 from .registry import BM25, query, table, texts
+from .streaming import retention
 
 _REQUESTS = """rq AS (SELECT conv_id AS request, 'about ' || conv_id AS query, 'fact' AS mode, CASE WHEN conv_id % 3 = 0 THEN []::BIGINT[] ELSE [conv_id % 7] END AS papers FROM (SELECT DISTINCT conv_id FROM conversations)),
  sq AS (SELECT conv_id AS request, turn AS ord, lower(substr(text, 1, 2)) AS query, (['fact', 'summary', 'method', 'compare', 'synthesis'])[turn % 5 + 1] AS mode, CASE WHEN turn % 3 = 0 THEN []::BIGINT[] ELSE list_distinct([conv_id % 7, turn % 4]) END AS papers, CASE WHEN turn % 4 > 0 THEN 'd' || (turn % 4) END AS dimension FROM conversations WHERE role = 'user' AND conv_id % 5 > 0),
@@ -135,12 +136,17 @@ _LOG = """lg AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_
  count(*) FILTER (event_type = 'stage.started') AS llm_calls, count(*) FILTER (event_type = 'tool.completed') AS tool_calls, sum(duration_ms)::BIGINT AS duration_ms, sum(length(event_type))::BIGINT AS input_tokens, count(*) AS output_tokens FROM lg GROUP BY run_id)"""
 
 
+def _event_name(kind: str) -> Column:
+    """A run event's name, by an event's type and value."""
+    v, kind = F.col("value"), F.col(kind)
+    name = F.when(kind == "signup", "run.started").when(kind == "view", F.when(v < 20, "run.resumed").otherwise("stage.started")).when(kind == "click", "tool.completed").when(kind == "purchase", F.when(v > 80, "run.completed").otherwise("tool.started"))
+    return F.coalesce(name, F.when(v > 90, "run.cancelled").when(v > 70, "run.failed").otherwise("tool.failed"))
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log with cancelled runs and notices of resumed connections."""
-    v, kind = F.col("value"), F.col("kind")
     log = runs.event_log(table(spark, sf_dir, "events")).join(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), "value"), "event_id")
-    name = F.when(kind == "signup", "run.started").when(kind == "view", F.when(v < 20, "run.resumed").otherwise("stage.started")).when(kind == "click", "tool.completed").when(kind == "purchase", F.when(v > 80, "run.completed").otherwise("tool.started"))
-    return log.withColumn("event_type", F.coalesce(name, F.when(v > 90, "run.cancelled").when(v > 70, "run.failed").otherwise("tool.failed"))).drop("kind", "value")
+    return log.withColumn("event_type", _event_name("kind")).drop("kind", "value")
 
 
 @query(f"WITH {_LOG} SELECT run_id, sequence::INT AS sequence, event_type FROM lg WHERE event_type <> 'run.resumed'")
@@ -167,13 +173,34 @@ def conversation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.rollup(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conversation_id")), _conversation_runs(spark, sf_dir))
 
 
-@query(f"WITH {_LOG} SELECT run_id, status FROM st WHERE ended IS NULL OR epoch(date_trunc('second', (SELECT max(ts) FROM events)))::BIGINT - epoch(date_trunc('second', ended))::BIGINT < 2000000")
+_RETAINED = f"WITH {_LOG} SELECT run_id, status FROM st WHERE ended IS NULL OR epoch(date_trunc('second', (SELECT max(ts) FROM events)))::BIGINT - epoch(date_trunc('second', ended))::BIGINT < 2000000"
+
+
+@query(_RETAINED)
 def retained_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buffers still held at the time of the last event, 23 days after a run's end."""
     now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
     return runs.retained(runs.finished(_log(spark, sf_dir)).crossJoin(F.broadcast(now)), F.col("now"), 2_000_000).select("run_id", "status")  # one row
 
 
+@query(_RETAINED)
+def stream_retained_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that a stream with a timer for each has not forgotten."""
+    gone = retention.run_stateful(spark, f"{sf_dir}/events.parquet", "forgotten", lambda e: retention.forgotten(e.withColumn("event_type", _event_name("event_type")), 2_000_000))
+    return runs.finished(_log(spark, sf_dir)).join(gone, "run_id", "left_anti").select("run_id", "status")
+
+
+@query(f"""WITH {_LOG}, e AS (SELECT run_id, min(sequence) FILTER (event_type IN ('run.completed', 'run.failed', 'run.cancelled')) AS finish FROM lg GROUP BY ALL), s AS (SELECT run_id, finish, run_id * 10 + k AS subscriber, k * 3 AS after FROM e, range(3) r(k))
+ SELECT subscriber, run_id, sequence, event_type FROM s JOIN lg USING (run_id) WHERE sequence > after AND (finish IS NULL OR sequence <= finish) UNION ALL SELECT subscriber, run_id, finish + 1, 'closed' FROM s WHERE finish IS NOT NULL""")
+def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run has three subscribers, who have seen none, three and six of its events."""
+    run = F.col("user_id")
+    seen = table(spark, sf_dir, "events").select(run).distinct().select(run.alias("run_id"), F.posexplode(F.array(*map(F.lit, (0, 3, 6)))).alias("k", "after"))
+    subscribers = seen.select((F.col("run_id") * 10 + F.col("k")).alias("subscriber"), "run_id", "after")
+    return retention.run_stateful(spark, f"{sf_dir}/events.parquet", "deliveries", lambda e: retention.delivered(e.withColumn("event_type", _event_name("event_type")), subscribers))
+
+
+
 @query("SELECT user_id AS conversation_id, max(ts) AS updated_at FROM events GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 25")
 def recent_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.recent(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("conversation_id")).agg(F.max("ts").alias("updated_at")), 25)
