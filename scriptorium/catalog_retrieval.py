@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions.text import hash_vector
 from .operators import chunking, library, retrieval, selection
 from .registry import BM25, DOC_TOKENS, ITEM_TOKENS, LINES, STOP, query, table, texts
+from .storage import stash
 
 _DIM = "('0x' || substr(md5(term), 31, 2))::INT % 64 AS dim, count(*)::DOUBLE AS c"
 _VEC = f"""dv AS (SELECT id, {_DIM} FROM ({DOC_TOKENS}) GROUP BY ALL), qv AS (SELECT id, {_DIM} FROM ({ITEM_TOKENS}) GROUP BY ALL),
@@ -45,16 +46,20 @@ def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.merged(_vector_hits(spark, sf_dir), _keyword_hits(spark, sf_dir))
 
 
-def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir)
-    children = library.section_nodes(docs).select(F.col("doc_id").alias("parent"), "node_id", F.col("line").alias("text"), hash_vector(F.col("line")).alias("vec"))
-    anchors = candidate_merge(spark, sf_dir).select("query_id", F.col("node_id").alias("parent"))
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, parent) of the candidates. Stored: they choose what is embedded, and are joined with it."""
+    return stash(candidate_merge(spark, sf_dir).select("query_id", F.col("node_id").alias("parent")), "anchors")
+
+
+def _expanded(spark: SparkSession, sf_dir: str, anchors: DataFrame) -> DataFrame:
+    found = texts(spark, sf_dir).join(anchors.select(F.col("parent").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    children = library.section_nodes(found).select(F.col("doc_id").alias("parent"), "node_id", F.col("line").alias("text"), hash_vector(F.col("line")).alias("vec"))
     return selection.expanded(anchors, children, _queries(spark, sf_dir).select("query_id", "qvec"))
 
 
 @query(f"WITH {_KIDS} SELECT query_id, node_id, doc_id AS parent, score, rank FROM ex")
 def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _expanded(spark, sf_dir).select("query_id", "node_id", "parent", "score", "rank")
+    return _expanded(spark, sf_dir, _anchors(spark, sf_dir)).select("query_id", "node_id", "parent", "score", "rank")
 
 
 def _terms(text: str) -> str:
@@ -65,8 +70,10 @@ def _terms(text: str) -> str:
  round(0.5 * ex.score + 0.25 * coalesce(sim.score, 0) + 0.15 * coalesce(sim.score, 0) + 0.1 * len(list_intersect({_terms("i.text")}, {_terms("ex.line")})) / len({_terms("i.text")}), 9) AS ranking
  FROM ex JOIN benchmark i ON i.item_id = ex.query_id LEFT JOIN sim ON sim.query_id = ex.query_id AND sim.node_id = ex.doc_id""")
 def ranking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = chunking.vectors(texts(spark, sf_dir), "doc_id", "text").select(F.col("node_id").alias("parent"), F.col("vec").alias("root_vec"))
-    ranked = selection.in_context(_expanded(spark, sf_dir), _queries(spark, sf_dir).select("query_id", "query"), roots)
+    anchors = _anchors(spark, sf_dir)
+    found = texts(spark, sf_dir).join(anchors.select(F.col("parent").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    roots = chunking.vectors(found, "doc_id", "text").select(F.col("node_id").alias("parent"), F.col("vec").alias("root_vec"))
+    ranked = selection.in_context(_expanded(spark, sf_dir, anchors), _queries(spark, sf_dir).select("query_id", "query"), roots)
     return ranked.select("query_id", "node_id", "paper_score", "ranking")
 
 
@@ -74,7 +81,7 @@ def ranking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both channels merged, ranked and selected; a document's source is its paper, its language the dimension it answers."""
     docs = texts(spark, sf_dir)
-    found = candidate_merge(spark, sf_dir).join(docs.select(F.col("doc_id").alias("node_id"), F.coalesce("source", F.lit("")).alias("paper"), "lang", hash_vector(F.col("text")).alias("vec")), "node_id")
+    found = candidate_merge(spark, sf_dir).join(docs.select(F.col("doc_id").alias("node_id"), F.coalesce("source", F.lit("")).alias("paper"), "lang", "text"), "node_id").withColumn("vec", hash_vector(F.col("text")))
     recall = F.greatest("vector_score", F.coalesce("keyword_score", F.lit(0.0)))
     rows = found.select("query_id", "node_id", "paper", F.array_compact(F.array("lang")).alias("dimensions"), F.round(0.5 * F.least(F.lit(1.0), recall + 0.2 * F.col("fused_score")) + 0.4 * F.col("vector_score"), 6).alias("score"), "vec")
     request = W.partitionBy("query_id")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import each, keyword_terms, keyword_tokens
+from ..storage import stash
 from .vectors import block_hits
 
 K1, B = 1.2, 0.75
@@ -27,8 +28,7 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFram
     """(node_id, dl, term, tf): one row per distinct token of a node that is a query's term; dl counts all its tokens."""
     tokens = docs.select(F.col(key).alias("node_id"), keyword_tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
     exploded = each(tokens, ["node_id", "dl"], F.col("tokens"), "ord", "term").drop("ord")
-    # the one shuffle of the recall: a node's tokens stay together through all that follows, and its readers share it
-    asked = exploded.join(terms.select("term").distinct(), "term", "left_semi").repartition("node_id")
+    asked = exploded.join(terms.select("term").distinct(), "term", "left_semi")
     return asked.groupBy("node_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).where("tf > 0")
 
 
@@ -51,15 +51,21 @@ def substring_pool(terms: DataFrame, docs: DataFrame, key: str, text: str) -> Da
     return pieces.join(held, "piece").join(terms, "term").select("query_id", "node_id").distinct()
 
 
+#: Query terms up to which their weights are sent to all postings; more are joined by shuffle.
+SENT_TERMS = 200_000
+
+
 def bm25(terms: DataFrame, posts: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, node_id, score, matched): BM25 over each query's pool.
+    """(query_id, node_id, score, matched): BM25 over each query's pool, the nodes that hold one of its terms.
 
-    Only postings of query terms are joined. Every node with a term is in its query's pool, so frequencies are the postings'
-    own; pool sizes and mean lengths come from the join.
+    posts are read several times and should be stored. They are dealt by node once; a few query terms' weights go to them, so a node's hits
+    are counted and summed where its postings lie. Every node with a term is in its query's pool, so frequencies are the postings' own.
     """
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = posts.join(terms.select("query_id", "term").join(df, "term"), "term").select("query_id", "node_id", "dl", "tf", "df")
-    scored = hits.join(pool_sizes(hits), "query_id")
+    asked = terms.select("query_id", "term").join(df, "term")
+    sent = F.broadcast if terms.count() <= SENT_TERMS else (lambda small: small)
+    hits = posts.repartition("node_id").join(sent(asked), "term").select("query_id", "node_id", "dl", "tf", "df")
+    scored = hits.join(sent(pool_sizes(hits)), "query_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "node_id").agg(F.sum(part).alias("raw"), F.count(F.lit(1)).alias("matched"))
@@ -73,7 +79,8 @@ def normalised(scores: DataFrame) -> DataFrame:
 
 def keyword_top_k(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k: int = 10) -> DataFrame:
     terms = query_terms(queries, qkey, "text")
-    scores = normalised(bm25(terms, postings(docs, dkey, "text", terms)))
+    posts = stash(postings(docs, dkey, "text", terms), "postings")  # read for frequencies, pools and scores; texts are tokenised once
+    scores = normalised(bm25(terms, posts))
     return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("node_id")], k).select("query_id", "node_id", "score", "matched", "rank")
 
 
