@@ -42,8 +42,17 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: From a cue's stem to its value: the rest of the cue's words, a quote, a separator that must be there, a quote.
-GAP = re.compile(r"[A-Za-z0-9_ -]{0,24}?[\"']?\s{0,3}(?:[:=#]|=>|\bis\b)\s{0,3}[\"']?(?:(?:Bearer|Basic)\s+)?(?=[A-Za-z0-9+/])")
+#: What lies between a cue's stem and its separator: the rest of the cue's words, of any length.
+WORDS = re.compile(r"[A-Za-z0-9_ -]*")
+#: A quote, a separator that must be there, a quote.
+SEPARATOR = re.compile(r"[\"']?\s*(?::=|[:=#]|=>)>?\s*[\"']?(?:(?:Bearer|Basic)\s+)?(?=[A-Za-z0-9+/])")
+#: The separator that is a word, near the cue.
+IS = re.compile(r"[A-Za-z0-9_ -]{0,24}?[\"']?\s{0,3}\bis\b\s{0,3}[\"']?(?:(?:Bearer|Basic)\s+)?(?=[A-Za-z0-9+/])")
+#: Beside a cue without a separator: the rest of its word, perhaps a word for number.
+BESIDE = re.compile(r"[^\W\d_]*?(\s*(?:number|nummer|numéro|número|numero|num|no|nr|n°)\b\.?)?\s+")
+NUMBER, SSN = re.compile(r"[0-9](?:[ -]?[0-9]){5,}(?![0-9A-Za-z])"), re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: After a passphrase of letters alone nothing may follow on its line but a closing mark.
+ENDS_THERE = re.compile(r"[\"')\]]*(?:\s*$|[\n,;.!?])")
 #: A value, of any length.
 VALUE = re.compile(r"[A-Za-z0-9_./+=~-]+")
 #: How keys of well-known services begin; they need no cue.
@@ -53,9 +62,11 @@ IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/]+@[A-Za-z0-9.-]+")
 
 #: Stems of cues, lower-cased and without what may stand between their words.
-CUES = ("apikey", "accesskey", "privatekey", "secret", "password", "passwd", "pwd", "token", "credential", "iban", "account", "passport", "ssn")
+CUES = ("apikey", "accesskey", "privatekey", "secret", "token", "credential", "iban", "account", "konto", "compte", "cuenta", "passport", "ssn")
+#: Those of passwords, in the languages of the corpus; what follows them may be letters alone.
+PASSWORD_CUES = ("password", "passwd", "pwd", "passwort", "kennwort", "mot de passe", "contraseña", "contrasena")
 #: The stems as anchors: words may be written together or with a blank, hyphen or underscore between.
-CUE_FORMS = {f"{head}{gap}key" for head in ("api", "access", "private") for gap in ("", " ", "-", "_")} | {c for c in CUES if not c.endswith("key")}
+CUE_FORMS = {f"{head}{gap}key" for head in ("api", "access", "private") for gap in ("", " ", "-", "_")} | {c for c in CUES if not c.endswith("key")} | set(PASSWORD_CUES)
 SCHEMES = ("http://", "https://", "ftp://")
 
 
@@ -145,6 +156,18 @@ def secret_shape(value: str) -> bool:
     return digits > 0 and (digits >= 2 or digits + letters < len(value)) or len(value) >= 20 and any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
 
 
+def checkable(text: str, start: int, after: int) -> tuple[int, int] | None:
+    """A value right beside a cue, without a separator: an IBAN, a social security number, or digits behind a word for number."""
+    beside = BESIDE.match(text, after)
+    if not beside:
+        return None
+    at = beside.end()
+    if (end := iban_end(text, at)) is not None:
+        return at, end
+    m = SSN.match(text, at) if text[start:after].lower() == "ssn" else NUMBER.match(text, at) if beside[1] else None
+    return m.span() if m else None
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of one text in code points, end exclusive; by kind as in KINDS, then start."""
     global _AUTOMATON
@@ -155,6 +178,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys((*KINDS, "key"), 0)  # per kind: where the next candidate may start
     barren = 0  # up to here values were no secrets
+    run_end, value_at = -1, None  # of the words behind the last cue: their end, and where a value begins behind a separator
     for last, (kind, width) in _AUTOMATON.iter(text.translate(ASCII_LOWER)):
         start = last + 1 - width
         if kind == "email":
@@ -191,15 +215,31 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 if 8 <= sum(c in DIGITS for c in m[0]) <= 15:
                     found[kind].append(m.span())
         elif kind == "account":
-            if (start == 0 or not text[start - 1].isalnum()) and (gap := GAP.match(text, last + 1)) and gap.end() >= barren:
-                if (end := iban_end(text, gap.end())) is None:
-                    m = VALUE.match(text, gap.end())
+            if start and text[start - 1].isalnum():
+                continue
+            if last + 1 > run_end:  # cues of one run of words share what follows it
+                run_end = WORDS.match(text, last + 1).end()
+                m = SEPARATOR.match(text, run_end)
+                value_at = m.end() if m else None
+            m = IS.match(text, last + 1)
+            at = m.end() if m and (value_at is None or m.end() < value_at) else value_at
+            if at is None:
+                if span := checkable(text, start, last + 1):
+                    found[kind].append(span)
+                    done[kind] = span[1]
+            elif at >= barren:
+                if (end := iban_end(text, at)) is None:
+                    m = VALUE.match(text, at)
                     value = m[0].rstrip(".-=~") if m else ""
-                    end = gap.end() + len(value)
-                    if not secret_shape(value):
+                    end = at + len(value)
+                    phrase = len(value) >= 12 and value.isalpha() and text[start : last + 1].lower() in PASSWORD_CUES and ENDS_THERE.match(text, end)
+                    if not secret_shape(value) and not phrase:
                         barren = max(barren, end)
+                        if span := checkable(text, start, last + 1):
+                            found[kind].append(span)
+                            done[kind] = span[1]
                         continue
-                found[kind].append((gap.end(), end))
+                found[kind].append((at, end))
                 done[kind] = end
         elif kind == "key":
             begins = (start == 0 or not text[start - 1].isalnum()) and text.startswith(KEY_PREFIXES, start)
