@@ -183,7 +183,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Every piece with its sequence_id and offset."""
-    parts = stash(pieces(docs, capacity, end_id, path), "pieces")
+    parts = stash(pieces(docs, capacity, end_id, path).withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-parts.count() // shard_pieces))
 
     def place(table: pa.Table) -> pa.Table:
@@ -191,8 +191,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
         table = table.take(order)
         bins, offsets = best_fit_decreasing(table.column("length").to_numpy(), capacity)
         sequence = table.column("shard").to_numpy() * (1 << 32) + bins
-        return table.drop_columns("shard").append_column("offset", pa.array(offsets)).append_column("sequence_id", pa.array(sequence))
+        return table.drop_columns(["shard", "row"]).append_column("offset", pa.array(offsets)).append_column("sequence_id", pa.array(sequence))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name != "row")
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))  # numbers that are stored: even, whatever ids repeat
     return dealt.groupBy("shard").applyInArrow(place, f"{fields}, offset long, sequence_id long")
