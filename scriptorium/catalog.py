@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_agents, catalog_documents, catalog_evaluation, catalog_hierarchy, catalog_layout, catalog_planning, catalog_reading, catalog_retrieval, catalog_structure  # noqa: F401  (they register their queries)
+from . import catalog_agents, catalog_documents, catalog_evaluation, catalog_hierarchy, catalog_layout, catalog_metadata, catalog_planning, catalog_reading, catalog_retrieval, catalog_structure  # noqa: F401  (they register their queries)
 from .functions.text import keyword_terms, keyword_tokens, lexical_terms, preview, short_hash, slug
 from .operators import library, retrieval, runs
 from .registry import BM25, DOC_TOKENS, KNN, LINES, LOG, ORACLE_SQL, QUERIES, TERMS, embedded, query, table, texts

@@ -13,7 +13,7 @@ from .registry import LINES, query, table, texts
 def outlined(docs: DataFrame) -> DataFrame:
     """Documents as papers: every fifth line is a heading `1`, `1.1` ... with a title made of the line, others are hyphenated,
     emptied or kept, and an odd document begins with a named heading."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
     def line(x, i):
         k = F.floor(i / 5)

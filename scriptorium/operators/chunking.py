@@ -13,7 +13,7 @@ OVERLAP = 1
 
 def section_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, section, text): non-empty lines numbered from 1. Numbering stays inside the row, so nothing is shuffled."""
-    kept = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return each(docs, ["doc_id"], kept, "pos", "text").select("doc_id", (F.col("pos") + 1).alias("section"), "text")
 
 

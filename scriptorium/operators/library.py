@@ -52,7 +52,7 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def tree(docs: DataFrame) -> DataFrame:
     """Roots with their number of children; row-wise."""
-    n = F.size(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != ""))
+    n = F.size(F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != ""))
     node = lambda k: F.format_string("%d:section:%04d", F.col("doc_id"), k)
     counted = docs.select("doc_id", n.alias("n")).where("n > 0")
     return counted.select(F.format_string("%d:root", "doc_id").alias("node_id"), F.col("n").cast("long").alias("children"), node(F.lit(1)).alias("first_child"), F.greatest(node(F.col("n")), node(F.least(F.col("n"), F.lit(9999)))).alias("last_child"))
@@ -117,7 +117,7 @@ def html_headings(pages: DataFrame) -> DataFrame:
 
 def section_nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, n, node_id, line) of every non-empty line, numbered inside the row."""
-    kept = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     rows = each(docs, ["doc_id"], kept, "pos", "line").withColumn("n", F.col("pos") + 1)
     return rows.select("doc_id", "n", F.format_string("%d:section:%04d", "doc_id", "n").alias("node_id"), "line")
 
