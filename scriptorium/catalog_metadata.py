@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metadata
-from .registry import query, texts
+from .operators import retrieval
+from .registry import DOC_TOKENS, ITEM_TOKENS, query, table, texts
 
 
 def first_pages(docs: DataFrame) -> DataFrame:
@@ -57,3 +58,15 @@ def paper_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = first_pages(texts(spark, sf_dir)).withColumn("title", metadata.detected_title(F.col("page")))
     who = metadata.detected_authors(F.col("page"), F.coalesce("title", F.lit("")))
     return pages.select("doc_id", "title", F.array_join(who, "|").alias("authors"), F.array_join(metadata.keywords(F.col("page")), "|").alias("keywords"), F.inline(F.array(metadata.identifiers(F.col("page")))))
+
+
+@query(f"""WITH tok AS ({DOC_TOKENS}), post AS (SELECT id AS node_id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT doc_id AS node_id, count(term) AS dl FROM documents LEFT JOIN tok ON tok.id = doc_id GROUP BY ALL),
+ terms AS (SELECT id AS query_id, term, n FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY min(ord)) AS n FROM ({ITEM_TOKENS}) GROUP BY id, term) WHERE n <= 12),
+ pool AS (SELECT DISTINCT query_id, doc_id AS node_id FROM terms JOIN documents ON contains(text, term)), ps AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM pool JOIN len USING (node_id) GROUP BY ALL),
+ hits AS (SELECT t.query_id, p.node_id, t.term, t.n AS ord, p.tf, len.dl FROM terms t JOIN post p USING (term) JOIN pool ON pool.query_id = t.query_id AND pool.node_id = p.node_id JOIN len ON len.node_id = p.node_id),
+ df AS (SELECT query_id, term, count(*) AS df FROM hits GROUP BY ALL),
+ raw AS (SELECT query_id, node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw, string_agg(term, ' ' ORDER BY ord) AS matched_terms FROM hits JOIN ps USING (query_id) JOIN df USING (query_id, term) GROUP BY ALL)
+ SELECT query_id, node_id, score, matched_terms, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, matched_terms, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM raw) QUALIFY rank <= 10""")
+def pooled_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.pooled_top_k(table(spark, sf_dir, "benchmark"), texts(spark, sf_dir), "item_id", "doc_id")
+    return found.withColumn("matched_terms", F.array_join("matched_terms", " "))

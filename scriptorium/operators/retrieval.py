@@ -84,6 +84,28 @@ def keyword_top_k(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k:
     return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("node_id")], k).select("query_id", "node_id", "score", "matched", "rank")
 
 
+def pooled_top_k(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, node_id, score, matched_terms, rank): BM25 over the nodes whose raw text holds a term of the query, case and all, also inside words.
+
+    Lengths, their mean and frequencies are the pool's: a node that holds a term only inside a word counts in all of them and has no hit
+    of it. matched_terms are in the query's order.
+    """
+    terms = query_terms(queries, qkey, "text")
+    tokens = docs.select(F.col(dkey).alias("node_id"), keyword_tokens(F.col("text")).alias("tokens"))
+    pool = stash(substring_pool(terms, docs, dkey, "text"), "pool")
+    sized = pool.join(tokens.select("node_id", F.size("tokens").alias("dl")), "node_id")
+    pools = sized.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    posts = stash(postings(docs, dkey, "text", terms), "postings")
+    hits = posts.join(terms, "term").join(pool, ["query_id", "node_id"])
+    df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    scored = hits.join(df, ["query_id", "term"]).join(pools, "query_id")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.col("avgdl")))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"])
+    scores = normalised(scored.groupBy("query_id", "node_id").agg(F.sum(part).alias("raw"), said.alias("matched_terms")))
+    return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("node_id")], k).select("query_id", "node_id", "score", "matched_terms", "rank")
+
+
 def vector_top_k(queries: DataFrame, nodes: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """Exact cosine top-k of each (query_id, qvec) over nodes (node_id, vec, ...), per group of `by`: query_id, node_id, by, score, rank."""
     by = by or []
