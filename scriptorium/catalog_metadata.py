@@ -1,4 +1,4 @@
-"""Queries on what a paper says of itself, on the keyword pool by substrings, and on runs that a stop left behind."""
+"""Queries on what a paper says of itself, on the keyword pool by substrings, on chunks around atoms, on runs that a stop left behind and on restored tables."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metadata
-from .operators import retrieval
-from .registry import DOC_TOKENS, ITEM_TOKENS, query, table, texts
+from .catalog_documents import _protected
+from .operators import chunking, library, retrieval, runs
+from .registry import DOC_TOKENS, ITEM_TOKENS, LINES, LOG, query, table, texts
+from .sources import tables
+from .storage import fresh_path
 
 
 def first_pages(docs: DataFrame) -> DataFrame:
@@ -70,3 +73,40 @@ def paper_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pooled_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.pooled_top_k(table(spark, sf_dir, "benchmark"), texts(spark, sf_dir), "item_id", "doc_id")
     return found.withColumn("matched_terms", F.array_join("matched_terms", " "))
+
+
+@query(rf"""WITH RECURSIVE {LINES}, blk AS (SELECT doc_id, ((ord - 1) // 10)::INT AS section, ord AS place, CASE (doc_id + ord) % 7 WHEN 3 THEN 'table' WHEN 5 THEN 'equation' ELSE 'text' END AS kind, line AS text FROM lines),
+ rn AS (SELECT *, sum((kind <> 'text')::INT) OVER (PARTITION BY doc_id, section ORDER BY place) AS run FROM blk),
+ cut AS (SELECT doc_id, section, run, place, string_split(regexp_replace({_protected('text')}, '([.!?。！？])\s+', '\1' || chr(2), 'g'), chr(2)) AS p FROM rn WHERE kind = 'text'),
+ sen AS (SELECT doc_id, section, run, place, ord, replace(s, chr(1), '.') AS text FROM (SELECT * EXCLUDE (p), regexp_replace(unnest(p), '^\s+|\s+$', '', 'g') AS s, generate_subscripts(p, 1) AS ord FROM cut) WHERE s <> ''),
+ u0 AS (SELECT *, unnest(range(1, greatest(length(text), 1) + 1, 1800)) AS start FROM sen),
+ u AS (SELECT doc_id, section, run, row_number() OVER (PARTITION BY doc_id, section, run ORDER BY place, ord, start) AS i, substr(text, start, 1800) AS text, length(substr(text, start, 1800)) AS len FROM u0),
+ pack AS (SELECT doc_id, section, run, i, text, len AS cur, 1 AS pos FROM u WHERE i = 1 UNION ALL
+  SELECT u.doc_id, u.section, u.run, u.i, u.text, CASE WHEN p.cur + 1 + u.len > 1800 THEN u.len ELSE p.cur + 1 + u.len END, p.pos + (p.cur + 1 + u.len > 1800)::INT FROM pack p JOIN u ON u.doc_id = p.doc_id AND u.section = p.section AND u.run = p.run AND u.i = p.i + 1),
+ own AS (SELECT doc_id, section, run, pos, count(*) AS k, string_agg(text, ' ' ORDER BY i) AS t, arg_max(text, i) AS last FROM pack GROUP BY ALL),
+ every AS (SELECT doc_id, section, run, pos, 'text' AS kind, k + (l IS NOT NULL)::INT AS units, coalesce(l || ' ', '') || t AS text FROM (SELECT *, lag(last) OVER (PARTITION BY doc_id, section, run ORDER BY pos) AS l FROM own) UNION ALL SELECT doc_id, section, run, 0, kind, 1, text FROM rn WHERE kind <> 'text')
+ SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY run, pos) AS chunk, kind, units, sha256(text) AS text_sha256 FROM every""")
+def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten lines are a section; some stand for tables and equations."""
+    lines, n = library.lines(texts(spark, sf_dir)), F.col("ord") + 1
+    kind = F.when((F.col("doc_id") + n) % 7 == 3, "table").when((F.col("doc_id") + n) % 7 == 5, "equation").otherwise("text")
+    blocks = lines.select("doc_id", F.floor(F.col("ord") / 10).cast("int").alias("section"), F.col("ord").alias("place"), kind.alias("kind"), F.col("line").alias("text"))
+    return chunking.block_chunks(blocks).select("doc_id", "section", "chunk", "kind", "units", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""WITH {LOG}, e AS (SELECT run_id, arg_min(event_type, sequence) FILTER (event_type IN ('run.completed', 'run.failed')) AS finish, min(ts) FILTER (event_type IN ('run.completed', 'run.failed')) AS ended FROM log GROUP BY ALL)
+ SELECT run_id, coalesce(replace(finish, 'run.', ''), 'cancelled') AS status, CASE WHEN finish IS NULL THEN 'Backend restarted before the run completed' END AS error, coalesce(ended, (SELECT max(ts) FROM events)) AS ended FROM e""")
+def orphan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service starts again at the time of the last event."""
+    events = table(spark, sf_dir, "events")
+    log = runs.event_log(events)
+    now = events.agg(F.max("ts").alias("now"))
+    known = runs.finished(log).select("run_id", "status", F.lit(None).cast("string").alias("error"), "ended")
+    return runs.orphans_ended(known.crossJoin(F.broadcast(now)), F.col("now")).drop("now")  # one row
+
+
+@query("SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS rows, (SELECT count(*) FROM nation) AS restored, TRUE AS consistent UNION ALL SELECT 'conversations', (SELECT count(*) FROM conversations), (SELECT count(*) FROM conversations), TRUE UNION ALL SELECT 'labels', (SELECT count(*) FROM labels), (SELECT count(*) FROM labels), TRUE")
+def restored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "backup")
+    tables.backup(spark, {name: table(spark, sf_dir, name) for name in ("nation", "conversations", "labels")}, folder)
+    return tables.restore(spark, folder, fresh_path(spark, "restored"), force=True)

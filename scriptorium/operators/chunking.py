@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import each, hard_split, hash_vector, packed, sentences, short_hash
@@ -24,6 +25,24 @@ def chunks(docs: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> Da
     return rows.select("doc_id", "section", (F.col("pos") + 1).alias("chunk"), F.size("parts").alias("units"), F.array_join("parts", " ").alias("text"))
 
 
+def block_chunks(blocks: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, section, chunk, kind, units, text) of a section's blocks (doc_id, section, place, kind, text) in order.
+
+    Text is packed by sentences; every other block (table, figure, caption, equation, code) is a chunk of its own, uncut, and parts the
+    text: no chunk reaches over it, and the one after it begins without an overlap.
+    """
+    atom = (F.col("kind") != "text").cast("int")
+    runs = blocks.withColumn("run", F.sum(atom).over(W.partitionBy("doc_id", "section").orderBy("place")))
+    atoms = runs.where("kind <> 'text'").select("doc_id", "section", "run", "kind", F.lit(0).alias("pos"), F.lit(1).alias("units"), "text")
+    inside = F.flatten(F.transform(sentences(F.col("text")), lambda s: hard_split(s, most)))
+    texts = runs.where("kind = 'text'").select("doc_id", "section", "run", "place", inside.alias("u"))
+    texts = texts.groupBy("doc_id", "section", "run").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "u"))), lambda x: x["u"])).alias("u"))
+    packs = each(texts, ["doc_id", "section", "run"], packed(F.col("u"), most, overlap), "pos", "parts")
+    packs = packs.select("doc_id", "section", "run", F.lit("text").alias("kind"), (F.col("pos") + 1).alias("pos"), F.size("parts").alias("units"), F.array_join("parts", " ").alias("text"))
+    order = W.partitionBy("doc_id", "section").orderBy("run", "pos")
+    return atoms.unionByName(packs).withColumn("chunk", F.row_number().over(order)).select("doc_id", "section", "chunk", "kind", "units", "text")
+
+
 def chunk_nodes(docs: DataFrame) -> DataFrame:
     """Chunk nodes with ids, parents, hashes and the title-prefixed text to embed; a section's title is its first 60 characters."""
     title = docs.select("doc_id", F.substring("text", 1, 60).alias("title"))

@@ -135,6 +135,16 @@ def rollup(conversations: DataFrame, runs: DataFrame) -> DataFrame:
     return conversations.select("conversation_id").distinct().join(totals, "conversation_id", "left").select("conversation_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*sums, "run_count")])
 
 
+# Fixed value: what a run says that a stop of the service left behind.
+ORPHANED = "Backend restarted before the run completed"
+
+
+def orphans_ended(runs: DataFrame, now: Column) -> DataFrame:
+    """runs (status, error, ended, ...) after a start of the service: those still running have nothing that could end them and are cancelled."""
+    left = F.col("status") == "running"
+    return runs.withColumns({"status": F.when(left, "cancelled").otherwise(F.col("status")), "error": F.when(left, ORPHANED).otherwise(F.col("error")), "ended": F.when(left, now).otherwise(F.col("ended"))})
+
+
 def retained(runs: DataFrame, now: Column, seconds: int = 600) -> DataFrame:
     """Runs whose buffer is still there: those that go on, and those that ended less than `seconds` ago."""
     return runs.where(F.col("ended").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("ended") < seconds))

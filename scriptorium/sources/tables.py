@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -105,6 +106,36 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
     return listed.alias("l").join(out.alias("n"), "name").select("name", "l.rows", ((F.col("l.rows") == F.col("n.rows")) & (F.col("l.digest") == F.col("n.digest"))).alias("consistent"))
 
 
+class RestoreError(RuntimeError):
+    """A backup that is absent, is not to be restored without force, or came back different."""
+
+
+def restore(spark: SparkSession, folder: str, target: str, force: bool = False, strict: bool = True) -> DataFrame:
+    """(name, rows, restored, consistent) of a backup's tables, written to `target` in place of what is there.
+
+    It takes force, as tables are replaced. Each table is held against the manifest as it was written; strict makes one that differs
+    an error, else the result tells. What the manifest lists and the backup lacks has null for restored.
+    """
+    try:
+        listed = spark.read.schema("name string, rows long, digest string").json(f"{folder}/manifest").collect()  # a row a table
+    except AnalysisException as e:
+        raise RestoreError(f"no backup in {folder}") from e
+    if not force:
+        raise RestoreError("restoring replaces tables; call it with force=True")
+    found = []
+    for r in sorted(listed, key=lambda r: r.name):
+        try:
+            spark.read.parquet(f"{folder}/{r.name}").write.mode("overwrite").parquet(f"{target}/{r.name}")
+            now = fingerprint(spark.read.parquet(f"{target}/{r.name}")).first()
+        except AnalysisException:
+            now = None
+        found.append((r.name, r.rows, now and now.rows, bool(now) and (now.rows, now.digest) == (r.rows, r.digest)))
+    wrong = [name for name, *_, same in found if not same]
+    if wrong and strict:
+        raise RestoreError(f"restored tables differ from the manifest: {', '.join(wrong)}")
+    return spark.createDataFrame(found, "name string, rows long, restored long, consistent boolean")
+
+
 def markdown(rows: DataFrame, title: str) -> str:
     """A report of a small result: one line per row; more than 1000 rows are refused."""
     found = rows.limit(1001).collect()

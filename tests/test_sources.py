@@ -91,3 +91,31 @@ def test_replacing_leaves_no_stale_node(spark):
     old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "paper string, n int")
     got = library.replaced(old, spark.createDataFrame([("a", 9)], old.schema), "paper")
     assert sorted(map(tuple, got.collect())) == [("a", 9), ("b", 1)]
+
+
+def test_restore_and_its_verification(spark):
+    from scriptorium.storage import fresh_path
+
+    folder, target = fresh_path(spark, "backup"), fresh_path(spark, "restored")
+    with pytest.raises(tables.RestoreError, match="no backup"):
+        tables.restore(spark, folder, target, force=True)
+    one, two = spark.range(5).toDF("a"), spark.createDataFrame([("x",)], "b string")
+    tables.backup(spark, {"one": one, "two": two}, folder)
+    with pytest.raises(tables.RestoreError, match="force"):
+        tables.restore(spark, folder, target)
+    got = {r.name: (r.rows, r.restored, r.consistent) for r in tables.restore(spark, folder, target, force=True).collect()}
+    assert got == {"one": (5, 5, True), "two": (1, 1, True)} and spark.read.parquet(f"{target}/one").count() == 5
+    spark.range(4).toDF("a").write.mode("overwrite").parquet(f"{folder}/one")  # the archive was changed
+    with pytest.raises(tables.RestoreError, match="differ from the manifest: one"):
+        tables.restore(spark, folder, target, force=True)
+    lax = {r.name: r.consistent for r in tables.restore(spark, folder, target, force=True, strict=False).collect()}
+    assert lax == {"one": False, "two": True}
+
+
+def test_atoms_part_chunks(spark):
+    from scriptorium.operators import chunking
+
+    blocks = [("text", "One two. Three four."), ("text", "Five six."), ("table", "a | b. c"), ("text", "Seven. Eight nine."), ("code", "x. y")]
+    df = spark.createDataFrame([(1, 0, i, k, t) for i, (k, t) in enumerate(blocks)], "doc_id long, section int, place int, kind string, text string")
+    got = [(r.chunk, r.kind, r.text) for r in chunking.block_chunks(df, most=20).orderBy("chunk").collect()]
+    assert got == [(1, "text", "One two. Three four."), (2, "text", "Three four. Five six."), (3, "table", "a | b. c"), (4, "text", "Seven. Eight nine."), (5, "code", "x. y")]
