@@ -56,8 +56,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int =
     def taken(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: spread(plain(t), sample_bytes, piece_bytes))
 
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    chosen = smallest_hashes(rows, "lang", "doc_id", sample_docs)
+    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64("text").alias("tag"))
+    chosen = smallest_hashes(rows, "lang", ["doc_id", "tag"], sample_docs)
     parts: dict[str, list[tuple[str, bytes]]] = {}
     for r in chosen.select("lang", F.col("doc_id").cast("string").alias("k"), taken("text").alias("t")).collect():
         parts.setdefault(r.lang, []).append((r.k or "", bytes(r.t)))

@@ -143,7 +143,7 @@ class Model:
 def fit(labelled: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on about `sample_docs` documents a class of (doc_id, text, quality), of `sample_bytes` at most; executors encode the bags.
 
-    labels: (doc_id, quality), where `labelled` has none itself. Sizes are taken before the two are joined, so that choosing the
+    labels: (doc_id, quality), where `labelled` has none itself. Sizes and hashes are taken before the two are joined, so that choosing the
     sample moves no texts.
     """
 
@@ -152,10 +152,10 @@ def fit(labelled: DataFrame, labels: DataFrame | None = None, sample_docs: int =
             bags = [encode(passages((text or "").encode("utf-8"))).astype(np.float16).tobytes() for text in b["text"]]
             yield pd.DataFrame({"k": b["k"], "quality": b["quality"], "bag": bags})
 
-    sized = labelled.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))))
+    sized = labelled.select("*", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), F.xxhash64("text").alias("tag"))
     sized = sized if labels is None else sized.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
-    rows = sized.where("quality is not null").select("doc_id", "text", "n_bytes", F.col("quality").cast("int").alias("quality"))
-    chosen = smallest_hashes(rows, "quality", "doc_id", sample_docs, F.col("n_bytes"), sample_bytes).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "text", "quality")
+    rows = sized.where("quality is not null").select("doc_id", "tag", "text", "n_bytes", F.col("quality").cast("int").alias("quality"))
+    chosen = smallest_hashes(rows, "quality", ["doc_id", "tag"], sample_docs, F.col("n_bytes"), sample_bytes).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "text", "quality")
     got = sorted(chosen.mapInPandas(each, "k string, quality int, bag binary").collect(), key=lambda r: (r.k, r.quality, bytes(r.bag)))
     bags = [np.frombuffer(r.bag, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in got]
     y = np.array([r.quality for r in got], np.float32)

@@ -10,15 +10,15 @@ BUCKETS = 4096
 LEAST = 8
 
 
-def smallest_hashes(df: DataFrame, by: str, key: str, per_class: int, weight: Column | None = None, weight_per_class: int = 0) -> DataFrame:
+def smallest_hashes(df: DataFrame, by: str, keys: list[str], per_class: int, weight: Column | None = None, weight_per_class: int = 0) -> DataFrame:
     """At most about `per_class` rows of each value of `by`, of `weight_per_class` together: those whose hash bucket is lowest.
 
-    Hashes are of a row's key and text, so the rows of one id are told apart. Rows are counted by (class, hash bucket), a table of a
+    Hashes are of a row's keys: its id and a hash of its text, taken before any join, so the rows of one id are told apart. Rows are counted by (class, hash bucket), a table of a
     bounded size per class; the driver reads the counts and sets one bucket limit per class. A class of fewer rows is taken whole; the
     last bucket is taken only if it fits. If the first does not, as in a very large class or where one row is repeated very often, its
     rows are taken at random at the share that the bounds leave, LEAST on average at least, so no class is lost.
     """
-    own = [F.coalesce(F.col(key).cast("string"), F.lit(""))] + ([F.coalesce("text", F.lit(""))] if "text" in df.columns else [])
+    own = [F.coalesce(F.col(key).cast("string"), F.lit("")) for key in keys]
     marked = df.where(F.col(by).isNotNull()).withColumn("_bucket", F.pmod(F.xxhash64(*own), F.lit(BUCKETS)).cast("int"))
     counts: dict[object, list[tuple[int, int, int]]] = {}
     for r in marked.groupBy(by, "_bucket").agg(F.count(F.lit(1)), F.sum(F.lit(0) if weight is None else weight)).collect():

@@ -322,10 +322,10 @@ def test_samples_of_a_hot_id_keep_every_class(spark):
     from scriptorium.llm.sampling import smallest_hashes
 
     rows = [(None, f"english words number {i}", "en") for i in range(3000)] + [(i, f"mots {i}", "fr") for i in range(50)] + [(None, "always the same", "de")] * 2000
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    n = {r.lang: r["count"] for r in smallest_hashes(df, "lang", "doc_id", 128).groupBy("lang").count().collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).withColumn("tag", F.xxhash64("text"))
+    n = {r.lang: r["count"] for r in smallest_hashes(df, "lang", ["doc_id", "tag"], 128).groupBy("lang").count().collect()}
     assert 100 <= n["en"] <= 128 and n["fr"] == 50 and 60 <= n["de"] <= 260
-    bound = {r.lang: r.b for r in smallest_hashes(df, "lang", "doc_id", 2000, F.length("text"), 900).groupBy("lang").agg(F.sum(F.length("text")).alias("b")).collect()}
+    bound = {r.lang: r.b for r in smallest_hashes(df, "lang", ["doc_id", "tag"], 2000, F.length("text"), 900).groupBy("lang").agg(F.sum(F.length("text")).alias("b")).collect()}
     assert 0 < bound["en"] <= 900 and 0 < bound["fr"] <= 900 and 0 < bound["de"] <= 3000
     assert set(langid.fit(df)) == {"en", "fr", "de"}
 
