@@ -53,7 +53,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each(texts(spark, sf_dir), ["doc_id"], hash_vector(F.col("text")), "dim", "weight").where("weight > 0")
 
 
-#: A line's kind in SQL; l is the line with blanks collapsed.
+# The patterns of a line's kind in SQL; l is the line with blanks collapsed.
 KIND_SQL = r"""CASE WHEN regexp_matches(lower(l), '^(?:\d{1,4}|page\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4})$') THEN 'page number'
  WHEN contains(lower(l), 'nature | vol') OR contains(lower(l), 'proceedings of') OR contains(lower(l), 'arxiv preprint') OR lower(l) = 'article' THEN 'running matter'
  WHEN regexp_matches(l, '(?i)^\s*(?:extended\s+data\s+)?(?:table|figure|fig\.?)\s*[A-Z]?\d+(?:\.\d+)?\b') THEN 'caption'

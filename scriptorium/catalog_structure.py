@@ -27,7 +27,7 @@ def outlined(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.array_join(plain, "\n").alias("text"))
 
 
-#: (doc_id, i, line) of the outlined documents, then their headings and sections.
+# The patterns of headings, in SQL: (doc_id, i, line) of the outlined documents, then their headings and sections.
 OUTLINE = r"""src AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS ls FROM documents),
  made AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN list_transform(ls, lambda x: '~ ' || x) ELSE list_concat(CASE WHEN doc_id % 2 = 1 THEN ['Abstract:'] ELSE [] END, list_transform(ls, lambda x, i: CASE
  WHEN (i - 1) % 5 = 0 THEN ((i - 1) // 5 % 4 + 1) || CASE WHEN (i - 1) // 5 % 3 > 0 THEN '.' || ((i - 1) // 5 % 3) ELSE '' END || CASE WHEN (i - 1) // 5 % 7 = 5 THEN '.1.1' ELSE '' END || ' Section ' || substr(x, 1, 40)

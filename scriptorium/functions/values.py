@@ -81,9 +81,13 @@ def search_text(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(text, r"(?<=\w)-(?=\w)", " "), r"\s+", " "))
 
 
+# The forms of a paper's id and of an asset's file name.
+PAPER_ID, ASSET_NAME = r"\A[a-z0-9][a-z0-9._-]{0,127}\z", r"\A[A-Za-z0-9._-]{1,255}\z"
+
+
 def asset_path(root: Column, paper: Column, file: Column) -> Column:
     """The path of a paper's asset; null for an id or name that could lead elsewhere."""
-    valid = F.rlike(paper, F.lit(r"\A[a-z0-9][a-z0-9._-]{0,127}\z")) & F.rlike(file, F.lit(r"\A[A-Za-z0-9._-]{1,255}\z")) & ~file.isin(".", "..")
+    valid = F.rlike(paper, F.lit(PAPER_ID)) & F.rlike(file, F.lit(ASSET_NAME)) & ~file.isin(".", "..")
     return F.when(valid, F.concat_ws("/", root, paper, file))
 
 

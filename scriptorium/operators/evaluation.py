@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Figures of a report, in the order in which they are compared.
+# Figures of a report, in the order in which they are compared.
 METRICS = ("target_paper_recall", "evidence_recall", "evidence_precision", "paper_source_accuracy", "candidate_dimension_coverage", "dimension_support_rate", "strategy_accuracy", "false_recall_rate", "false_candidate_rate", "mean_latency_ms", "latency_p50_ms", "latency_p95_ms")
 
 

@@ -38,14 +38,14 @@ def planned(requests: DataFrame, questions: DataFrame) -> DataFrame:
     """(request, ord, query, mode, papers, dimension): the distinct sub-questions of each request in order.
 
     requests: (request, query, mode, papers array); questions: (request, ord, query, mode, papers array, dimension). A
-    sub-question without papers inherits the request's; of equal ones the first stays; a request without any is its own only one.
+    sub-question without papers inherits the request's, an empty dimension is none; of equal ones the first stays; a request without any is its own only one.
     """
     asked = requests.select("request", F.col("query").alias("r_query"), F.col("mode").alias("r_mode"), F.col("papers").alias("r_papers"))
     rows = asked.join(questions, "request", "left")
     own = F.col("ord").isNull()
     scope = F.when(own | (F.size("papers") == 0), F.col("r_papers")).otherwise(F.col("papers"))
     pick = lambda mine, theirs: F.when(own, F.col(theirs)).otherwise(F.col(mine))
-    rows = rows.select("request", F.coalesce("ord", F.lit(0)).alias("ord"), pick("query", "r_query").alias("query"), pick("mode", "r_mode").alias("mode"), scope.alias("papers"), "dimension")
+    rows = rows.select("request", F.coalesce("ord", F.lit(0)).alias("ord"), pick("query", "r_query").alias("query"), pick("mode", "r_mode").alias("mode"), scope.alias("papers"), F.nullif("dimension", F.lit("")).alias("dimension"))
     return rows.groupBy("request", "query", "mode", "papers", "dimension").agg(F.min("ord").alias("ord"))
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,7 +126,7 @@ def fit_centroids(nodes: DataFrame, lists: int, rounds: int = 8) -> np.ndarray:
 
 
 def _nearest(rows: DataFrame, column: str, centroids: np.ndarray, many: int) -> DataFrame:
-    """rows with `list`: a row for each of the `many` nearest centroids. Map-only; rows without a vector go."""
+    """rows with `list` and its place: a row for each of the `many` nearest centroids. Map-only; rows without a vector go."""
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +136,10 @@ def _nearest(rows: DataFrame, column: str, centroids: np.ndarray, many: int) ->
             n = min(many, score.shape[1])
             near = np.argsort(-score, axis=1, kind="stable")[:, :n].astype(np.int32)
             out = b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel(), pa.int32())], names=[*out.schema.names, "list"])
+            place = np.tile(np.arange(n, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel(), pa.int32()), pa.array(place, pa.int32())], names=[*out.schema.names, "list", "place"])
 
-    return rows.mapInArrow(each, T.StructType([*rows.schema.fields, T.StructField("list", T.IntegerType())]))
+    return rows.mapInArrow(each, T.StructType([*rows.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("place", T.IntegerType())]))
 
 
 def indexed(nodes: DataFrame, lists: int | None = None) -> tuple[DataFrame, np.ndarray]:
@@ -149,7 +151,23 @@ def indexed(nodes: DataFrame, lists: int | None = None) -> tuple[DataFrame, np.n
     centroids = fit_centroids(nodes, lists)
     if not len(centroids):
         return nodes.limit(0).withColumn("list", F.lit(0)), centroids
-    return _nearest(nodes, "vec", centroids, 1), centroids
+    return _nearest(nodes, "vec", centroids, 1).drop("place"), centroids
+
+
+#: Queries that the number of lists to look at is measured on, at most.
+SAMPLE_QUERIES = 256
+
+
+def probes_for(queries: DataFrame, nodes: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, recall: float = 0.95) -> int:
+    """How many lists a query must look at for this share of its exact k best, measured on SAMPLE_QUERIES of the queries (by the hash of their
+    id) against every vector: where the exact hits lie among each query's lists."""
+    sample = queries.where("qvec is not null").select("query_id", "qvec").orderBy(F.xxhash64("query_id")).limit(SAMPLE_QUERIES)
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    exact = block_hits(sample, nodes, k, []).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("query_id", "node_id")
+    lists = _nearest(sample, "qvec", centroids, len(centroids)).select("query_id", "list", "place")
+    at = exact.join(index.select("node_id", "list"), "node_id").join(lists, ["query_id", "list"])
+    found = at.agg(F.percentile_approx("place", F.lit(recall), F.lit(10_000))).first()[0]
+    return max(1, len(centroids) if found is None else found + 1)
 
 
 def probed_hits(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int, by: list[str] | None = None) -> DataFrame:

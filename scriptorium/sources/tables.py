@@ -74,8 +74,11 @@ def uploads(spark: SparkSession, folder: str, most: int = 50 << 20) -> DataFrame
     Empty files never show up: Spark's file scan leaves files of no bytes out.
     """
     files = spark.read.format("binaryFile").load(folder)
-    reason = F.when(~F.lower("path").endswith(".pdf"), "extension").when(F.col("length") > most, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not a PDF")
-    return files.select("path", "length", reason.alias("refused"))
+    named = F.lower("path").endswith(".pdf")
+    small = F.col("length") <= most
+    unread = files.where(~named | ~small).select("path", "length", F.when(~named, "extension").otherwise("too large").alias("refused"))
+    read = files.where(small).where(named)  # the scan reads no content of larger files
+    return unread.unionByName(read.select("path", "length", F.when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not a PDF").alias("refused")))
 
 
 def sse_frames(log: DataFrame) -> DataFrame:

@@ -101,3 +101,18 @@ def test_expansion_over_levels(spark):
     found = lambda hits, levels: sorted((r.node_id, r.level) for r in hierarchy.expanded_levels(queries, spark.createDataFrame([(1, h) for h in hits], "query_id long, node_id string"), nodes, levels).collect())
     assert found(["c1"], 2) == [("c2", 1)]
     assert found(["p"], 1) == [] and found(["p"], 2) == [("c1", 2), ("c2", 2), ("c3", 2)] and found(["p", "c1"], 3) == [("c2", 1), ("c3", 2), ("c4", 3)]
+
+
+def test_lists_to_look_at_are_measured(spark):
+    """Vectors without clusters need most lists; clustered ones few."""
+    r = np.random.default_rng(1)
+    spread = spark.createDataFrame([(i, r.normal(size=16).tolist(), 0) for i in range(1500)], "node_id long, vec array<double>, label int")
+    ids = lambda hits: {(x.query_id, x.node_id) for x in top_k(hits, ["query_id"], [F.col("score").desc(), F.col("node_id")], 10).collect()}
+    needed = []
+    for nodes in (spread, _clustered(spark, 1500)):
+        queries = nodes.where("node_id % 20 = 0 and node_id < 1500").selectExpr("node_id AS query_id", "vec AS qvec")
+        index, centroids = vectors.indexed(nodes, 30)
+        needed.append(vectors.probes_for(queries, nodes, index, centroids, 10))
+        exact, found = ids(vectors.block_hits(queries, nodes, 10, [])), ids(vectors.probed_hits(queries, index, centroids, 10, needed[-1]))
+        assert len(exact & found) >= 0.9 * len(exact)
+    assert needed[1] < needed[0] <= 30
