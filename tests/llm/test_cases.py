@@ -346,3 +346,28 @@ def test_near_duplicates_take_any_column_names(spark):
     kept = ngram_join.one_each(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(1, "one two three four five six", "b", 2, 8), (3, "other", "c", 3, 9)]
     assert ngram_join.one_each(df.limit(0)).count() == 0
+
+
+def test_pipeline_decisions_take_effect(spark):
+    """Copies, benchmark passages and personal data are gone after their stages; clean texts are as they were."""
+    import corpus_pipeline as pipeline
+    from scriptorium.storage import fresh_path
+
+    r = random.Random(21)
+    make = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    clean, passage = make(60), make(14)
+    near = clean.rsplit(" ", 1)[0] + " other"
+    texts = [clean, clean, near, f"{make(40)} {passage} {make(40)}", f"{make(30)} write to joe@x.org or token = ab12cd34ef {make(5)}", make(50), None]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = fresh_path(spark, "tables")
+    spark.createDataFrame([(1, passage), (2, make(30))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    stages = dict(pipeline.STAGES)
+    for name in ("near duplicates", "benchmark", "personal data"):
+        df = pipeline.stash(stages[name](spark, df, sf), "stage")
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = {x.doc_id: x.text for x in df.collect()}
+    assert set(kept) == {0, 3, 4, 5, 6} and [kept[i] for i in (0, 5, 6)] == [texts[i] for i in (0, 5, 6)]
+    assert passage not in kept[3] and texts[3].startswith(kept[3][:200]) and len(kept[3].split()) == 80
+    assert "joe@x.org" not in kept[4] and "ab12cd34ef" not in kept[4] and "write to [email] or token = [account]" in kept[4]
+    packed = stages["packing"](spark, df, sf).collect()
+    assert {p.doc_id for p in packed} == set(kept) and all(p.offset + p.length <= 4096 for p in packed)
