@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import smallest_hashes
+from .shared import release_memory
 
 PASSAGE_BYTES = 1_024
 PAIRS = 256
@@ -161,7 +162,10 @@ def fit(labelled: DataFrame, labels: DataFrame | None = None, sample_docs: int =
     y = np.array([r.quality for r in got], np.float32)
     every = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}  # the sample is balanced; weights give the classes' true shares
     weight = np.array([every[int(q)] / max(1, (y == q).sum()) for q in y], np.float32)
-    return Model().fit(bags, y, weight / max(1e-9, weight.mean()) if len(y) else weight)
+    model = Model().fit(bags, y, weight / max(1e-9, weight.mean()) if len(y) else weight)
+    del got, bags
+    release_memory()  # the driver goes on with other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
