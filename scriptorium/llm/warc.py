@@ -5,6 +5,7 @@ A response's block is an HTTP message whose body is framed in chunks. A block lo
 the first segment is the record itself (WARC-Segment-Number: 1), the others are `continuation` records that name
 it in WARC-Segment-Origin-ID; the last one states WARC-Segment-Total-Length. Records are written by Spark's text
 writer, whose separator is the CRLF CRLF that ends a WARC record, so the usual commit protocol covers lost executors.
+Roles follow from digests and page_ids alone; a payload is exchanged only if a bitmap of copied digests holds it.
 
 Reading. Files are parsed by Content-Length, one stream per file. Whole records are decoded where they are;
 segments are grouped by origin, ordered by number, checked for gaps and against the stated total length, and then
@@ -31,13 +32,16 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import fresh_path, stash
+from .shared import discard, fresh_path, paths, stash
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 #: Records in one file at most; with SEGMENT_BYTES a bound on what a reading task takes in.
 FILE_RECORDS = 8_192
+#: Bits of one bitmap of Spark's, bits for each payload that has copies, and bitmaps at most (16 MB).
+BUCKET_BITS, BITS_EACH, MAX_BUCKETS = 32_768, 16, 4_096
 DATE = "2000-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -81,7 +85,7 @@ def _name(page_id: object, sha: str, number: int) -> str:
     return f"urn:page:{'' if page_id is None else quote(str(page_id), safe='')}:{sha}:{number}"
 
 
-def _records(number: int, page_id: object, url: str | None, payload: bytes, sha: str, first: tuple | None, segment_bytes: int) -> Iterator[bytes]:
+def _records(number: int, page_id: object, url: str | None, payload: bytes | None, sha: str, first: tuple | None, segment_bytes: int) -> Iterator[bytes]:
     """The records of one row; `number` tells rows of one page and payload apart, `first` holds the page_id that a revisit refers to."""
     own, target = _name(page_id, sha, number), "".join((url or "about:blank").split())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -97,37 +101,65 @@ def _records(number: int, page_id: object, url: str | None, payload: bytes, sha:
         yield _record("continuation", f"{own}:{i}", part, WARC_Target_URI=target, WARC_Segment_Number=i, WARC_Segment_Origin_ID=f"<{own}>", WARC_Segment_Total_Length=total)
 
 
-def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows with `number`, 1 but for the further ones of those that `repeated` counts: (sha, page_id, n)."""
-    if repeated.isEmpty():
-        return rows.withColumn("number", F.lit(1))
-    same = (rows["sha"] == repeated["sha"]) & rows["page_id"].eqNullSafe(repeated["page_id"])
-    once = rows.join(repeated, same, "left_anti").withColumn("number", F.lit(1))
-    many = rows.join(repeated, same, "left_semi").groupBy("sha", "page_id").agg(F.min("url").alias("url"), F.min("payload").alias("payload"), F.count(F.lit(1)).alias("n"))
-    return once.unionByName(many.select("page_id", "url", "payload", "sha", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("number")))
+def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored: (sha, page_id, n, url) of the rows by payload and page, and (sha, first) of payloads that several rows have."""
+    entries = stash(rows.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")), "warc-entries")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id"))["page_id"]
+    return entries, stash(entries.groupBy("sha").agg(least.alias("first"), F.sum("n").alias("copies")).where("copies > 1").select("sha", "first"), "warc-copied")
+
+
+def _suspected(rows: DataFrame, copied: DataFrame, n: int) -> DataFrame:
+    """rows with `suspected`: true for every row whose sha is in `copied` (of n rows), and for few others.
+
+    It is looked up in a broadcast bitmap of at most MAX_BUCKETS * 4 kB, one hash a sha. Where that is too small for n, more
+    rows are suspected, and none is missed.
+    """
+    buckets = min(MAX_BUCKETS, n * BITS_EACH // BUCKET_BITS + 1)
+    place = F.pmod(F.xxhash64("sha"), F.lit(buckets * BUCKET_BITS))
+    at = lambda df: df.withColumns({"bucket": F.floor(place / BUCKET_BITS), "bit": F.pmod(place, F.lit(BUCKET_BITS))})
+    bitmap = at(copied).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    is_set = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    return at(rows).join(F.broadcast(bitmap), "bucket", "left").withColumn("suspected", F.coalesce(is_set, F.lit(False))).drop("bucket", "bit", "bits")
+
+
+def _marked(rows: DataFrame, entries: DataFrame, copied: DataFrame) -> DataFrame:
+    """Every row to write once: (page_id, url, payload, sha, number, refers); refers.page_id is what a revisit names, and it has no payload.
+
+    Only payloads that may have copies are exchanged, and of those one per task; all others are written where they are read.
+    """
+    names = ["page_id", "url", "payload", "sha"]
+    response = [F.lit(1).alias("number"), F.lit(None).cast(T.StructType([rows.schema["page_id"]])).alias("refers")]
+    n = copied.count()
+    if not n:
+        return rows.select(*names, *response)
+    told = _suspected(rows, copied, n)
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.col("url").isNull().alias("bare"), "url", "payload")
+    firsts = told.where("suspected").groupBy("sha").agg(F.min(order).alias("r")).select("r.page_id", "r.url", "r.payload", "sha")
+    again = entries.join(copied, "sha").withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    again = again.where(~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("number") == 1)))
+    revisits = again.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "sha", "number", F.struct(F.col("first").alias("page_id")).alias("refers"))
+    return told.where("not suspected").select(*names, *response).unionByName(firsts.select(*names, *response)).unionByName(revisits)
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes the archive of (page_id, url, html) into the folder `path`, as gzipped WARC files."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    counts = stash(rows.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n")), "warc-counts")
-    least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id"))
-    firsts = counts.groupBy("sha").agg(least.alias("first"), F.sum("n").alias("copies")).where("copies > 1").select("sha", "first")
-    marked = _numbered(rows, counts.where("n > 1")).join(firsts, "sha", "left")
+    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
+    entries, copied = _copies(rows)
+    marked = _marked(rows, entries, copied)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 out = []
                 for r in b.to_pylist():
-                    own = r["first"] is None or r["first"]["page_id"] == r["page_id"] and r["number"] == 1
-                    sha = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    out += _records(r["number"], r["page_id"], r["url"], r["payload"], sha, None if own else (r["first"]["page_id"],), segment_bytes)
+                    refers = r["refers"] and (r["refers"]["page_id"],)
+                    out += _records(r["number"], r["page_id"], r["url"], r["payload"], base64.b32encode(r["sha"]).decode(), refers, segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records = marked.mapInArrow(each, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    discard(pages.sparkSession, paths(entries) + paths(copied))
 
 
 class _Inflated(io.RawIOBase):

@@ -191,6 +191,47 @@ def test_warc_ids(spark):
     assert got == [(-1, "revisit", 4, "3", True), (2, "response", 0, None, True), (3, "response", 4, None, True), (3, "revisit", 4, "3", True), (9, "response", 16000, None, True), (BIG, "revisit", 0, "2", True)]
 
 
+def _shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(60_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+@pytest.mark.parametrize("copies", [0, 3])
+def test_warc_payloads_stay(spark, copies):
+    # only payloads that have copies are exchanged, and none of those is lost
+    r = random.Random(1)
+    html = [r.randbytes(10_000).hex() for _ in range(200)]
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(html + html[:copies])], "page_id long, url string, html string")
+    before, path = _shuffled(spark), warc.fresh_path(spark, "t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables of digests too large for it
+    try:
+        warc.write(pages, path, 1 << 20)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert _shuffled(spark) - before < 500_000  # payloads are 4 MB, which hardly shrink in a shuffle
+    got = {int(r.page_id): (r.record_type, r.payload_bytes, r.refers_to, r.intact) for r in warc.read(spark, path).collect()}
+    assert got == {i: ("response", 20_000, None, True) if i < 200 else ("revisit", 20_000, str(i - 200), True) for i in range(200 + copies)}
+
+
+@pytest.mark.parametrize("bits", [1, 32_768])
+def test_warc_full_bitmap(spark, monkeypatch, bits):
+    # with one bit every row is suspected; the result is the same
+    monkeypatch.setattr(warc, "BUCKET_BITS", bits)
+    monkeypatch.setattr(warc, "MAX_BUCKETS", 1)
+    html = [f"p{i % 70}" if i % 3 else f"only {i}" for i in range(300)] + [None, ""]
+    ids = [None, 5, 5, *range(1_000, 1_299)]
+    pages = spark.createDataFrame([(p, None if i % 5 == 0 else f"u{i}", h) for i, (p, h) in enumerate(zip(ids, html))], "page_id long, url string, html string")
+    got = sorted((int(r.page_id or -1), r.record_type, r.payload_bytes, int(r.refers_to or -1), r.intact) for r in warc.round_trip(pages).collect())
+    first, want = {}, []
+    for p, h in sorted(zip(ids, html), key=lambda x: (x[0] is None, x[0] or 0)):
+        h = h or ""
+        again = h in first
+        first.setdefault(h, p)
+        want.append((p if p is not None else -1, "revisit" if again else "response", len(h), first[h] if again else -1, True))
+    assert got == sorted(want)
+
+
 def test_attach_with_hot_keys(spark):
     rows = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS k")
     values = spark.range(5000).selectExpr("id AS k", "id * 2 AS v")
