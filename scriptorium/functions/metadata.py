@@ -29,7 +29,8 @@ def title_noise(line: Column) -> Column:
     low = F.lower(line)
     listed = (F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) >= 2) & line.rlike(r"\d")
     date = low.rlike(r"\b(?:" + "|".join(MONTHS) + r")\b.*\b(?:19|20)\d{2}\b")
-    return (line == "") | _any(low, VENUES) | line.contains("@") | _any(low, PLACES) | listed | date | line.rlike(r"^[\d\W]+$")
+    bare = line.rlike(r"^[\d\W]+$") & ~line.rlike(r"\p{L}")  # letters beyond ASCII are in \W
+    return (line == "") | _any(low, VENUES) | line.contains("@") | _any(low, PLACES) | listed | date | bare
 
 
 def person_name(value: Column) -> Column:
