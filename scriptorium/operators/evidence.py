@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import citation_markers, short_hash
-from ..storage import shared_dir
+from ..storage import fresh_path
 
 
 def evidence_id(*parts: Column) -> Column:
@@ -37,17 +38,22 @@ def checked_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, most: int = 32) -> DataFrame:
     """(root, artifact): what each seed rests on through edges (artifact, source), itself included, safe with cycles.
 
-    Semi-naive: a step joins only the pairs that are new; lineage is cut in the shared checkpoint folder. Steps end when
+    Semi-naive: a step joins only the pairs that are new. Each step's pairs are written once into a folder and all of them are read as one
+    table, so plans, tasks and what the driver keeps do not grow with the steps, and no side is sent to the driver for a broadcast. Steps end when
     nothing is new; deeper graphs than `most` steps raise.
     """
-    shared_dir(spark)
-    found = fresh = seeds.select(F.col("artifact").alias("root"), "artifact").distinct()
-    for _ in range(most):
-        step = fresh.join(edges, "artifact").select("root", F.col("source").alias("artifact")).distinct()
-        fresh = step.join(found, ["root", "artifact"], "left_anti").checkpoint()
+    folder = fresh_path(spark, "closure")
+    pairs = seeds.select(F.col("artifact").alias("root"), "artifact").distinct()
+    schema = T.StructType([*pairs.schema.fields, T.StructField("step", T.IntegerType())])
+    rests = edges.select("artifact", "source").hint("merge")
+    for step in range(most + 1):
+        pairs.write.option("compression", "zstd").parquet(f"{folder}/step={step}")
+        found = spark.read.schema(schema).parquet(folder)
+        fresh = found.where(F.col("step") == step).drop("step")
         if fresh.isEmpty():
-            return found
-        found = found.unionByName(fresh)
+            return found.drop("step")
+        reached = fresh.join(rests, "artifact").select("root", F.col("source").alias("artifact")).distinct()
+        pairs = reached.join(found.drop("step").hint("merge"), ["root", "artifact"], "left_anti")
     raise ValueError(f"artifacts nest deeper than {most} steps")
 
 
