@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import values
 from .functions.text import lexical_terms
-from .operators import hierarchy, planning, retrieval, runs
+from .operators import planning, retrieval, runs, vectors
 from .registry import BM25, query, table, texts
 from .streaming import retention
 
@@ -105,7 +105,7 @@ def scoped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, queries = _vectors(spark, sf_dir)
     routed = retrieval.top_k(_routed(spark, sf_dir), ["request"], [F.col("score").desc(), F.col("label")], 2).select("request", "label")
     scope = queries.select("query_id", (F.col("query_id") % 100).alias("request")).join(routed, "request")
-    hits = hierarchy.scored_in_scope(queries, scope, nodes, "label")
+    hits = vectors.scope_hits(queries, scope, nodes, 3, "label")
     return retrieval.top_k(hits, ["query_id", "label"], [F.col("score").desc(), F.col("node_id")], 3).select("query_id", "label", "node_id", "score", "rank")
 
 

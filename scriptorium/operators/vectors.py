@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stash
+
 #: Vectors and queries in one block; a pair of blocks is one task's unit of work, a few MB however large the tables are.
 NODE_BLOCK, QUERY_BLOCK = 4096, 1024
 #: Queries scored at a time within a block.
@@ -67,6 +69,26 @@ def block_hits(queries: DataFrame, nodes: DataFrame, k: int, by: list[str]) -> D
     return _scored(asked, held, ["nb", "qb"], k, by)
 
 
+#: Groups whose numbers of blocks are sent to all tasks, at most.
+SENT_GROUPS = 100_000
+
+
+def scope_hits(queries: DataFrame, scope: DataFrame, nodes: DataFrame, k: int, by: str) -> DataFrame:
+    """(query_id, node_id, by, score): a query's k best of each block of the groups that its scope (query_id, by) admits, in ties the smallest node_id.
+
+    As block_hits, but blocks are of one group: a group's vectors meet only the queries that ask for it, and groups that none asks for are left out.
+    """
+    wanted = stash(scope.select("query_id", by).distinct(), "scope")
+    blocks = lambda df, size, name: df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = stash(blocks(wanted, QUERY_BLOCK, "query_blocks").join(blocks(nodes, NODE_BLOCK, "node_blocks"), by), "blocks")
+    sized = F.broadcast(sizes) if sizes.count() <= SENT_GROUPS else sizes
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = nodes.join(sized, by).select("node_id", "vec", by, deal("node_id", "node_blocks").alias("nb"), every("query_blocks").alias("qb"))
+    asked = queries.join(wanted, "query_id").join(sized, by).select("query_id", "qvec", by, deal("query_id", "query_blocks").alias("qb"), every("node_blocks").alias("nb"))
+    return _scored(asked, held, [by, "nb", "qb"], k, [by])
+
+
 def _scored(asked: DataFrame, held: DataFrame, keys: list[str], k: int, by: list[str]) -> DataFrame:
     """Of each group of keys, every query's k best vectors per group of `by`."""
 
