@@ -32,6 +32,8 @@ WINDOW, K = 50, 16
 #: Symbols in one merge batch, unless one minimizer alone has more.
 BATCH_SYMBOLS = 60_000
 SHARDS = 8
+#: Bytes of stretches that are compared at a time before they are dealt by minimizer.
+CUT_BYTES = 1 << 20
 
 
 def classes(flat: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -136,6 +138,16 @@ def _batches(m: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
         yield slice(first, len(m))
 
 
+def _runs(target: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, end, bounds of each bucket) of ranges of sorted buckets with about CUT_BYTES, or one bucket with more."""
+    cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])), [len(target)]]) if len(target) else np.zeros(1, np.int64)
+    total, at = np.concatenate([[0], np.cumsum(sizes)])[cuts], 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + CUT_BYTES, "right")) - 1)
+        yield int(cuts[at]), int(cuts[to]), cuts[at : to + 1]
+        at = to
+
+
 def _settle(m: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, flat: np.ndarray, source: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (stretch, start, end) that one bucket's stretches show to be repeats of an earlier document.
 
@@ -204,20 +216,22 @@ def spans(docs: DataFrame, length: int = WINDOW, k: int = K) -> tuple[DataFrame,
         fits = at + n + length - 1 <= lengths[row]
         m, row, at, n = m[fits], row[fits], at[fits], n[fits]
         own, here, out = held.ids[row], np.array([key[0].as_py()]), []
-        for b, r in by_bucket(bucket_of(m, buckets)):
-            r = r[np.lexsort((at[r], own[r], m[r]))]
-            sizes = n[r] + length - 1
-            text = slices(flat, base[row[r]] + at[r], sizes)
-            kind = classes(text, sizes, m[r])
+        target = bucket_of(m, buckets)
+        order = np.lexsort((at, own, m, target))
+        target, m, row, at, n, own = (x[order] for x in (target, m, row, at, n, own))
+        sizes = n + length - 1
+        for a, z, cuts in _runs(target, sizes):
+            begin = np.cumsum(sizes[a:z]) - sizes[a:z]
+            text = slices(flat, base[row[a:z]] + at[a:z], sizes[a:z])
+            kind = classes(text, sizes[a:z], m[a:z])
             least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, own[r])
-            first = own[r] == least[kind]
-            kept, gone = r[first], r[~first]
-            begin = np.cumsum(sizes) - sizes
-            text = slices(text, begin[first], sizes[first])
-            ended = at[gone] + n[gone] + length - 1
-            several, place = np.unique(row[kept], return_inverse=True)  # a row's id is sent once
-            out.append((b, squeeze(here, m[kept], held.ids[several], several.astype(np.uint32), place.astype(np.uint32), at[kept].astype(np.uint32), n[kept].astype(np.uint16), text, row[gone].astype(np.uint32), at[gone].astype(np.uint32), ended.astype(np.uint32))))
+            np.minimum.at(least, kind, own[a:z])
+            first = own[a:z] == least[kind]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                kept, gone = lo + np.flatnonzero(first[lo - a : hi - a]), lo + np.flatnonzero(~first[lo - a : hi - a])
+                ended = at[gone] + sizes[gone]
+                several, place = np.unique(row[kept], return_inverse=True)  # a row's id is sent once
+                out.append((int(target[lo]), squeeze(here, m[kept], held.ids[several], several.astype(np.uint32), place.astype(np.uint32), at[kept].astype(np.uint32), n[kept].astype(np.uint16), slices(text, begin[kept - a], sizes[kept]), row[gone].astype(np.uint32), at[gone].astype(np.uint32), ended.astype(np.uint32))))
         return block_table(out)
 
     def merge(table: pa.Table) -> pa.Table:

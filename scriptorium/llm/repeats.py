@@ -39,10 +39,10 @@ from .shared import mix64, release_memory
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(1 << 63)
-#: Bytes of text in one scan chunk, about.
-CHUNK_BYTES = 1 << 21
-#: Bytes of text that one group stands for, about.
-GROUP_BYTES = 16 << 20
+#: Bytes of text whose windows are hashed at a time, and bytes of text in one scan chunk, about: a chunk makes a block for each bucket.
+HASHED_BYTES, CHUNK_BYTES = 1 << 21, 1 << 23
+#: Bytes of text that one group stands for, about; buckets up to which there are two for each shuffle partition, as blocks grow with their square.
+GROUP_BYTES, EASY_BUCKETS = 16 << 20, 512
 BYTE_SYMBOLS = mix64(np.arange(256, dtype=U64))
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -216,9 +216,9 @@ def tag_of(raw: bytes) -> int:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets for blocks: one for every GROUP_BYTES of text, two per shuffle partition at least."""
+    """Buckets for blocks: one for every GROUP_BYTES of text; at least two per shuffle partition, or EASY_BUCKETS."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+    return max(min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), EASY_BUCKETS), -(-size // GROUP_BYTES))
 
 
 #: Turns texts (UTF-8) into (concatenated symbols, sizes).
@@ -244,11 +244,14 @@ def candidates(docs: DataFrame, buckets: int, length: int, k: int, symbols: Symb
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def hashed(ids: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
             m, doc, at, n = segments(*symbols(texts), length, k)
-            own, tag = np.array(ids, np.int64)[doc], np.array([tag_of(t) for t in texts], np.uint16)[doc]
+            return m, np.array(ids, np.int64)[doc], np.array([tag_of(t) for t in texts], np.uint16)[doc], at.astype(np.uint32), n.astype(np.uint16)
+
+        def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            m, own, tag, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((own, m))
-            m, own, tag, at, n = m[order], own[order], tag[order], at[order].astype(np.uint32), n[order].astype(np.uint16)
+            m, own, tag, at, n = m[order], own[order], tag[order], at[order], n[order]
             new = np.ones(len(m), bool)
             new[1:] = m[1:] != m[:-1]
             group = np.cumsum(new) - 1
@@ -266,18 +269,24 @@ def candidates(docs: DataFrame, buckets: int, length: int, k: int, symbols: Symb
             if out:
                 yield from block_table(out).to_batches()
 
-        ids, texts, size = [], [], 0
+        ids, texts, size, parts, whole = [], [], 0, [], 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 raw = t.as_py().encode("utf-8")
                 ids.append(i)
                 texts.append(raw)
                 size += len(raw)
-                if size >= CHUNK_BYTES:
-                    yield from flush(ids, texts)
+                if size >= HASHED_BYTES:
+                    parts.append(hashed(ids, texts))
+                    whole += size
                     ids, texts, size = [], [], 0
+                if whole >= CHUNK_BYTES:
+                    yield from flush(parts)
+                    parts, whole = [], 0
         if ids:
-            yield from flush(ids, texts)
+            parts.append(hashed(ids, texts))
+        if parts:
+            yield from flush(parts)
         release_memory()
 
     def reply(table: pa.Table) -> pa.Table:
